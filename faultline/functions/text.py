@@ -23,15 +23,15 @@ def drop_stop_words(words: Column, stop_words: Sequence[str]) -> Column:
     return F.filter(words, lambda w: ~w.isin(listed))
 
 
-def unigrams_and_bigrams(words: Column) -> Column:
-    """The words, then each pair of neighbours joined by a space."""
-    pairs = F.zip_with(
-        F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))),
-        F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))),
-        lambda a, b: F.concat_ws(" ", a, b),
+def bigrams(words: Column) -> Column:
+    """Each pair of neighbours joined by a space; a pair with a null word is null."""
+    length = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(
+        F.slice(words, F.lit(1), length),
+        F.slice(words, F.lit(2), length),
+        lambda a, b: F.concat(a, F.lit(" "), b),
     )
-    return F.concat(words, pairs)
 
 
-def terms(text: Column, stop_words: Sequence[str]) -> Column:
-    return unigrams_and_bigrams(drop_stop_words(tokens(text), stop_words))
+def unigrams_and_bigrams(words: Column) -> Column:
+    return F.concat(words, bigrams(words))

@@ -22,6 +22,9 @@ from faultline.functions import arrays
 
 _MASK = (1 << 64) - 1
 
+# Up to this many tasks their partial results go to the driver as they are; beyond it Spark adds them up first.
+DIRECT_TASKS = 32
+
 
 @dataclass
 class Fit:
@@ -41,9 +44,8 @@ def with_row_hash(df: DataFrame, key: str) -> DataFrame:
 
 
 def points_of(df: DataFrame, vector: str = "embedding") -> DataFrame:
-    """The two columns that training reads, in few enough partitions that partial sums stay cheap to add up."""
-    slots = df.sparkSession.sparkContext.defaultParallelism * 3
-    return df.select("row_hash", F.col(vector).cast("array<double>").alias("embedding")).coalesce(slots)
+    """The two columns that training reads."""
+    return df.select("row_hash", F.col(vector).cast("array<double>").alias("embedding"))
 
 
 def _mix(x: int) -> int:
@@ -71,7 +73,13 @@ def _stream(seed: int, fit: Fit, step: int) -> int:
     return x
 
 
-def _draw_centers(points: DataFrame, fits: Sequence[Fit], seed: int, step: int, dims: int) -> None:
+def _matrix(table: pa.Table, column: str, dims: int) -> np.ndarray:
+    return np.concatenate([arrays.dense(chunk, dims) for chunk in table.column(column).chunks] or [np.empty((0, dims))])
+
+
+def _draw_centers(
+    points: DataFrame, fits: Sequence[Fit], seed: int, step: int, dims: int, direct: bool
+) -> None:
     """One k-means++ step for every model: draw a row with probability proportional to its squared distance from
     the centers drawn so far.
 
@@ -109,18 +117,23 @@ def _draw_centers(points: DataFrame, fits: Sequence[Fit], seed: int, step: int,
                 names=["model", "race", "center"],
             )
 
-    winners = (
-        points.mapInArrow(run, "model int, race double, center array<double>")
-        .groupBy("model")
-        .agg(F.min_by("center", "race").alias("center"))
-        .collect()
-    )
-    for row in winners:
-        fits[row.model].centers = np.vstack([fits[row.model].centers, row.center])
+    winners = points.mapInArrow(run, "model int, race double, center array<double>")
+    if not direct:
+        winners = winners.groupBy("model").agg(
+            F.min("race").alias("race"), F.min_by("center", "race").alias("center")
+        )
+    table = winners.toArrow()
+    model, race = (table.column(c).to_numpy() for c in ("model", "race"))
+    drawn = _matrix(table, "center", dims)
+    for m, fit in enumerate(fits):
+        entries = np.flatnonzero(model == m)
+        fit.centers = np.vstack([fit.centers, drawn[entries[race[entries].argmin()]]])
     shared.unpersist()
 
 
-def _pass(points: DataFrame, fits: Sequence[Fit], dims: int) -> list[tuple[np.ndarray, np.ndarray, float]]:
+def _pass(
+    points: DataFrame, fits: Sequence[Fit], dims: int, direct: bool
+) -> list[tuple[np.ndarray, np.ndarray, float]]:
     """Members, vector sums and inertia of each model under its present centers."""
     sizes = [len(f.centers) for f in fits]
     starts = np.concatenate([[0], np.cumsum(sizes)]).astype(int)
@@ -155,20 +168,20 @@ def _pass(points: DataFrame, fits: Sequence[Fit], dims: int) -> list[tuple[np.nd
                 names=["center", "members", "cost", "total"],
             )
 
-    reduced = (
-        points.mapInArrow(run, "center int, members bigint, cost double, total array<double>")
-        .groupBy("center")
-        .agg(
+    partial = points.mapInArrow(run, "center int, members bigint, cost double, total array<double>")
+    if not direct:
+        partial = partial.groupBy("center").agg(
             F.sum("members").alias("members"),
             F.sum("cost").alias("cost"),
             vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total"),
         )
-        .collect()
-    )
+    table = partial.toArrow()
     shared.unpersist()
     members, cost, sums = np.zeros(total), np.zeros(total), np.zeros((total, dims))
-    for row in reduced:
-        members[row.center], cost[row.center], sums[row.center] = row.members, row.cost, row.total
+    center = table.column("center").to_numpy()
+    np.add.at(members, center, table.column("members").to_numpy())
+    np.add.at(cost, center, table.column("cost").to_numpy())
+    np.add.at(sums, center, _matrix(table, "total", dims))
     cuts = [slice(starts[m], starts[m + 1]) for m in range(len(sizes))]
     return [(members[c], sums[c], float(cost[c].sum())) for c in cuts]
 
@@ -181,21 +194,24 @@ def fit_many(
     tol: float = 1e-4,
 ) -> list[Fit]:
     """Fit one model per (k, restart). `points` is read once per pass, so it should be persisted."""
+    if points.isEmpty():
+        raise ValueError("there are no vectors to cluster")
+    # A task reports one partial sum per center: a few tasks per core keep those cheap to add up.
+    points = points.coalesce(points.sparkSession.sparkContext.defaultParallelism * 3)
+    direct = points.rdd.getNumPartitions() <= DIRECT_TASKS
     spread = points.agg(
         Summarizer.metrics("mean", "variance", "count").summary(array_to_vector("embedding")).alias("s")
     ).first().s
-    if spread is None or spread["count"] == 0:
-        raise ValueError("there are no vectors to cluster")
     n, dims = spread["count"], len(spread["variance"])
     limit = tol * float(spread["variance"].toArray().mean()) * (n - 1) / n
     fits = [Fit(k, r, np.empty((0, dims))) for k, r in models]
 
     for step in range(max(k for k, _ in models)):
-        _draw_centers(points, [f for f in fits if f.k > step], seed, step, dims)
+        _draw_centers(points, [f for f in fits if f.k > step], seed, step, dims, direct)
 
     active = list(fits)
     while active:
-        for fit, (members, sums, _) in zip(active, _pass(points, active, dims)):
+        for fit, (members, sums, _) in zip(active, _pass(points, active, dims, direct)):
             kept = members > 0  # a center without members stays where it is
             moved = fit.centers.copy()
             moved[kept] = sums[kept] / members[kept, None]
@@ -204,7 +220,7 @@ def fit_many(
             fit.iterations += 1
         active = [f for f in active if not f.converged and f.iterations < max_iter]
 
-    for fit, (_, _, inertia) in zip(fits, _pass(points, fits, dims)):
+    for fit, (_, _, inertia) in zip(fits, _pass(points, fits, dims, direct)):
         fit.inertia = inertia
     return fits
 

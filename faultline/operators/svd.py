@@ -86,4 +86,5 @@ def embed(weighted: DataFrame, model: SvdModel, keep: Sequence[str], column: str
     schema = StructType(
         [weighted.schema[c] for c in keep] + [StructField("embedding", ArrayType(DoubleType(), False))]
     )
-    return weighted.select(*keep, column).mapInArrow(run, schema)
+    extra = [] if column in keep else [column]
+    return weighted.select(*keep, *extra).mapInArrow(run, schema)

@@ -1,6 +1,6 @@
 """TF-IDF with 1- and 2-grams.
 
-Fitting shuffles only one partially aggregated row per term. Applying a fitted vocabulary shuffles nothing: terms are
+Fitting shuffles only partially aggregated term counts. Applying a fitted vocabulary shuffles nothing: terms are
 looked up by the built-in count vectoriser, and the weights are computed in the same task.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, S
 
 from faultline.functions import arrays
 from faultline.functions.stopwords import ENGLISH_STOP_WORDS
-from faultline.functions.text import drop_stop_words, tokens, unigrams_and_bigrams
+from faultline.functions.text import bigrams, drop_stop_words, tokens, unigrams_and_bigrams
 
 # The vocabulary is model state on the driver and in every task, so its size is limited by contract.
 MAX_VOCABULARY = 100_000
@@ -36,23 +36,26 @@ class TfidfModel:
         return len(self.terms)
 
 
+def with_words(df: DataFrame, text: str, stop_words: Sequence[str] = ENGLISH_STOP_WORDS) -> DataFrame:
+    return df.withColumn("words", drop_stop_words(tokens(F.col(text)), stop_words))
+
+
 def with_terms(df: DataFrame, text: str, stop_words: Sequence[str] = ENGLISH_STOP_WORDS) -> DataFrame:
     """Add `terms`. The words are their own projection because the n-grams refer to them several times."""
-    words = df.withColumn("words", drop_stop_words(tokens(F.col(text)), stop_words))
-    return words.withColumn("terms", unigrams_and_bigrams(F.col("words"))).drop("words")
+    return with_words(df, text, stop_words).withColumn("terms", unigrams_and_bigrams(F.col("words"))).drop("words")
 
 
-def term_totals(with_terms_df: DataFrame) -> DataFrame:
+def term_totals(lists: DataFrame, column: str) -> DataFrame:
     """Corpus and document frequency of every term, in one shuffle of partial sums.
 
     Each document contributes its terms to `cf`, and its distinct terms to `df`; no document is regrouped.
     """
-    occurrences = F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("cf"), F.lit(0).alias("df")))
+    occurrences = F.transform(column, lambda t: F.struct(t.alias("term"), F.lit(1).alias("cf"), F.lit(0).alias("df")))
     presences = F.transform(
-        F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("cf"), F.lit(1).alias("df"))
+        F.array_distinct(column), lambda t: F.struct(t.alias("term"), F.lit(0).alias("cf"), F.lit(1).alias("df"))
     )
     return (
-        with_terms_df.select(F.inline(F.concat(occurrences, presences)))
+        lists.select(F.inline(F.concat(occurrences, presences)))
         .groupBy("term")
         .agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
     )
@@ -69,13 +72,34 @@ def vocabulary(
     max_features: int = 3000,
     min_df: int = 2,
 ) -> DataFrame:
-    """The most frequent terms of the corpus that occur in at least `min_df` documents; ties in term order."""
+    """The most frequent terms of the corpus that occur in at least `min_df` documents; ties in term order.
+
+    Single words are counted first. A pair is never more frequent than either of its words, so only pairs of words
+    at least as frequent as the last word that would make the list can enter it. Counting just these is exact, and
+    replaces a shuffle of all distinct pairs of the corpus by one of at most a few million.
+    """
     if max_features > MAX_VOCABULARY:
         raise ValueError(f"max_features is limited to {MAX_VOCABULARY}")
+    spark = texts.sparkSession
     documents = texts.agg(F.count(F.lit(1))).scalar()
-    counts = term_totals(with_terms(texts.select(text), text, stop_words)).filter(F.col("df") >= min_df)
+    words = with_words(texts.select(text), text, stop_words).select("words")
+    order = [F.desc("cf"), F.asc("term")]
+
+    singles = term_totals(words, "words").filter(F.col("df") >= min_df)
+    frequent = singles.orderBy(*order).limit(2 * max_features).collect()
+    floor = frequent[max_features - 1].cf if len(frequent) >= max_features else 0
+    if len(frequent) == 2 * max_features and frequent[-1].cf >= floor:
+        pairs = words.select(bigrams(F.col("words")).alias("pairs"))  # too many ties: every pair may count
+    else:
+        usable = [r.term for r in frequent if r.cf >= floor]
+        known = words.withColumn("words", F.transform("words", lambda w: F.when(w.isin(usable), w)))
+        pairs = known.select(F.array_compact(bigrams(F.col("words"))).alias("pairs"))
+    doubles = term_totals(pairs, "pairs").filter(F.col("df") >= min_df)
+
+    best_singles = spark.createDataFrame(frequent[:max_features], singles.schema)
     return (
-        counts.orderBy(F.desc("cf"), "term")
+        best_singles.unionByName(doubles)
+        .orderBy(*order)
         .limit(max_features)
         .select("term", "df", "cf", documents.alias("documents"), idf(F.col("df"), documents).alias("idf"))
     )

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from faultline.sources.tables import compact
+
 
 def contingency(df: DataFrame, truth: str, cluster: str) -> DataFrame:
     """Rows per (label, cluster): the only pass over the data that the measures below need."""
@@ -35,6 +37,7 @@ def ari(cells: DataFrame) -> DataFrame:
 
 def crosstab(cells: DataFrame, clusters: Sequence[str] | None = None) -> DataFrame:
     """Share of each label's rows per cluster, two decimals, one column per cluster; absent pairs are 0."""
+    cells, _ = compact(cells)  # finding the columns and filling them must not scan the data twice
     grouped = cells.groupBy("label")
     wide = grouped.pivot("cluster", list(clusters)) if clusters else grouped.pivot("cluster")
     counts = wide.agg(F.sum("records")).fillna(0)

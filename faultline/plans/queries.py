@@ -511,7 +511,7 @@ def crosstab_normalised(spark, folder):
 
 def _points(spark, folder):
     vectors = clusters.unit_vectors(_vectors(spark, folder), "embedding")
-    return materialise(kmeans.with_row_hash(vectors, "vec_id"), "vectors")
+    return materialise(kmeans.with_row_hash(spread(vectors, "vec_id"), "vec_id"), "vectors")
 
 
 @query

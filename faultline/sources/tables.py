@@ -48,15 +48,21 @@ def rows_to_table(spark: SparkSession, rows: Iterable[Sequence], schema: StructT
     return spark.createDataFrame(clean, schema)
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a lookup side once its size is known to be small.
+def compact(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """Evaluate an aggregate once if it is small: its rows as a local table, and whether it was.
 
-    At most `max_rows + 1` rows reach the driver. A larger side is returned as it is, for a shuffle join.
+    At most `max_rows + 1` rows reach the driver. A larger result is returned as the plan it was.
     """
     rows = df.limit(max_rows + 1).collect()
     if len(rows) > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+        return df, False
+    return df.sparkSession.createDataFrame(rows, df.schema), True
+
+
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a lookup side once its size is known to be small; leave a larger one to a shuffle join."""
+    side, is_small = compact(df, max_rows)
+    return F.broadcast(side) if is_small else side
 
 
 def list_tables(spark: SparkSession) -> DataFrame:
