@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import zlib
+import re
 from collections.abc import Callable, Iterator, Sequence
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -19,8 +20,8 @@ def hashing_embedder(texts: list[str], dims: int = 64) -> np.ndarray:
     """A stand-in that needs no model: signed word counts in hashed positions."""
     out = np.zeros((len(texts), dims))
     for row, text in enumerate(texts):
-        for word in text.lower().split():
-            h = zlib.crc32(word.encode())
+        for word in re.findall(r"\w{2,}", text.lower()):
+            h = int(md5(word.encode()).hexdigest()[:8], 16)
             out[row, (h >> 1) % dims] += 1.0 if h & 1 else -1.0
     return arrays.unit_rows(out)
 

@@ -322,6 +322,16 @@ def oracle_sql() -> dict[str, str]:
             SELECT lang, CAST(rank AS INTEGER) AS rank, term, round(score, 6) AS score FROM ranked WHERE rank <= 8""",
         "cluster_term_labels": f"""WITH {_TOP_TERMS}
             SELECT lang, string_agg(term, ', ' ORDER BY rank) AS terms FROM ranked WHERE rank <= 6 GROUP BY lang""",
+        "embed_batched": f"""
+            WITH words AS (SELECT doc_id, unnest({_TOKENS}) AS word FROM documents),
+            hashed AS (SELECT doc_id, CAST(concat('0x', substr(md5(word), 1, 8)) AS BIGINT) AS h FROM words),
+            sums AS (SELECT doc_id, (h // 2) % 64 AS pos, sum(CASE WHEN h % 2 = 1 THEN 1 ELSE -1 END) AS x
+                     FROM hashed GROUP BY ALL),
+            norms AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM sums GROUP BY doc_id)
+            SELECT d.doc_id, CAST(g.pos AS INTEGER) AS pos,
+                   coalesce(round(x / nullif(norm, 0), 6), 0) AS value
+            FROM documents d CROSS JOIN range(64) AS g(pos) LEFT JOIN sums USING (doc_id, pos)
+            LEFT JOIN norms USING (doc_id)""",
         "l2_normalise": f"""WITH {VECTORS},
             scaled AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS norm FROM vectors)
             SELECT vec_id, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS pos,

@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from faultline.config import Config, LABEL_SEVERITY
 from faultline.functions import scalars, text as txt
 from faultline.functions.stopwords import ENGLISH_STOP_WORDS
-from faultline.operators import clusters, features, kmeans, quality, silhouette, svd, sweep, tfidf, validate
-from faultline.operators.embed import embed_batched
+from faultline.operators import clusters, embed, features, kmeans, quality, silhouette, svd, sweep, tfidf, validate
 from faultline.plans import reports, taxonomy
 from faultline.schemas import WORK_ORDERS
 from faultline.sources import tables, views
@@ -366,8 +365,8 @@ def cluster_term_labels(spark, folder):
 
 
 @query
-def embed_batched_texts(spark, folder):
-    embedded = embed_batched(_documents(spark, folder), "text", ["doc_id"])
+def embed_batched(spark, folder):
+    embedded = embed.embed_batched(_documents(spark, folder), "text", ["doc_id"])
     return _long(embedded, "doc_id", vector="embedding")
 
 

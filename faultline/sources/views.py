@@ -16,6 +16,7 @@ from faultline.functions import scalars
 from faultline.operators import quality
 from faultline.operators.clusters import with_names
 from faultline.operators.features import feature_table
+from faultline.operators.joins import with_dimension
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -81,7 +82,7 @@ def work_orders(spark: SparkSession, folder: str, with_location: bool = True) ->
     if not with_location:
         return rows.withColumn("location", F.lit(None).cast("string"))
     homes = equipment_master(spark, folder).select("equipment_id", "location")
-    return rows.join(homes, "equipment_id", "left")
+    return with_dimension(rows, homes, "equipment_id")
 
 
 def scored(spark: SparkSession, folder: str, with_location: bool = False) -> DataFrame:

@@ -26,7 +26,7 @@ def _cell(v):
     if isinstance(v, dt.datetime):
         return v.isoformat()
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else repr(v + 0.0)
+        return "nan" if math.isnan(v) else repr(v)
     return repr(v)
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultline.operators import features, kmeans, quality, tfidf
+from faultline.operators.joins import hot_keys, with_dimension
 from faultline.plans import reports, taxonomy
 from faultline.schemas import EQUIPMENT_CLUSTER_AGG
 from faultline.sources import shared, tables, views
@@ -112,6 +113,23 @@ def test_large_master_is_joined_by_shuffle(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_dimension_join_keeps_every_record_once(spark):
+    rows = [(i, "hot" if i % 3 else f"k{i % 40}") for i in range(6000)] + [(-1, None), (-2, None), (-3, "unknown")]
+    facts = spark.createDataFrame(rows, "id int, k string")
+    dim = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(40)], "k string, v int")
+    small = with_dimension(facts, dim, "k")
+    large = with_dimension(facts, dim, "k", max_rows=10)
+    assert "Union" not in plan(small) and "Union" in plan(large)
+    assert "hot" in [r.k for r in hot_keys(facts, "k").collect()]
+    want = sorted((i, k, None if k in (None, "unknown") else 1 if k == "hot" else int(k[1:])) for i, k in rows)
+    for joined in (small, large):
+        assert sorted((r.id, r.k, r.v) for r in joined.collect()) == want
+
+
+def test_records_are_not_shuffled_for_a_small_dimension(spark):
+    assert "Exchange hashpartitioning(equipment_id" not in plan(views.defect_features(spark, FOLDER, with_location=True))
+
+
 def test_filter_on_a_stored_score_is_pushed_to_the_scan(spark):
     stored = shared.materialise(views.defect_features(spark, FOLDER), "features")
     kept = stored.filter((F.col("quality_score") >= 0.9) & F.col("severity").isin("High"))
