@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 from hashlib import md5
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
@@ -32,12 +32,12 @@ def embed_batched(
     """`keep` and `embedding`. The embedder gets at most `batch_size` whole texts per call."""
     keep = list(keep)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for start in range(0, len(frame), batch_size):
-                part = frame.iloc[start : start + batch_size]
-                vectors = np.asarray(embedder(part["_text"].tolist()), dtype=np.float64)
-                yield part[keep].assign(embedding=list(vectors))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, batch_size):
+                part = batch.slice(start, batch_size)
+                vectors = np.asarray(embedder(part.column("_text").to_pylist()), dtype=np.float64)
+                yield arrays.with_column(part, keep, embedding=arrays.list_column(vectors))
 
     schema = StructType([df.schema[c] for c in keep] + [StructField("embedding", ArrayType(DoubleType()))])
-    return df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInPandas(run, schema)
+    return df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(run, schema)

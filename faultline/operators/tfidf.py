@@ -92,7 +92,9 @@ def vocabulary(
         pairs = words.select(bigrams(F.col("words")).alias("pairs"))  # too many ties: every pair may count
     else:
         usable = [r.term for r in frequent if r.cf >= floor]
-        known = words.withColumn("words", F.transform("words", lambda w: F.when(w.isin(usable), w)))
+        # As text, because thousands of literal objects are slow to build; tokens hold no character to escape.
+        listed = ", ".join(f"'{w}'" for w in usable) or "NULL"
+        known = words.withColumn("words", F.expr(f"transform(words, w -> CASE WHEN w IN ({listed}) THEN w END)"))
         pairs = known.select(F.array_compact(bigrams(F.col("words"))).alias("pairs"))
     doubles = term_totals(pairs, "pairs").filter(F.col("df") >= min_df)
 

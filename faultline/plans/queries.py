@@ -101,7 +101,7 @@ def list_tables(spark, folder):
         found[name] = spark.table(view)
     counts = tables.row_counts(found)
     listed = tables.list_tables(spark).select(F.regexp_extract("tableName", "^faultline_src_(.*)$", 1).alias("tbl"))
-    return counts.join(F.broadcast(listed), "tbl")
+    return counts.join(listed, "tbl")
 
 
 @query

@@ -1,7 +1,7 @@
 """The composed job: score, filter, embed, cluster, name, validate, write.
 
-Raw records are read four times, each time by narrow plans: for the vocabulary, for the term weights, and at the end
-to score them with the fitted models. Only the term weights and the 64-wide embeddings are written in between. No
+Raw records are read by narrow plans: twice for the vocabulary, once for the term weights, and at the end to score
+them with the fitted models. Only the term weights and the 64-wide embeddings are written in between. No
 record is joined back to its vector: the last pass recomputes it, which costs less than a shuffle of whole records.
 """
 
@@ -17,9 +17,10 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from faultline.config import Config
 from faultline.functions import arrays
-from faultline.functions.scalars import cluster_name, lookup
-from faultline.operators import clusters, features, kmeans, quality, svd, sweep, tfidf, validate
+from faultline.functions.scalars import lookup
+from faultline.operators import clusters, embed, features, kmeans, quality, svd, sweep, tfidf, validate
 from faultline.sources.shared import materialise, spread
+from faultline.sources.tables import use_namespace, write_table
 
 TEXT = "defect_description"
 
@@ -29,7 +30,7 @@ class Models:
     """All fitted state. Its size depends on the settings, not on the data."""
 
     tfidf: tfidf.TfidfModel
-    svd: svd.SvdModel
+    svd: svd.SvdModel | None
     centers: np.ndarray
 
 
@@ -88,36 +89,73 @@ def _remap(points: DataFrame, centers: np.ndarray, min_size: int) -> dict[int, i
     return {r.cluster_raw: r.cluster for r in clusters.renumbering(labelled, "cluster_raw", min_size).collect()}
 
 
-def build(work_orders: DataFrame, cfg: Config = Config()) -> Taxonomy:
-    spark = work_orders.sparkSession
+def build(work_orders: DataFrame, cfg: Config = Config(), embedder: embed.Embedder | None = None) -> Taxonomy:
+    """The whole job. With an `embedder` its vectors take the place of TF-IDF and SVD; all else is the same."""
     scored = quality.with_score(work_orders, cfg.quality_weights)
     kept, rejected = quality.split(scored, cfg.quality_threshold)
     kept = spread(kept, "record_id")
 
-    embedded = embed_texts(kept, "record_id", TEXT, cfg)
-    found = sweep.search(embedded.points, "record_id", cfg)
-    final = sweep.final_fit(embedded.points, found, found.best_k, cfg)
-    models = Models(embedded.tfidf, embedded.svd, final.centers)
-    remap = _remap(embedded.points, final.centers, cfg.min_cluster_size)
-
+    if embedder is None:
+        embedded = embed_texts(kept, "record_id", TEXT, cfg)
+        vocabulary, reduced, points = embedded.tfidf, embedded.svd, embedded.points
+    else:
+        # A model call costs more than storage: whole records are written with their vector, and never embedded twice.
+        rows = materialise(embed.embed_batched(kept, TEXT, kept.columns, embedder), "embedded_records")
+        vocabulary, reduced = tfidf.fit(kept, TEXT, cfg.stop_words, cfg.max_features, cfg.min_df), None
+        points = kmeans.with_row_hash(rows.select("record_id", "embedding"), "record_id")
+
+    found = sweep.search(points, "record_id", cfg)
+    final = sweep.final_fit(points, found, found.best_k, cfg)
+    models = Models(vocabulary, reduced, final.centers)
+    remap = _remap(points, final.centers, cfg.min_cluster_size)
+
+    if embedder is None:
+        labelled = predict(kept, TEXT, models)
+    else:
+        labelled = kmeans.assign(rows, final.centers, kept.columns).withColumnRenamed("cluster", "cluster_raw")
     new_id = lookup(F.col("cluster_raw"), remap)
-    labelled = (
-        predict(kept, TEXT, models)
-        .withColumn("cluster", new_id)
-        .withColumn("defect_cluster_name", cluster_name(F.col("cluster"), cfg.cluster_names))
+    named = clusters.with_names(labelled.withColumn("cluster", new_id), cfg.cluster_names)
+    feature_rows = materialise(features.feature_table(named), "defect_features")
+    return Taxonomy(
+        models,
+        found,
+        remap,
+        feature_rows,
+        features.equipment_agg(feature_rows),
+        rejected,
+        cluster_terms(feature_rows, vocabulary, cfg.top_terms),
     )
-    feature_rows = materialise(features.feature_table(labelled), "defect_features")
 
-    member = kmeans.assign(
-        svd.embed(embedded.weights, embedded.svd, ["tfidf"]), final.centers, ["tfidf"]
-    ).withColumn("cluster", lookup(F.col("cluster"), remap))
-    terms = clusters.top_terms(
-        member.filter(F.col("cluster") != clusters.OTHER),
+
+def cluster_terms(feature_rows: DataFrame, vocabulary: tfidf.TfidfModel, top_n: int) -> DataFrame:
+    """Top terms of all clusters in one plan; the "Other" bucket has none."""
+    members = feature_rows.filter(F.col("cluster") != clusters.OTHER)
+    return clusters.top_terms(
+        tfidf.weights(members, TEXT, vocabulary, ["cluster"]),
         "cluster",
-        tfidf.term_table(spark, embedded.tfidf),
-        cfg.top_terms,
+        tfidf.term_table(feature_rows.sparkSession, vocabulary),
+        top_n,
+    )
+
+
+def summary(taxonomy: Taxonomy, cfg: Config = Config()) -> DataFrame:
+    """What the job reports at its end, as one row."""
+    counts = taxonomy.features.agg(
+        F.count(F.lit(1)).alias("kept_records"),
+        F.countDistinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("final_clusters"),
+        F.count_if(F.col("cluster") == clusters.OTHER).alias("other_records"),
+    )
+    rejected = taxonomy.rejected.agg(F.count(F.lit(1))).scalar()
+    return counts.select(
+        (F.col("kept_records") + rejected).alias("input_records"),
+        "kept_records",
+        F.lit(taxonomy.sweep.best_k).alias("best_k"),
+        "final_clusters",
+        "other_records",
+        F.lit(cfg.min_cluster_size).alias("min_cluster_size"),
+        agreement(taxonomy.features).scalar().alias("ari"),
+        F.lit(taxonomy.models.centers.shape[1]).alias("embedding_dims"),
     )
-    return Taxonomy(models, found, remap, feature_rows, features.equipment_agg(feature_rows), rejected, terms)
 
 
 def agreement(features_df: DataFrame) -> DataFrame:
@@ -150,8 +188,6 @@ def run_summary(scored: DataFrame, threshold: float, truth: str, cluster: str) -
 
 def publish(taxonomy: Taxonomy, cfg: Config = Config()) -> None:
     """Write the two result tables."""
-    from faultline.sources.tables import use_namespace, write_table
-
     use_namespace(taxonomy.features.sparkSession, cfg.schema, cfg.catalog)
     write_table(taxonomy.features, "defect_features", cfg.table_format)
     write_table(taxonomy.equipment, "equipment_cluster_agg", cfg.table_format)

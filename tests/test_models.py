@@ -209,6 +209,45 @@ def test_final_scoring_equals_the_training_labels(spark, built):
     }
 
 
+def test_summary_of_a_run(spark, built):
+    result, cfg = built
+    (row,) = taxonomy.summary(result, cfg).collect()
+    assert row.input_records == views.table(spark, FOLDER, "documents").count()
+    assert row.kept_records == result.features.count() and row.best_k == result.sweep.best_k
+    assert row.embedding_dims == 16 and row.final_clusters <= row.best_k
+
+
+def test_taxonomy_with_vectors_of_another_model(spark):
+    cfg = Config(k_values=(3, 4), sweep_restarts=2, final_restarts=2)
+    orders = views.text_work_orders(spark, FOLDER)
+    result = taxonomy.build(orders, cfg, hashing_embedder)
+    assert dict(result.features.dtypes) == {f.name: f.dataType.simpleString() for f in DEFECT_FEATURES}
+    kept = {r.record_id: r.days_to_failure for r in result.features.collect()}
+    source = {r.record_id: r.days_to_failure for r in orders.collect()}
+    assert kept == {k: source[k] for k in kept} and len(kept) + result.rejected.count() == len(source)
+    assert result.models.centers.shape[1] == 64 and result.terms.count() > 0
+
+
+def test_approximate_distinct_count_is_close(built):
+    from faultline.operators.features import equipment_agg
+
+    result, _ = built
+    exact = {r.equipment_id: r.distinct_defects for r in result.equipment.collect()}
+    sketch = {r.equipment_id: r.distinct_defects for r in equipment_agg(result.features, approximate=True).collect()}
+    assert all(abs(exact[k] - sketch[k]) <= 1 for k in exact)
+
+
+def test_published_tables_can_be_read_back(spark, built):
+    result, cfg = built
+    before = spark.catalog.currentDatabase()
+    cfg = Config(schema="faultline_published")
+    taxonomy.publish(result, cfg)
+    assert spark.table("faultline_published.defect_features").count() == result.features.count()
+    assert spark.table("faultline_published.equipment_cluster_agg").count() == 50
+    spark.catalog.setCurrentDatabase(before)
+    spark.sql("DROP DATABASE faultline_published CASCADE")
+
+
 def test_taxonomy_terms_and_agreement(built):
     result, cfg = built
     ranked = result.terms.collect()
