@@ -25,15 +25,18 @@ def with_dimension(facts: DataFrame, dim: DataFrame, key: str, max_rows: int = B
     if is_small(dim, max_rows):
         return facts.join(F.broadcast(dim), key, "left")
     hot = [r[key] for r in hot_keys(facts, key).collect()]
-    # Records without a key match nothing; they too must not meet in one task.
-    is_hot = F.col(key).isNull() | F.col(key).isin(hot)
+    if not hot:
+        return facts.join(dim, key, "left")
+    named = [k for k in hot if k is not None]
+    is_hot = F.coalesce(F.col(key).isin(named), F.lit(None in hot))
     cold_rows = facts.filter(~is_hot).join(dim, key, "left")
-    hot_rows = facts.filter(is_hot).join(F.broadcast(dim.filter(F.col(key).isin(hot))), key, "left")
+    hot_rows = facts.filter(is_hot).join(F.broadcast(dim.filter(F.col(key).isin(named))), key, "left")
     return cold_rows.unionByName(hot_rows)
 
 
 def hot_keys(facts: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
-    """Keys that hold more than 1/share of all records; counts are combined in the tasks before the shuffle."""
+    """Keys that hold more than 1/share of all records, the missing key among them; counts are combined in the tasks
+    before the shuffle."""
     total = facts.agg(F.count(F.lit(1))).scalar()
-    counts = facts.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_records"))
+    counts = facts.groupBy(key).agg(F.count(F.lit(1)).alias("_records"))
     return counts.filter(F.col("_records") * share > total).select(key)

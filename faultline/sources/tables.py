@@ -12,15 +12,24 @@ from pyspark.sql.types import StructType
 BROADCAST_ROWS = 10_000
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
-    """CSV with a header. Without a schema the types are inferred, at the price of a second pass."""
-    reader = spark.read.option("header", True)
+# Quotes inside a value are doubled, as most writers do; a backslash is an ordinary character.
+CSV = {"header": True, "escape": '"'}
+
+
+def read_csv(
+    spark: SparkSession, path: str, schema: StructType | None = None, line_breaks: bool = False
+) -> DataFrame:
+    """CSV with a header. Without a schema the types are inferred, at the price of a second pass.
+
+    `line_breaks` admits line breaks inside values; such a file cannot be split between tasks.
+    """
+    reader = spark.read.options(**CSV, multiLine=line_breaks)
     reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
     return reader.csv(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").options(**CSV).csv(path)
 
 
 def read_table(spark: SparkSession, name: str) -> DataFrame:

@@ -28,6 +28,24 @@ def test_csv_with_and_without_schema(spark, tmp_path):
     assert inferred["last_visit_date"] == "date" and inferred["total_visits"] == "int"
 
 
+def test_csv_keeps_any_text(spark, tmp_path):
+    texts = ['plain', 'a, b', 'say "hi"', '"', 'back\\slash', 'tail\\', '', None, ' padded ', 'two\nlines', '5 MΩ 65°C']
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    path = str(tmp_path / "text")
+    tables.write_csv(df, path)
+    back = tables.read_csv(spark, path, df.schema, line_breaks=True)
+    # An empty field is a missing value, in Spark as in other readers.
+    assert [r.t for r in back.orderBy("i").collect()] == [t or None for t in texts]
+
+
+def test_csv_of_other_writers(spark, tmp_path):
+    import pandas as pd
+
+    pd.DataFrame({"i": [1, 2], "t": ['say "hi", twice', "c:\\x"], "n": [1.5, None]}).to_csv(tmp_path / "p.csv", index=False)
+    rows = tables.read_csv(spark, str(tmp_path / "p.csv")).orderBy("i").collect()
+    assert [tuple(r) for r in rows] == [(1, 'say "hi", twice', 1.5), (2, "c:\\x", None)]
+
+
 def test_table_is_replaced_with_its_schema(spark, tmp_path):
     name = "faultline_replace_test"
     tables.write_table(spark.range(3).select(F.lit(1).alias("a")), name, path=str(tmp_path / "t"))
@@ -121,11 +139,21 @@ def test_dimension_join_keeps_every_record_once(spark):
     large = with_dimension(facts, dim, "k", max_rows=10)
     assert "Union" not in plan(small) and "Union" in plan(large)
     assert "hot" in [r.k for r in hot_keys(facts, "k").collect()]
+    assert None not in [r.k for r in hot_keys(facts, "k").collect()]
     want = sorted((i, k, None if k in (None, "unknown") else 1 if k == "hot" else int(k[1:])) for i, k in rows)
     for joined in (small, large):
         assert sorted((r.id, r.k, r.v) for r in joined.collect()) == want
 
 
+def test_records_without_a_key_are_a_hot_group_too(spark):
+    facts = spark.createDataFrame([(i, None if i % 2 else f"k{i}") for i in range(3000)], "id int, k string")
+    dim = spark.createDataFrame([(f"k{i}", i) for i in range(0, 3000, 4)], "k string, v int")
+    assert [r.k for r in hot_keys(facts, "k").collect()] == [None]
+    joined = with_dimension(facts, dim, "k", max_rows=10)
+    assert sorted((r.id, r.v) for r in joined.collect() if r.v is not None) == [(i, i) for i in range(0, 3000, 4)]
+    assert joined.count() == 3000
+
+
 def test_records_are_not_shuffled_for_a_small_dimension(spark):
     assert "Exchange hashpartitioning(equipment_id" not in plan(views.defect_features(spark, FOLDER, with_location=True))
 
