@@ -12,8 +12,8 @@ from pyspark.sql.types import StructType
 BROADCAST_ROWS = 10_000
 
 
-# Quotes inside a value are doubled, as most writers do; a backslash is an ordinary character.
-CSV = {"header": True, "escape": '"'}
+# Quotes inside a value are doubled, as most writers do; a backslash is an ordinary character; blanks are kept.
+CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def read_csv(
