@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from faultline.functions import arrays
+from faultline.sources.shared import fewer_tasks
 
 _MASK = (1 << 64) - 1
 
@@ -186,14 +187,6 @@ def _pass(
     return [(members[c], sums[c], float(cost[c].sum())) for c in cuts]
 
 
-def _fewer_tasks(points: DataFrame) -> DataFrame:
-    """A task reports one partial sum per center, so fewer and longer tasks leave less to add up. They stay at a few
-    per core, and no task takes more than 16 partitions, in case the cluster has yet to grow."""
-    spark = points.sparkSession
-    slots = max(spark.sparkContext.defaultParallelism * 3, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return points.coalesce(max(slots, points.rdd.getNumPartitions() // 16))
-
-
 def fit_many(
     points: DataFrame,
     models: Sequence[tuple[int, int]],
@@ -204,7 +197,7 @@ def fit_many(
     """Fit one model per (k, restart). `points` is read once per pass, so it should be persisted."""
     if points.isEmpty():
         raise ValueError("there are no vectors to cluster")
-    points = _fewer_tasks(points)
+    points = fewer_tasks(points)
     direct = points.rdd.getNumPartitions() <= DIRECT_TASKS
     spread = points.agg(
         Summarizer.metrics("mean", "variance", "count").summary(array_to_vector("embedding")).alias("s")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from faultline.functions import arrays
+from faultline.sources.shared import fewer_tasks
 
 # Up to this many terms the Gramian (at most 128 MB) is built in a single pass over the matrix and factored on the
 # driver. Beyond it the iterative solver is used, which keeps one vector instead but needs a pass per iteration.
@@ -44,6 +45,7 @@ def _factor(matrix: RowMatrix, terms: int, dims: int) -> tuple[np.ndarray, np.nd
 def fit(weighted: DataFrame, terms: int, dims: int = 64, column: str = "tfidf") -> SvdModel:
     """`weighted` is read twice, so it should be materialised."""
     dims = min(dims, terms)
+    weighted = fewer_tasks(weighted)
     rows = MLUtils.convertVectorColumnsFromML(weighted.select(column), column)
     sigma, components = _factor(RowMatrix(rows, 0, terms), terms, dims)
     # The sign of a singular vector is arbitrary: make its largest entry positive.

@@ -48,19 +48,23 @@ def with_terms(df: DataFrame, text: str, stop_words: Sequence[str] = ENGLISH_STO
 def term_totals(lists: DataFrame, column: str) -> DataFrame:
     """Corpus and document frequency of every term, in one shuffle of partial sums.
 
-    Each document contributes its terms to `cf`, and its distinct terms to `df`; no document is regrouped.
+    Each document contributes all its terms to `cf`, and its distinct terms to `df`; no document is regrouped.
     """
-    occurrences = F.transform(column, lambda t: F.struct(t.alias("term"), F.lit(1).alias("cf"), F.lit(0).alias("df")))
-    presences = F.transform(
-        F.array_distinct(column), lambda t: F.struct(t.alias("term"), F.lit(0).alias("cf"), F.lit(1).alias("df"))
-    )
+    both = lists.select(F.posexplode(F.array(F.col(column), F.array_distinct(column))).alias("kind", "list"))
     return (
-        lists.select(F.inline(F.concat(occurrences, presences)))
+        both.select("kind", F.explode("list").alias("term"))
         .groupBy("term")
-        .agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+        .agg(F.count_if(F.col("kind") == 1).alias("df"), F.count_if(F.col("kind") == 0).alias("cf"))
     )
 
 
+def only_known(words: str, known: Sequence[str]) -> Column:
+    """The words with all unknown ones set to null, so that neighbours stay neighbours."""
+    # As text, because thousands of literal objects are slow to build; tokens hold no character to escape.
+    listed = ", ".join(f"'{w}'" for w in known) or "NULL"
+    return F.expr(f"transform({words}, w -> CASE WHEN w IN ({listed}) THEN w END)")
+
+
 def idf(df: Column, documents: Column) -> Column:
     return F.log((documents + 1) / (df + 1)) + 1
 
@@ -92,9 +96,7 @@ def vocabulary(
         pairs = words.select(bigrams(F.col("words")).alias("pairs"))  # too many ties: every pair may count
     else:
         usable = [r.term for r in frequent if r.cf >= floor]
-        # As text, because thousands of literal objects are slow to build; tokens hold no character to escape.
-        listed = ", ".join(f"'{w}'" for w in usable) or "NULL"
-        known = words.withColumn("words", F.expr(f"transform(words, w -> CASE WHEN w IN ({listed}) THEN w END)"))
+        known = words.select(only_known("words", usable).alias("words"))
         pairs = known.select(F.array_compact(bigrams(F.col("words"))).alias("pairs"))
     doubles = term_totals(pairs, "pairs").filter(F.col("df") >= min_df)
 

@@ -42,3 +42,13 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """Use all cores when the source has fewer splits than cores; large inputs pass through unshuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def fewer_tasks(df: DataFrame) -> DataFrame:
+    """For jobs whose tasks each return a result of fixed size: fewer and longer tasks leave less to add up.
+
+    They stay at a few per core, and no task takes more than 16 partitions, in case the cluster has yet to grow.
+    """
+    spark = df.sparkSession
+    slots = max(spark.sparkContext.defaultParallelism * 3, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.coalesce(max(slots, df.rdd.getNumPartitions() // 16))
