@@ -43,7 +43,7 @@ class Config:
     """Settings of a taxonomy run, with the published defaults."""
 
     catalog: str | None = None
-    schema: str = "predictive_maintenance"
+    schema: str = "maintenance"
     table_format: str = "parquet"
 
     quality_weights: dict[str, float] = field(default_factory=lambda: dict(QUALITY_WEIGHTS))
