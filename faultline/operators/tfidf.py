@@ -129,9 +129,11 @@ def fit(
 
 
 def with_counts(df: DataFrame, text: str, model: TfidfModel) -> DataFrame:
-    """Add `tf`, the sparse counts of the known terms."""
-    vectoriser = CountVectorizerModel.from_vocabulary(list(model.terms), inputCol="terms", outputCol="tf")
-    return vectoriser.transform(with_terms(df, text, model.stop_words)).drop("terms")
+    """Add `_tf`, the sparse counts of the known terms. The names cannot meet those of the caller's columns."""
+    words = df.withColumn("_words", drop_stop_words(tokens(F.col(text)), model.stop_words))
+    ready = words.withColumn("_terms", unigrams_and_bigrams(F.col("_words"))).drop("_words")
+    vectoriser = CountVectorizerModel.from_vocabulary(list(model.terms), inputCol="_terms", outputCol="_tf")
+    return vectoriser.transform(ready).drop("_terms")
 
 
 def weigh(counts: pa.StructArray, idf_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,7 +161,7 @@ def weights(df: DataFrame, text: str, model: TfidfModel, keep: Sequence[str]) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = batch.column("tf")
+            counts = batch.column("_tf")
             ids, values = _lists(*weigh(counts, idf_of))
             kind, size, _, _ = counts.flatten()
             vectors = pa.StructArray.from_arrays([kind, size, ids, values], names=["type", "size", "indices", "values"])
@@ -177,7 +179,7 @@ def long_weights(df: DataFrame, text: str, model: TfidfModel, keep: Sequence[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, values = _lists(*weigh(batch.column("tf"), idf_of))
+            ids, values = _lists(*weigh(batch.column("_tf"), idf_of))
             yield arrays.with_column(batch, keep, term_ids=ids, weights=values)
 
     counted = with_counts(df.select(*keep, F.col(text).alias("_text")), "_text", model).drop("_text")

@@ -202,7 +202,9 @@ def test_taxonomy_scores_every_kept_record(spark, built):
 def test_final_scoring_equals_the_training_labels(spark, built):
     """Records are scored again in one narrow pass; it must give what the models gave on the training vectors."""
     result, _ = built
-    again = taxonomy.predict(result.features.drop("cluster"), "defect_description", result.models)
+    crowded = result.features.drop("cluster").withColumns({c: F.lit(c) for c in ("words", "terms", "tf")})
+    again = taxonomy.predict(crowded, "defect_description", result.models)
+    assert again.select("words", "terms", "tf").distinct().collect() == [("words", "terms", "tf")]
     moved = again.join(result.features.select("record_id", "cluster"), "record_id")
     assert {(r.cluster_raw, r.cluster) for r in moved.select("cluster_raw", "cluster").distinct().collect()} == {
         (raw, new) for raw, new in result.remap.items()
