@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from faultline.llm.common import by_row, key_type, pick, table, unused
 from faultline.llm.components import components
@@ -107,7 +107,6 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int, sketches: bool) -> D
     if sketches:
         bands = Bands(percent)
         near = _both(pairs, sets, "sketch").filter(F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent)
-        room = (F.col("size_a") + F.col("size_b")) * (100 - percent)
 
         def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -119,7 +118,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int, sketches: bool) -> D
                 ]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=_PAIR).filter(pa.array(keep, pa.bool_()))
 
-        pairs = near.filter(room >= 0).mapInArrow(close, "a long, b long")
+        pairs = near.mapInArrow(close, "a long, b long")
     return _both(pairs, sets, "elements").mapInArrow(_kept_pairs(lambda a, b: similar(a, b, percent)), "a long, b long")
 
 
@@ -218,7 +217,6 @@ def block_pairs(crowd: DataFrame, percent: int, forests: int) -> DataFrame:
 
 def linked_nodes(docs: DataFrame, signed: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     """(node, root) of the nodes that have a link to another node."""
-    spark = docs.sparkSession
     members = shared_segments(signed)
     nodes = materialise(members.select("node").distinct(), "nodes")
     sets = node_sets(docs, signed, nodes, key, text, width, percent)
@@ -272,12 +270,14 @@ def similarity_components(
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """`docs` with one row of each group of linked documents, that of the smallest key; all columns stay.
 
-    Rows without words are no group and stay. Rows with a null key stay. Of rows that repeat a kept key, those with the
-    same set of shingles as the kept one are one document, of which one row stays.
+    Rows without words are no group and stay, and so do rows with a null key. Keys are taken as unique: rows that repeat
+    a key stay or go together.
     """
     found = similarity_components(docs, key, text, width, percent)
-    gone = found.filter(F.col(key) != F.col("component_id")).select(F.col(key).alias("gone")).distinct()
-    return docs.join(gone, F.col(f"`{key}`") == F.col("gone"), "left_anti")
+    (other,) = unused(docs, "gone")
+    gone = found.filter(F.col(f"`{key}`") != F.col("component_id")).select(F.col(f"`{key}`").alias(other)).distinct()
+    # Written first, so that Spark knows its size when it chooses the join.
+    return docs.join(materialise(gone, "gone"), F.col(f"`{key}`") == F.col(other), "left_anti")
 
 
 def op8_shingle_join(spark: SparkSession, folder: str) -> DataFrame:

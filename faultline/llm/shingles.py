@@ -55,8 +55,8 @@ def shingle_set(text: str, width: int) -> np.ndarray:
 
 def set_id(found: np.ndarray) -> int:
     """A 64-bit name of the set, as a signed number."""
-    total = mixed(found + _STEP).sum(dtype=np.uint64) + np.uint64(len(found)) * _STEP
-    return int(mixed(np.array([total]))[0].astype(np.int64))
+    total = mixed(found + _STEP).sum(dtype=np.uint64)
+    return int(mixed(np.array([total, len(found)], np.uint64)).sum(dtype=np.uint64).astype(np.int64))
 
 
 class Bands:
