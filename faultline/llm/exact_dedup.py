@@ -36,7 +36,8 @@ def frequent_heads(rows: DataFrame) -> DataFrame:
     first = rows.groupBy((F.spark_partition_id() % GROUPS).alias("part")).agg(
         F.expr(f"approx_top_k_accumulate(head, {COUNTERS})").alias("sketch")
     )
-    merged = first.agg(F.expr(f"approx_top_k_combine(sketch, {COUNTERS})").alias("sketch"))
+    # Grouped by a constant: a global aggregate would also merge a buffer for each empty partition, which has no type.
+    merged = first.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_combine(sketch, {COUNTERS})").alias("sketch"))
     top = merged.select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {CANDIDATES})")).alias("top"))
     return top.filter("top.count > 1").select("top.item").withColumnRenamed("item", "head").dropna()
 
