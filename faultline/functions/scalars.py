@@ -15,23 +15,31 @@ def half_even(value: Column, places: int) -> Column:
     return F.rint(value * scale) / scale
 
 
-def half_even_total(value: Column, places: int) -> Column:
-    """Half-even rounding of a sum or mean.
+def _mean(value: Column, places: int, digits: int) -> Column:
+    """The mean in units of the last place that is kept. Values of `digits` decimals are added up as whole numbers, so
+    the sum is exact and does not depend on the order of partial sums; rounding is left to the caller, once."""
+    total = F.sum(F.round(value * float(10**digits)).cast("decimal(38,0)")).cast("double")
+    return F.try_divide(total * float(10 ** max(places - digits, 0)), F.count(value) * float(10 ** max(digits - places, 0)))
 
-    The scaled value is first snapped to 6 more digits, so that the order in which Spark adds partial sums can
-    never decide which side of a tie a value falls on.
-    """
-    scale = float(10**places)
-    return F.rint(F.round(value * scale, 6)) / scale
+
+def mean_half_even(value: Column, places: int, digits: int) -> Column:
+    """Mean of values of at most `digits` decimals, rounded half to even as array libraries do."""
+    return F.rint(_mean(value, places, digits)) / float(10**places)
 
 
-def half_up_total(value: Column, places: int) -> Column:
-    """SQL half-up rounding of a sum or mean, snapped to 9 digits first for the same reason."""
-    return F.round(F.round(value, 9), places)
+def mean_half_up(value: Column, places: int, digits: int) -> Column:
+    """Mean of values of at most `digits` decimals, rounded half up as SQL does."""
+    return F.round(_mean(value, places, digits)) / float(10**places)
 
 
 def percent(ratio: Column, places: int = 1) -> Column:
-    return half_up_total(ratio * 100.0, places)
+    """A ratio of three decimals as a percentage."""
+    return F.round(ratio * 100.0, places)
+
+
+def percent_of(part: Column, whole: Column) -> Column:
+    """Share of two counts in percent with one decimal, rounded half up, from whole numbers."""
+    return F.call_function("div", part * 2000 + whole, whole * 2) / 10.0
 
 
 def lookup(key: Column, entries: Mapping[Any, Any]) -> Column:

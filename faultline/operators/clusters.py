@@ -10,7 +10,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultline.config import CLUSTER_NAMES
-from faultline.functions.scalars import cluster_name, percent
+from faultline.functions.scalars import cluster_name, percent_of
 from faultline.sources.tables import small_side
 
 OTHER = -1
@@ -65,7 +65,7 @@ def membership(named: DataFrame) -> DataFrame:
     """Members and share of each cluster; the window runs over one row per cluster."""
     counts = named.groupBy("cluster", "defect_cluster_name").agg(F.count(F.lit(1)).alias("records"))
     total = F.sum("records").over(Window.partitionBy())
-    return counts.withColumn("pct", percent(F.col("records") / total)).orderBy("cluster")
+    return counts.withColumn("pct", percent_of(F.col("records"), total)).orderBy("cluster")
 
 
 def sizes_flagged(named: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 from hashlib import md5
 
 import numpy as np
@@ -16,13 +17,19 @@ from faultline.functions import arrays
 Embedder = Callable[[list[str]], np.ndarray]
 
 
+@lru_cache(maxsize=1 << 17)
+def _slot(word: str, dims: int) -> tuple[int, float]:
+    h = int(md5(word.encode()).hexdigest()[:8], 16)
+    return (h >> 1) % dims, 1.0 if h & 1 else -1.0
+
+
 def hashing_embedder(texts: list[str], dims: int = 64) -> np.ndarray:
     """A stand-in that needs no model: signed word counts in hashed positions."""
     out = np.zeros((len(texts), dims))
     for row, text in enumerate(texts):
         for word in re.findall(r"\w{2,}", text.lower()):
-            h = int(md5(word.encode()).hexdigest()[:8], 16)
-            out[row, (h >> 1) % dims] += 1.0 if h & 1 else -1.0
+            slot, sign = _slot(word, dims)
+            out[row, slot] += sign
     return arrays.unit_rows(out)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from faultline.functions.scalars import half_even_total
+from faultline.functions.scalars import mean_half_even
 from faultline.schemas import DEFECT_FEATURES
 
 
@@ -27,10 +27,10 @@ def equipment_agg(features: DataFrame, approximate: bool = False) -> DataFrame:
         .agg(
             F.count("record_id").alias("total_visits"),
             distinct.alias("distinct_defects"),
-            half_even_total(F.avg("quality_score"), 3).alias("avg_quality_score"),
-            half_even_total(F.avg("repair_duration_hrs"), 3).alias("avg_repair_hrs"),
-            half_even_total(F.avg("downtime_hrs"), 3).alias("avg_downtime_hrs"),
-            half_even_total(F.avg(high), 3).alias("pct_high_severity"),
+            mean_half_even(F.col("quality_score"), 3, 3).alias("avg_quality_score"),
+            mean_half_even(F.col("repair_duration_hrs"), 3, 6).alias("avg_repair_hrs"),
+            mean_half_even(F.col("downtime_hrs"), 3, 6).alias("avg_downtime_hrs"),
+            mean_half_even(high, 3, 0).alias("pct_high_severity"),
             F.max("visit_date").alias("last_visit_date"),
         )
     )

@@ -4,39 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-# A dimension of a few short columns and at most this many rows stays well below 1 GB in memory.
-BROADCAST_ROWS = 2_000_000
+from faultline.sources.shared import plan_bytes
 
-# A key with more than one record in this many is hot. There can be no more than this many such keys.
-HOT_SHARE = 1_000
+# A file's rows take more room in memory than on disk. This many times is assumed.
+UNPACKED = 8
 
+# Records without a key are dealt out over this many values of a second key.
+SALTS = 1_024
 
-def is_small(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    return dim.limit(max_rows + 1).count() <= max_rows
 
+def with_dimension(facts: DataFrame, dim: DataFrame, key: str, bound: DataFrame | None = None) -> DataFrame:
+    """Left join on a key that is unique in `dim`. Nothing runs while the plan is built.
 
-def with_dimension(facts: DataFrame, dim: DataFrame, key: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Left join on a key that is unique in `dim`.
-
-    A dimension of checked size is broadcast, so the records stay where they are. Beyond that, records are shuffled
-    by key, except those of hot keys: their few dimension rows are broadcast instead, so that no task has to take a
-    large part of the records. Every record comes out exactly once in both ways.
+    `bound` is a table of which `dim` has at most a row per row. If its size, from the statistics of its files, is within
+    Spark's own limit for broadcasts, the dimension is broadcast and the records stay where they are. Otherwise Spark
+    joins by shuffle, and adaptive execution splits a partition that has grown beyond its limit in bytes, whether one
+    hot key filled it or many lukewarm ones. Records without a key match nothing; a second key spreads them, so that
+    they do not meet in one task. Every record comes out exactly once.
     """
-    if is_small(dim, max_rows):
+    limit = facts.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    if bound is not None and plan_bytes(bound) * UNPACKED <= limit:
         return facts.join(F.broadcast(dim), key, "left")
-    hot = [r[key] for r in hot_keys(facts, key).collect()]
-    if not hot:
-        return facts.join(dim, key, "left")
-    named = [k for k in hot if k is not None]
-    is_hot = F.coalesce(F.col(key).isin(named), F.lit(None in hot))
-    cold_rows = facts.filter(~is_hot).join(dim, key, "left")
-    hot_rows = facts.filter(is_hot).join(F.broadcast(dim.filter(F.col(key).isin(named))), key, "left")
-    return cold_rows.unionByName(hot_rows)
-
-
-def hot_keys(facts: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
-    """Keys that hold more than 1/share of all records, the missing key among them; counts are combined in the tasks
-    before the shuffle."""
-    total = facts.agg(F.count(F.lit(1))).scalar()
-    counts = facts.groupBy(key).agg(F.count(F.lit(1)).alias("_records"))
-    return counts.filter(F.col("_records") * share > total).select(key)
+    salt = "_null_salt"
+    spread = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*facts.columns), F.lit(SALTS))).otherwise(F.lit(0))
+    joined = facts.withColumn(salt, spread.cast("int")).join(dim.withColumn(salt, F.lit(0)), [key, salt], "left")
+    return joined.drop(salt)

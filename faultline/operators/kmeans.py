@@ -23,9 +23,6 @@ from faultline.sources.shared import fewer_tasks
 
 _MASK = (1 << 64) - 1
 
-# Up to this many tasks their partial results go to the driver as they are; beyond it Spark adds them up first.
-DIRECT_TASKS = 32
-
 
 @dataclass
 class Fit:
@@ -39,9 +36,10 @@ class Fit:
     converged: bool = False
 
 
-def with_row_hash(df: DataFrame, key: str) -> DataFrame:
-    """Random draws depend on this hash of the row key, not on the partitioning."""
-    return df.withColumn("row_hash", F.xxhash64(key))
+def with_row_hash(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """Random draws depend on this hash of key and vector, not on the partitioning. Rows that share a key, or have none,
+    race on their own; only rows that are equal in both draw together."""
+    return df.withColumn("row_hash", F.xxhash64(key, vector))
 
 
 def points_of(df: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -79,7 +77,7 @@ def _matrix(table: pa.Table, column: str, dims: int) -> np.ndarray:
 
 
 def _draw_centers(
-    points: DataFrame, fits: Sequence[Fit], seed: int, step: int, dims: int, direct: bool
+    points: DataFrame, fits: Sequence[Fit], seed: int, step: int, dims: int
 ) -> None:
     """One k-means++ step for every model: draw a row with probability proportional to its squared distance from
     the centers drawn so far.
@@ -118,22 +116,20 @@ def _draw_centers(
                 names=["model", "race", "center"],
             )
 
-    winners = points.mapInArrow(run, "model int, race double, center array<double>")
-    if not direct:
-        winners = winners.groupBy("model").agg(
-            F.min("race").alias("race"), F.min_by("center", "race").alias("center")
-        )
+    winners = points.mapInArrow(run, "model int, race double, center array<double>").groupBy("model").agg(
+        F.min("race").alias("race"), F.min_by("center", "race").alias("center")
+    )
     table = winners.toArrow()
     model, race = (table.column(c).to_numpy() for c in ("model", "race"))
     drawn = _matrix(table, "center", dims)
     for m, fit in enumerate(fits):
         entries = np.flatnonzero(model == m)
         fit.centers = np.vstack([fit.centers, drawn[entries[race[entries].argmin()]]])
-    shared.unpersist()
+    shared.destroy()
 
 
 def _pass(
-    points: DataFrame, fits: Sequence[Fit], dims: int, direct: bool
+    points: DataFrame, fits: Sequence[Fit], dims: int
 ) -> list[tuple[np.ndarray, np.ndarray, float]]:
     """Members, vector sums and inertia of each model under its present centers."""
     sizes = [len(f.centers) for f in fits]
@@ -170,14 +166,13 @@ def _pass(
             )
 
     partial = points.mapInArrow(run, "center int, members bigint, cost double, total array<double>")
-    if not direct:
-        partial = partial.groupBy("center").agg(
-            F.sum("members").alias("members"),
-            F.sum("cost").alias("cost"),
-            vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total"),
-        )
-    table = partial.toArrow()
-    shared.unpersist()
+    summed = partial.groupBy("center").agg(
+        F.sum("members").alias("members"),
+        F.sum("cost").alias("cost"),
+        vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total"),
+    )
+    table = summed.toArrow()
+    shared.destroy()
     members, cost, sums = np.zeros(total), np.zeros(total), np.zeros((total, dims))
     center = table.column("center").to_numpy()
     np.add.at(members, center, table.column("members").to_numpy())
@@ -198,7 +193,6 @@ def fit_many(
     if points.isEmpty():
         raise ValueError("there are no vectors to cluster")
     points = fewer_tasks(points)
-    direct = points.rdd.getNumPartitions() <= DIRECT_TASKS
     spread = points.agg(
         Summarizer.metrics("mean", "variance", "count").summary(array_to_vector("embedding")).alias("s")
     ).first().s
@@ -207,11 +201,11 @@ def fit_many(
     fits = [Fit(k, r, np.empty((0, dims))) for k, r in models]
 
     for step in range(max(k for k, _ in models)):
-        _draw_centers(points, [f for f in fits if f.k > step], seed, step, dims, direct)
+        _draw_centers(points, [f for f in fits if f.k > step], seed, step, dims)
 
     active = list(fits)
     while active:
-        for fit, (members, sums, _) in zip(active, _pass(points, active, dims, direct)):
+        for fit, (members, sums, _) in zip(active, _pass(points, active, dims)):
             kept = members > 0  # a center without members stays where it is
             moved = fit.centers.copy()
             moved[kept] = sums[kept] / members[kept, None]
@@ -220,7 +214,7 @@ def fit_many(
             fit.iterations += 1
         active = [f for f in active if not f.converged and f.iterations < max_iter]
 
-    for fit, (_, _, inertia) in zip(fits, _pass(points, fits, dims, direct)):
+    for fit, (_, _, inertia) in zip(fits, _pass(points, fits, dims)):
         fit.inertia = inertia
     return fits
 

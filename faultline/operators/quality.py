@@ -9,7 +9,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, functions as F
 
 from faultline.config import QUALITY_WEIGHTS
-from faultline.functions.scalars import half_even, half_up_total
+from faultline.functions.scalars import half_even, mean_half_even
 
 
 def composite(weights: Mapping[str, float] = QUALITY_WEIGHTS) -> Column:
@@ -28,47 +28,72 @@ def split(scored: DataFrame, threshold: float = 0.50) -> tuple[DataFrame, DataFr
 
 
 def describe(df: DataFrame, column: str) -> DataFrame:
-    """Count, mean, deviation, extremes and exact quartiles.
+    """Count, mean, deviation, extremes and exact quartiles of values with three decimals, at three places.
 
-    Exact percentiles keep one counter per distinct value; scores have three decimals, so at most 1,001 of them.
+    Exact percentiles keep one counter per distinct value: at most 1,001 of them for scores, which lie between 0 and 1.
+    They are taken of thousandths, which interpolate without error.
     """
     value = F.col(column)
+    thousandths = F.round(value * 1000.0)
+
+    def quartile(share: float) -> Column:
+        return F.rint(F.percentile(thousandths, share)) / 1000.0
+
     return df.agg(
         F.count(value).alias("n"),
-        half_up_total(F.avg(value), 6).alias("mean"),
-        half_up_total(F.stddev_samp(value), 6).alias("std"),
+        mean_half_even(value, 3, 3).alias("mean"),
+        (F.rint(F.stddev_samp(value) * 1000.0) / 1000.0).alias("std"),
         F.min(value).alias("min"),
-        F.round(F.percentile(value, 0.25), 6).alias("q1"),
-        F.round(F.percentile(value, 0.50), 6).alias("median"),
-        F.round(F.percentile(value, 0.75), 6).alias("q3"),
+        quartile(0.25).alias("q1"),
+        quartile(0.50).alias("median"),
+        quartile(0.75).alias("q3"),
         F.max(value).alias("max"),
     )
 
 
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
-    """Equal-width bins from minimum to maximum with the last one closed; empty bins count 0."""
+    """Equal-width bins from minimum to maximum with the last one closed; empty bins count 0.
+
+    As in array libraries, a value belongs to the bin between whose edges it lies: the computed position is corrected
+    by the edges themselves. A single value lies in the middle of bins from half below to half above it.
+    """
     spark = df.sparkSession
     values = df.select(F.col(column).alias("x")).filter(F.col("x").isNotNull())
     # Each bound is a scalar subquery: one partial aggregate, folded into the scan that follows as a literal.
-    limits = values.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi")).alias("limits"))
+    single = F.when(F.min("x") == F.max("x"), 0.5).otherwise(0.0)
+    limits = values.agg(F.struct((F.min("x") - single).alias("lo"), (F.max("x") + single).alias("hi")).alias("limits"))
     lo, hi = limits.select("limits.lo").scalar(), limits.select("limits.hi").scalar()
-    width = hi - lo
-    position = F.when(width == 0, F.lit(0)).otherwise(
-        F.least(F.lit(bins - 1), F.floor(F.try_divide(F.col("x") - lo, width) * bins))
+
+    def edge(i: Column) -> Column:
+        return F.when(i == bins, hi).otherwise(i * ((hi - lo) / bins) + lo)
+
+    at = F.least(F.lit(bins - 1), F.floor(F.try_divide(F.col("x") - lo, hi - lo) * bins).cast("int"))
+    placed = values.withColumn("at", at)
+    moved = (
+        F.when(F.col("x") < edge(F.col("at")), F.col("at") - 1)
+        .when((F.col("x") >= edge(F.col("at") + 1)) & (F.col("at") < bins - 1), F.col("at") + 1)
+        .otherwise(F.col("at"))
     )
-    counts = values.groupBy(position.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("records"))
+    counts = placed.groupBy(moved.alias("bin")).agg(F.count(F.lit(1)).alias("records"))
     grid = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
     return (
         grid.join(counts, "bin", "left")
         .select(
             "bin",
-            F.round(lo + width * F.col("bin") / bins, 6).alias("bin_start"),
-            F.round(lo + width * (F.col("bin") + 1) / bins, 6).alias("bin_end"),
+            F.round(edge(F.col("bin")), 6).alias("bin_start"),
+            F.round(edge(F.col("bin") + 1), 6).alias("bin_end"),
             F.coalesce("records", F.lit(0)).alias("records"),
         )
         .orderBy("bin")
     )
 
 
+def split_counts(scored: DataFrame, threshold: float = 0.50) -> DataFrame:
+    """Rows on either side of the threshold, from one pass."""
+    score = F.col("quality_score")
+    counts = scored.agg(F.count_if(score >= threshold).alias("pass"), F.count_if(score < threshold).alias("reject"))
+    return counts.unpivot([], ["pass", "reject"], "tbl", "row_count")
+
+
 def date_range(df: DataFrame, column: str = "visit_date") -> DataFrame:
     return df.agg(F.min(column).alias("first_date"), F.max(column).alias("last_date"))

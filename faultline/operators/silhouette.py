@@ -12,38 +12,35 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from faultline.functions import arrays
 
-# The exact form needs every pair of the sample, and the sample goes to all tasks. This keeps it below 100 MB.
-MAX_SAMPLE = 100_000
+# The exact form needs every pair of the sample, and the vectors of the sample go to the driver and to all tasks.
+MAX_SAMPLE_BYTES = 256 << 20
 
 
 def sample_rows(df: DataFrame, key: str, size: int, seed: int) -> DataFrame:
-    """A repeatable uniform sample of exactly `min(size, rows)` rows: the first by a hash of key and seed."""
-    if size > MAX_SAMPLE:
-        raise ValueError(f"the sample is limited to {MAX_SAMPLE} rows")
+    """A repeatable uniform sample of exactly `min(size, rows)` rows: the first by a hash of key and seed. Every task
+    keeps its first rows while it reads; nothing is sorted as a whole."""
     draw = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
-    rows = df.count()
-    if rows <= size:
-        return df
-    # Rows far behind in the hash order cannot be drawn: cut them before the sort, with a wide margin.
-    share = (4 * size + 1000) / rows
-    front = df.withColumn("_draw", draw)
-    if share < 1:
-        bound = f"{int(share * 16**8):08x}"
-        ahead = front.filter(F.col("_draw") < bound)
-        if ahead.count() >= size:
-            front = ahead
-    return front.orderBy("_draw", key).limit(size).drop("_draw")
-
-
-def _point_scores(x: np.ndarray, own: np.ndarray, block: np.ndarray, labels: np.ndarray, k: int) -> np.ndarray:
-    """Silhouette of rows `x` with labels `own` against the whole sample; a lone member of a cluster gets 0."""
+    return df.withColumn("_draw", draw).orderBy("_draw", key).limit(size).drop("_draw")
+
+
+def check_sample(size: int, dims: int) -> None:
+    """Refuse a sample setting whose vectors would not be small, whatever the number of rows that there are."""
+    if size * dims * 8 > MAX_SAMPLE_BYTES:
+        raise ValueError(f"{size} vectors of {dims} numbers are more than {MAX_SAMPLE_BYTES >> 20} MB; take a smaller sample")
+
+
+def _distances(x: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """Differences, not the expanded square: the distance of a row to itself must be an exact zero."""
+    return np.stack([np.sqrt(((block - row) ** 2).sum(axis=1)) for row in x])
+
+
+def _point_scores(distances: np.ndarray, own: np.ndarray, labels: np.ndarray, k: int) -> np.ndarray:
+    """Silhouette of rows with labels `own` from their distances to the whole sample; a lone member of a cluster gets 0."""
     member = np.zeros((len(labels), k))
     member[np.arange(len(labels)), labels] = 1.0
     sizes = member.sum(axis=0)
-    # Differences, not the expanded square: the distance of a row to itself must be an exact zero.
-    distances = np.stack([np.sqrt(((block - row) ** 2).sum(axis=1)) for row in x])
     sums = distances @ member
-    mine = np.arange(len(x))
+    mine = np.arange(len(own))
     a = sums[mine, own] / np.maximum(sizes[own] - 1, 1)
     others = np.divide(sums, sizes, out=np.full_like(sums, np.inf), where=sizes > 0)
     others[mine, own] = np.inf
@@ -70,8 +67,9 @@ def point_scores(
             positions = batch.column(0).to_numpy()
             for part in arrays.chunks(len(positions), 256):
                 at = positions[part]
+                distances = _distances(all_rows[at], all_rows)  # the same for every labelling
                 for name, (labels, k) in zip(names, codes):
-                    scores = _point_scores(all_rows[at], labels[at], all_rows, labels, k)
+                    scores = _point_scores(distances, labels[at], labels, k)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([name] * len(at)), pa.array(ids[at]), pa.array(labels[at], pa.int32()), pa.array(scores)],
                         names=["labelling", "key", "position", "silhouette"],
@@ -86,6 +84,8 @@ def exact(
     df: DataFrame, key: str, vector: str, labels: Sequence[str], sample_size: int = 2000, seed: int = 42
 ) -> DataFrame:
     """Exact Euclidean silhouette of each sampled row, for every labelling column in `labels`."""
+    width = df.select(F.size(vector)).first()
+    check_sample(sample_size, width[0] if width else 0)
     rows = (
         sample_rows(df.select(key, vector, *labels), key, sample_size, seed)
         .orderBy(key)

@@ -16,9 +16,8 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from faultline.functions import arrays
 from faultline.sources.shared import fewer_tasks
 
-# Up to this many terms the Gramian (at most 128 MB) is built in a single pass over the matrix and factored on the
-# driver. Beyond it the iterative solver is used, which keeps one vector instead but needs a pass per iteration.
-GRAMIAN_TERMS = 4096
+# The Gramian of the terms goes to the driver, in one pass over the matrix. A vocabulary of 11,000 terms has 1 GB.
+MAX_GRAMIAN_BYTES = 1 << 30
 
 
 @dataclass(frozen=True)
@@ -33,13 +32,29 @@ class SvdModel:
         return self.components.shape[1]
 
 
+def _leading(gramian: np.ndarray, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Leading eigenpairs of a symmetric matrix by block iteration: a block of twice as many vectors is multiplied,
+    orthogonalised and rotated until the leading values stand still."""
+    terms = len(gramian)
+    width = min(terms, 2 * dims + 8)
+    block = np.linalg.qr(np.random.default_rng(0).standard_normal((terms, width)))[0]
+    for _ in range(500):
+        block = np.linalg.qr(gramian @ block)[0]
+        product = gramian @ block
+        values, turn = np.linalg.eigh(block.T @ product)
+        order = np.argsort(values)[::-1]
+        values, block = values[order], block @ turn[:, order]
+        residual = np.linalg.norm(product @ turn[:, order[:dims]] - block[:, :dims] * values[:dims], axis=0)
+        if residual.max() <= 1e-9 * max(values[0], 1e-300):
+            break
+    return values[:dims], block[:, :dims]
+
+
 def _factor(matrix: RowMatrix, terms: int, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    if terms <= GRAMIAN_TERMS:
-        values, vectors = np.linalg.eigh(matrix.computeGramianMatrix().toArray())
-        top = np.argsort(values)[::-1][:dims]
-        return np.sqrt(np.maximum(values[top], 0.0)), vectors[:, top]
-    result = matrix.computeSVD(dims, computeU=False)
-    return result.s.toArray(), result.V.toArray()
+    if terms * terms * 8 > MAX_GRAMIAN_BYTES:
+        raise ValueError(f"the Gramian of {terms} terms has more than {MAX_GRAMIAN_BYTES >> 20} MB; take fewer terms")
+    values, vectors = _leading(matrix.computeGramianMatrix().toArray(), dims)
+    return np.sqrt(np.maximum(values, 0.0)), vectors
 
 
 def fit(weighted: DataFrame, terms: int, dims: int = 64, column: str = "tfidf") -> SvdModel:

@@ -33,6 +33,7 @@ def search(points: DataFrame, key: str, cfg: Config = Config()) -> Sweep:
         trained.unpersist()
     best = {k: kmeans.best_of(fits, k) for k in cfg.k_values}
 
+    silhouette.check_sample(cfg.silhouette_sample, next(iter(best.values())).centers.shape[1])
     sample = silhouette.sample_rows(
         points.select(key, "row_hash", "embedding"), key, cfg.silhouette_sample, cfg.seed
     ).collect()

@@ -21,8 +21,9 @@ from faultline.functions import arrays
 from faultline.functions.stopwords import ENGLISH_STOP_WORDS
 from faultline.functions.text import bigrams, drop_stop_words, tokens, unigrams_and_bigrams
 
-# The vocabulary is model state on the driver and in every task, so its size is limited by contract.
-MAX_VOCABULARY = 100_000
+# The vocabulary is model state on the driver and in every task. A term takes about 100 bytes, and 64 weights of a
+# reduced dimension 512 more.
+MAX_VOCABULARY_BYTES, TERM_BYTES = 64 << 20, 640
 
 
 @dataclass(frozen=True)
@@ -82,8 +83,8 @@ def vocabulary(
     at least as frequent as the last word that would make the list can enter it. Counting just these is exact, and
     replaces a shuffle of all distinct pairs of the corpus by one of at most a few million.
     """
-    if max_features > MAX_VOCABULARY:
-        raise ValueError(f"max_features is limited to {MAX_VOCABULARY}")
+    if max_features * TERM_BYTES > MAX_VOCABULARY_BYTES:
+        raise ValueError(f"a vocabulary of {max_features} terms is more than {MAX_VOCABULARY_BYTES >> 20} MB of model")
     spark = texts.sparkSession
     documents = texts.agg(F.count(F.lit(1))).scalar()
     words = with_words(texts.select(text), text, stop_words).select("words")

@@ -6,8 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from faultline.sources.tables import compact
-
 
 def contingency(df: DataFrame, truth: str, cluster: str) -> DataFrame:
     """Rows per (label, cluster): the only pass over the data that the measures below need."""
@@ -35,19 +33,22 @@ def ari(cells: DataFrame) -> DataFrame:
     return sums.select(F.round(F.coalesce(F.try_divide(F.col("both") - expected, room), F.lit(1.0)), 6).alias("ari"))
 
 
+def crosstab_cells(cells: DataFrame) -> DataFrame:
+    """Share of each label's rows per cluster, two decimals, as a heat map needs it: every label with every cluster,
+    absent pairs 0. Rows without a label or without a cluster do not count."""
+    known = cells.filter(F.col("label").isNotNull() & F.col("cluster").isNotNull())
+    # One row per label with its counts by cluster; the list of clusters is a scalar of the same small table.
+    rows = known.groupBy("label").agg(
+        F.map_from_entries(F.collect_list(F.struct("cluster", "records"))).alias("records"), F.sum("records").alias("total")
+    )
+    names = known.agg(F.sort_array(F.collect_set("cluster")).alias("names")).scalar()
+    grid = rows.select("label", "records", "total", F.explode(names).alias("cluster"))
+    count = F.coalesce(F.try_element_at("records", F.col("cluster")), F.lit(0))
+    return grid.select("label", "cluster", (F.rint(count / F.col("total") * 100.0) / 100.0).alias("share"))
+
+
 def crosstab(cells: DataFrame, clusters: Sequence[str] | None = None) -> DataFrame:
-    """Share of each label's rows per cluster, two decimals, one column per cluster; absent pairs are 0."""
-    cells, _ = compact(cells)  # finding the columns and filling them must not scan the data twice
-    grouped = cells.groupBy("label")
-    wide = grouped.pivot("cluster", list(clusters)) if clusters else grouped.pivot("cluster")
-    counts = wide.agg(F.sum("records")).fillna(0)
-    names = [c for c in counts.columns if c != "label"]
-    total = sum((F.col(f"`{c}`") for c in names), F.lit(0))
-    shares = [(F.rint(F.col(f"`{c}`") / total * 100.0) / 100.0).alias(c) for c in names]
-    return counts.select("label", *shares)
-
-
-def crosstab_cells(wide: DataFrame) -> DataFrame:
-    """The long form of the table: every label with every cluster, as a heat map needs it."""
-    names = [c for c in wide.columns if c != "label"]
-    return wide.unpivot(["label"], [F.col(f"`{c}`") for c in names], "cluster", "share")
+    """The same with one column per cluster, those given or all of them."""
+    long = crosstab_cells(cells).groupBy("label")
+    wide = long.pivot("cluster", list(clusters)) if clusters else long.pivot("cluster")
+    return wide.agg(F.first("share"))

@@ -22,13 +22,27 @@ def _name(column: str) -> str:
     return _case(column, CLUSTER_NAMES, f"concat('Cluster ', {column})")
 
 
-def _half_even_total(value: str, places: int) -> str:
-    scale = 10**places
-    return f"round_even(round(({value}) * {scale}, 6), 0) / {scale}"
+def _mean(value: str, places: int, digits: int) -> str:
+    """The mean in units of the last place, from an exact sum of whole numbers."""
+    total = f"CAST(sum(CAST(round(({value}) * {10**digits}) AS HUGEINT)) AS DOUBLE)"
+    return f"({total} * {10 ** max(places - digits, 0)} / (count({value}) * {10 ** max(digits - places, 0)}))"
 
 
-def _half_up_total(value: str, places: int) -> str:
-    return f"CAST(round(CAST({value} AS DECIMAL(38, 9)), {places}) AS DOUBLE)"
+def _half_even_mean(value: str, places: int, digits: int) -> str:
+    return f"round_even({_mean(value, places, digits)}, 0) / {10**places}"
+
+
+def _half_up_mean(value: str, places: int, digits: int) -> str:
+    return f"round({_mean(value, places, digits)}, 0) / {10**places}"
+
+
+def _half_up(value: str, places: int) -> str:
+    """Of a value with three decimals."""
+    return f"CAST(round(CAST({value} AS DECIMAL(18, 3)), {places}) AS DOUBLE)"
+
+
+def _percent_of(part: str, whole: str) -> str:
+    return f"CAST(round(CAST({part} AS DECIMAL(18, 0)) * 1000 / {whole}, 0) AS DOUBLE) / 10"
 
 
 SCORE = "round_even(" + " + ".join(f"{d} * CAST({w} AS DOUBLE)" for d, w in QUALITY_WEIGHTS.items()) + ", 3)"
@@ -58,10 +72,10 @@ features AS (SELECT *, {_name("cluster")} AS defect_cluster_name FROM scored WHE
 
 AGG = f"""agg AS (
     SELECT equipment_id, count(record_id) AS total_visits, count(DISTINCT cluster) AS distinct_defects,
-           {_half_even_total("avg(quality_score)", 3)} AS avg_quality_score,
-           {_half_even_total("avg(repair_duration_hrs)", 3)} AS avg_repair_hrs,
-           {_half_even_total("avg(downtime_hrs)", 3)} AS avg_downtime_hrs,
-           {_half_even_total("avg(CASE WHEN severity = 'High' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)", 3)}
+           {_half_even_mean("quality_score", 3, 3)} AS avg_quality_score,
+           {_half_even_mean("repair_duration_hrs", 3, 6)} AS avg_repair_hrs,
+           {_half_even_mean("downtime_hrs", 3, 6)} AS avg_downtime_hrs,
+           {_half_even_mean("CASE WHEN severity = 'High' THEN 1 ELSE 0 END", 3, 0)}
                AS pct_high_severity,
            max(visit_date) AS last_visit_date
     FROM features WHERE equipment_id IS NOT NULL GROUP BY equipment_id)"""
@@ -79,15 +93,16 @@ def _selected(column: str, values) -> str:
 
 
 def _histogram(source: str, column: str) -> str:
+    """Bins as their edges define them: closed below, open above, the last one closed."""
     return f"""
-    bounds AS (SELECT min({column}) AS lo, max({column}) AS hi FROM {source}),
-    binned AS (SELECT CASE WHEN hi = lo THEN 0
-                      ELSE least(29, CAST(floor(({column} - lo) / (hi - lo) * 30) AS INTEGER)) END AS bin
-               FROM {source}, bounds WHERE {column} IS NOT NULL),
-    counts AS (SELECT bin, count(*) AS records FROM binned GROUP BY bin)
-    SELECT CAST(g.bin AS INTEGER) AS bin, round(lo + (hi - lo) * g.bin / 30, 6) AS bin_start,
-           round(lo + (hi - lo) * (g.bin + 1) / 30, 6) AS bin_end, coalesce(records, 0) AS records
-    FROM range(30) AS g(bin) CROSS JOIN bounds LEFT JOIN counts USING (bin)"""
+    bounds AS (SELECT min({column}) - CASE WHEN min({column}) = max({column}) THEN 0.5 ELSE 0 END AS lo,
+                      max({column}) + CASE WHEN min({column}) = max({column}) THEN 0.5 ELSE 0 END AS hi FROM {source}),
+    edges AS (SELECT CAST(i AS INTEGER) AS i, CASE WHEN i = 30 THEN hi ELSE i * ((hi - lo) / 30) + lo END AS edge
+              FROM range(31) AS g(i) CROSS JOIN bounds),
+    bins AS (SELECT i AS bin, edge AS low, lead(edge) OVER (ORDER BY i) AS high FROM edges)
+    SELECT bin, round(low, 6) AS bin_start, round(high, 6) AS bin_end, count({column}) AS records
+    FROM bins LEFT JOIN {source} ON {column} >= low AND ({column} < high OR bin = 29 AND {column} <= high)
+    WHERE high IS NOT NULL GROUP BY bin, low, high"""
 
 
 _LISTED = ", ".join(_text(w) for w in ENGLISH_STOP_WORDS)
@@ -188,6 +203,10 @@ def oracle_sql() -> dict[str, str]:
             " data_quality_frequency, data_quality_freshness, data_quality_completeness, data_quality_pertinence,"
             " quality_score FROM scored"
         ),
+        "scan_csv_texts": """
+            SELECT concat('WO-', lpad(CAST(doc_id + 1 AS VARCHAR), CAST(greatest(5, len(CAST(doc_id + 1 AS VARCHAR))) AS INTEGER), '0'))
+                       AS record_id, text AS defect_description, lang AS true_defect_label,
+                   DATE '2022-01-01' + CAST(doc_id % 731 AS INTEGER) AS visit_date FROM documents""",
         "scan_table": "SELECT s_suppkey, s_name, s_acctbal FROM supplier",
         "sink_table_roundtrip": _model("SELECT * FROM master"),
         "small_dim_from_rows": f"""
@@ -240,11 +259,11 @@ def oracle_sql() -> dict[str, str]:
             FROM orders""",
         "nullable_when": _model("SELECT record_id, equipment_id, days_to_failure FROM dims"),
         "quality_describe": _model(
-            f"""SELECT count(quality_score) AS n, {_half_up_total("avg(quality_score)", 6)} AS mean,
-                {_half_up_total("stddev_samp(quality_score)", 6)} AS std, min(quality_score) AS min,
-                round(quantile_cont(quality_score, 0.25), 6) AS q1,
-                round(quantile_cont(quality_score, 0.5), 6) AS median,
-                round(quantile_cont(quality_score, 0.75), 6) AS q3, max(quality_score) AS max FROM features"""
+            f"""SELECT count(quality_score) AS n, {_half_even_mean("quality_score", 3, 3)} AS mean,
+                round_even(stddev_samp(quality_score) * 1000, 0) / 1000 AS std, min(quality_score) AS min,
+                round_even(quantile_cont(round(quality_score * 1000), 0.25), 0) / 1000 AS q1,
+                round_even(quantile_cont(round(quality_score * 1000), 0.5), 0) / 1000 AS median,
+                round_even(quantile_cont(round(quality_score * 1000), 0.75), 0) / 1000 AS q3, max(quality_score) AS max FROM features"""
         ),
         "quality_histogram": f"WITH {MASTER}, {ORDERS}, {_histogram('scored', 'quality_score')}",
         "event_histogram": f"WITH {_histogram('events', 'value')}",
@@ -257,15 +276,15 @@ def oracle_sql() -> dict[str, str]:
         "equipment_agg": _model("SELECT * FROM agg"),
         "top_equipment": _model(
             f"""SELECT equipment_id, total_visits, distinct_defects, round(avg_repair_hrs, 1) AS avg_repair_hrs,
-                {_half_up_total("pct_high_severity * 100", 1)} AS pct_high_severity
+                {_half_up("pct_high_severity * 100", 1)} AS pct_high_severity
                 FROM agg ORDER BY total_visits DESC, equipment_id LIMIT 5"""
         ),
         "report_equipment": _model(
             f"""SELECT equipment_id, equipment_type, location, manufacturer, criticality, total_visits,
                 distinct_defects, avg_quality_score,
-                {_half_up_total("avg_repair_hrs", 1)} AS avg_repair_hrs,
-                {_half_up_total("avg_downtime_hrs", 1)} AS avg_downtime_hrs,
-                {_half_up_total("pct_high_severity * 100", 1)} AS pct_high_severity, last_visit_date
+                {_half_up("avg_repair_hrs", 1)} AS avg_repair_hrs,
+                {_half_up("avg_downtime_hrs", 1)} AS avg_downtime_hrs,
+                {_half_up("pct_high_severity * 100", 1)} AS pct_high_severity, last_visit_date
                 FROM agg JOIN master USING (equipment_id)"""
         ),
         "report_defect_data": _model(f"SELECT {DEFECT_DATA} FROM features"),
@@ -281,7 +300,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "report_monthly_trend": _model(
             f"""SELECT CAST(date_trunc('month', visit_date) AS DATE) AS month, count(*) AS visits,
-                {_half_up_total("avg(quality_score)", 3)} AS avg_quality FROM features GROUP BY 1"""
+                {_half_up_mean("quality_score", 3, 3)} AS avg_quality FROM features GROUP BY 1"""
         ),
         "report_kpis": _model(
             "SELECT count(record_id) AS total_work_orders, round(avg(repair_duration_hrs), 6) AS avg_repair_hrs,"
@@ -292,14 +311,14 @@ def oracle_sql() -> dict[str, str]:
         ),
         "report_by_severity": _model(
             f"""SELECT severity, count(record_id) AS records,
-                {_half_up_total("count(record_id) * 100.0::DOUBLE / (SELECT count(record_id) FROM features)", 1)} AS pct
+                {_percent_of("count(record_id)", "(SELECT count(record_id) FROM features)")} AS pct
                 FROM features GROUP BY severity"""
         ),
         "report_downtime_by_type": _model(
             "SELECT equipment_type, round(avg(downtime_hrs), 6) AS avg_downtime_hrs FROM features GROUP BY 1"
         ),
         "report_quality_by_type": _model(
-            f"""SELECT equipment_type, count(*) AS visits, {_half_up_total("avg(quality_score)", 3)} AS avg_quality
+            f"""SELECT equipment_type, count(*) AS visits, {_half_up_mean("quality_score", 3, 3)} AS avg_quality
                 FROM features GROUP BY 1"""
         ),
         "tokenise": f"""WITH t AS (SELECT doc_id, {_TOKENS} AS w FROM documents)
@@ -372,7 +391,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT count(DISTINCT cluster) AS clusters FROM renumbered WHERE cluster >= 0""",
         "cluster_membership": f"""WITH {RENUMBERED}
             SELECT cluster, {_name("cluster")} AS defect_cluster_name, count(*) AS records,
-                   {_half_up_total("count(*) * 100.0::DOUBLE / (SELECT count(*) FROM renumbered)", 1)} AS pct
+                   {_percent_of("count(*)", "(SELECT count(*) FROM renumbered)")} AS pct
             FROM renumbered GROUP BY cluster""",
         "cluster_sizes_flagged": f"""WITH {RENUMBERED},
             named AS (SELECT {_name("cluster")} AS defect_cluster_name FROM renumbered)
@@ -381,7 +400,8 @@ def oracle_sql() -> dict[str, str]:
         "ari": f"WITH {MASTER}, {ORDERS}, {_ARI} SELECT ari FROM agreement",
         "crosstab_normalised": f"""WITH {MASTER}, {ORDERS},
             cells AS (SELECT true_defect_label AS label, defect_cluster_name AS cluster, count(*) AS n
-                      FROM features GROUP BY ALL),
+                      FROM features
+                      WHERE true_defect_label IS NOT NULL AND defect_cluster_name IS NOT NULL GROUP BY ALL),
             grid AS (SELECT label, cluster FROM (SELECT DISTINCT label FROM cells)
                      CROSS JOIN (SELECT DISTINCT cluster FROM cells)),
             totals AS (SELECT label, sum(n) AS total FROM cells GROUP BY label)

@@ -38,7 +38,7 @@ def all_queries() -> dict[str, Query]:
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
     docs = views.table(spark, folder, "documents").select("doc_id", "text", "lang")
-    return spread(docs, "doc_id")
+    return spread(docs)
 
 
 def _vectors(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,7 +59,18 @@ def scan_csv_roundtrip(spark, folder):
     orders = views.scored(spark, folder, with_location=True).select(*WORK_ORDERS.fieldNames())
     path = fresh_path(spark, "work_orders_csv")
     tables.write_csv(orders, path)
-    return tables.read_csv(spark, path, WORK_ORDERS)
+    return tables.read_csv(spark, path, WORK_ORDERS, escaped=True)
+
+
+@query
+def scan_csv_texts(spark, folder):
+    """Whole documents as descriptions, line breaks and all."""
+    orders = quality.with_score(views.text_work_orders(spark, folder)).withColumn("technician_id", F.lit("TECH-001"))
+    path = fresh_path(spark, "text_orders_csv")
+    tables.write_csv(orders.select(*WORK_ORDERS.fieldNames()), path)
+    return tables.read_csv(spark, path, WORK_ORDERS, escaped=True).select(
+        "record_id", "defect_description", "true_defect_label", "visit_date"
+    )
 
 
 @query
@@ -145,8 +156,7 @@ def quality_filter_reject(spark, folder):
 
 @query
 def quality_split(spark, folder):
-    kept, rejected = quality.split(views.scored(spark, folder))
-    return tables.row_counts({"pass": kept, "reject": rejected})
+    return quality.split_counts(views.scored(spark, folder))
 
 
 @query
@@ -502,7 +512,7 @@ def ari(spark, folder):
 @query
 def crosstab_normalised(spark, folder):
     cells = validate.contingency(views.defect_features(spark, folder), "true_defect_label", "defect_cluster_name")
-    return validate.crosstab_cells(validate.crosstab(cells))
+    return validate.crosstab_cells(cells)
 
 
 # --- fitted models --------------------------------------------------------------------------------------------------
@@ -510,7 +520,7 @@ def crosstab_normalised(spark, folder):
 
 def _points(spark, folder):
     vectors = clusters.unit_vectors(_vectors(spark, folder), "embedding")
-    return materialise(kmeans.with_row_hash(spread(vectors, "vec_id"), "vec_id"), "vectors")
+    return materialise(kmeans.with_row_hash(spread(vectors), "vec_id", "embedding"), "vectors")
 
 
 @query

@@ -6,10 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from faultline.functions.scalars import half_up_total, is_any, percent, with_all
+from faultline.functions.scalars import is_any, mean_half_up, percent, percent_of, with_all
 
 
 def defect_data(features: DataFrame) -> DataFrame:
+    # The columns of the published data set, in its order.
     return features.select(
         "record_id",
         "equipment_id",
@@ -31,7 +32,7 @@ def monthly_trend(features: DataFrame) -> DataFrame:
         features.groupBy(F.date_trunc("month", "visit_date").cast("date").alias("month"))
         .agg(
             F.count(F.lit(1)).alias("visits"),
-            half_up_total(F.avg("quality_score"), 3).alias("avg_quality"),
+            mean_half_up(F.col("quality_score"), 3, 3).alias("avg_quality"),
         )
         .orderBy("month")
     )
@@ -123,7 +124,7 @@ def by_cluster(features: DataFrame) -> DataFrame:
 
 def by_severity(features: DataFrame) -> DataFrame:
     counts = features.groupBy("severity").agg(F.count("record_id").alias("records"))
-    return counts.withColumn("pct", percent(F.col("records") / F.sum("records").over(Window.partitionBy())))
+    return counts.withColumn("pct", percent_of(F.col("records"), F.sum("records").over(Window.partitionBy())))
 
 
 def downtime_by_type(features: DataFrame) -> DataFrame:
@@ -133,5 +134,5 @@ def downtime_by_type(features: DataFrame) -> DataFrame:
 def quality_by_type(features: DataFrame) -> DataFrame:
     return features.groupBy("equipment_type").agg(
         F.count(F.lit(1)).alias("visits"),
-        half_up_total(F.avg("quality_score"), 3).alias("avg_quality"),
+        mean_half_up(F.col("quality_score"), 3, 3).alias("avg_quality"),
     )

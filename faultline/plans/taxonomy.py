@@ -57,11 +57,11 @@ class Taxonomy:
 
 
 def embed_texts(texts: DataFrame, key: str, text: str, cfg: Config = Config()) -> Embedded:
-    texts = spread(texts.select(key, text), key)
+    texts = spread(texts.select(key, text))
     vocabulary = tfidf.fit(texts, text, cfg.stop_words, cfg.max_features, cfg.min_df)
     weights = materialise(tfidf.weights(texts, text, vocabulary, [key]), "tfidf")
     reduced = svd.fit(weights, len(vocabulary), cfg.embedding_dims)
-    points = materialise(kmeans.with_row_hash(svd.embed(weights, reduced, [key]), key), "embedding")
+    points = materialise(kmeans.with_row_hash(svd.embed(weights, reduced, [key]), key, "embedding"), "embedding")
     return Embedded(vocabulary, reduced, weights, points)
 
 
@@ -93,7 +93,7 @@ def build(work_orders: DataFrame, cfg: Config = Config(), embedder: embed.Embedd
     """The whole job. With an `embedder` its vectors take the place of TF-IDF and SVD; all else is the same."""
     scored = quality.with_score(work_orders, cfg.quality_weights)
     kept, rejected = quality.split(scored, cfg.quality_threshold)
-    kept = spread(kept, "record_id")
+    kept = spread(kept)
 
     if embedder is None:
         embedded = embed_texts(kept, "record_id", TEXT, cfg)
@@ -102,7 +102,7 @@ def build(work_orders: DataFrame, cfg: Config = Config(), embedder: embed.Embedd
         # A model call costs more than storage: whole records are written with their vector, and never embedded twice.
         rows = materialise(embed.embed_batched(kept, TEXT, kept.columns, embedder), "embedded_records")
         vocabulary, reduced = tfidf.fit(kept, TEXT, cfg.stop_words, cfg.max_features, cfg.min_df), None
-        points = kmeans.with_row_hash(rows.select("record_id", "embedding"), "record_id")
+        points = kmeans.with_row_hash(rows.select("record_id", "embedding"), "record_id", "embedding")
 
     found = sweep.search(points, "record_id", cfg)
     final = sweep.final_fit(points, found, found.best_k, cfg)

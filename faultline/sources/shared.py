@@ -38,17 +38,39 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores when the source has fewer splits than cores; large inputs pass through unshuffled."""
+def plan_bytes(df: DataFrame) -> int:
+    """Spark's estimate of the size of a plan, from the sizes of its files. Nothing runs for it."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def _splits(df: DataFrame) -> int:
+    """About as many tasks as a scan of this size has."""
+    split = df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return min(max(1, -(-plan_bytes(df) // split)), 1 << 20)  # a plan of unknown size counts as a very large one
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal small inputs, of fewer splits than cores, out over all cores; large ones pass through unshuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if _splits(df) < cores else df
 
 
 def fewer_tasks(df: DataFrame) -> DataFrame:
     """For jobs whose tasks each return a result of fixed size: fewer and longer tasks leave less to add up.
 
-    They stay at a few per core, and no task takes more than 16 partitions, in case the cluster has yet to grow.
+    They stay at a few per core, and no task takes more than 16 splits, in case the cluster has yet to grow.
     """
     spark = df.sparkSession
     slots = max(spark.sparkContext.defaultParallelism * 3, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.coalesce(max(slots, df.rdd.getNumPartitions() // 16))
+    return df.coalesce(max(slots, _splits(df) // 16))
+
+
+def drop_tables(df: DataFrame) -> None:
+    """Delete the folders in the shared folder that this plan reads. For intermediates that nobody reads any more."""
+    spark = df.sparkSession
+    root = shared_dir(spark)
+    jvm = spark.sparkContext._jvm
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/faultline/" in folder and root.removeprefix("file:").rstrip("/") in folder:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

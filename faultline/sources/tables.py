@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructType
 
 # A lookup side this small may be broadcast; beyond it the join is left to the shuffle strategies.
 BROADCAST_ROWS = 10_000
@@ -15,21 +15,30 @@ BROADCAST_ROWS = 10_000
 # Quotes inside a value are doubled, as most writers do; a backslash is an ordinary character; blanks are kept.
 CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
+# How `write_csv` writes what would end a line. After it every backslash is followed by one of these letters.
+ESCAPES = (("\\", "\\s"), ("\n", "\\n"), ("\r", "\\r"))
 
-def read_csv(
-    spark: SparkSession, path: str, schema: StructType | None = None, line_breaks: bool = False
-) -> DataFrame:
-    """CSV with a header. Without a schema the types are inferred, at the price of a second pass.
 
-    `line_breaks` admits line breaks inside values; such a file cannot be split between tasks.
+def read_csv(spark: SparkSession, path: str, schema: StructType | None = None, escaped: bool = False) -> DataFrame:
+    """CSV with a header, one record per line. Without a schema the types are inferred, at the price of a second pass.
+
+    A record that does not fit its schema is an error, not a row of nulls. `escaped` is for files of `write_csv`.
     """
-    reader = spark.read.options(**CSV, multiLine=line_breaks)
-    reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
-    return reader.csv(path)
+    reader = spark.read.options(**CSV, mode="FAILFAST")
+    rows = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+    return _each_text(rows, lambda c: reduce(lambda x, e: F.replace(x, F.lit(e[1]), F.lit(e[0])), ESCAPES[::-1], c)) if escaped else rows
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").options(**CSV).csv(path)
+    """Any text survives, and every record is one line, so the files can be split between tasks: line breaks and
+    backslashes inside texts are written as escapes."""
+    escaped = _each_text(df, lambda c: reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ESCAPES, c))
+    escaped.write.mode("overwrite").options(**CSV).csv(path)
+
+
+def _each_text(df: DataFrame, change: Callable[[Column], Column]) -> DataFrame:
+    texts = {f.name for f in df.schema.fields if isinstance(f.dataType, StringType)}
+    return df.select(*[(change(F.col(f"`{c}`")) if c in texts else F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
 def read_table(spark: SparkSession, name: str) -> DataFrame:

@@ -82,7 +82,7 @@ def work_orders(spark: SparkSession, folder: str, with_location: bool = True) ->
     if not with_location:
         return rows.withColumn("location", F.lit(None).cast("string"))
     homes = equipment_master(spark, folder).select("equipment_id", "location")
-    return with_dimension(rows, homes, "equipment_id")
+    return with_dimension(rows, homes, "equipment_id", bound=table(spark, folder, "supplier"))
 
 
 def scored(spark: SparkSession, folder: str, with_location: bool = False) -> DataFrame:

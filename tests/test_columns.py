@@ -41,11 +41,38 @@ def test_score_is_recomputed_and_null_is_in_neither_set(spark):
     assert values(rejected, "id") == ["b"]
 
 
-def test_histogram_of_a_constant_and_of_a_closed_last_bin(spark):
-    flat = quality.histogram(spark.createDataFrame([(2.0,), (2.0,), (None,)], "x double"), "x").collect()
-    assert [r.records for r in flat] == [2] + [0] * 29
-    ramp = quality.histogram(spark.createDataFrame([(float(i),) for i in range(31)], "x double"), "x").collect()
-    assert [r.records for r in ramp] == np.histogram(np.arange(31.0), 30)[0].tolist()
+@pytest.mark.parametrize(
+    "x", [[2.0, 2.0], list(range(31)), [i / 1000 for i in range(300, 901)], [i / 100 for i in range(101)], [-1.5, 0.0, 7.25]]
+)
+def test_histogram_bins_are_those_of_array_libraries(spark, x):
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
+    rows = quality.histogram(df, "x").collect()
+    counts, edges = np.histogram(np.array(x, float), 30)
+    assert [r.records for r in rows] == counts.tolist() and [r.bin for r in rows] == list(range(30))
+    assert np.allclose([r.bin_start for r in rows] + [rows[-1].bin_end], edges, atol=1e-6)
+
+
+def test_means_are_rounded_once(spark):
+    df = spark.createDataFrame(
+        [("tie", 0.612)] * 2 + [("tie", 0.613)] * 2 + [("below", 0.612)] * 501 + [("below", 0.613)] * 500, "g string, x double"
+    ).repartition(7)
+    got = {r.g: (r.up, r.even) for r in df.groupBy("g").agg(
+        scalars.mean_half_up(F.col("x"), 3, 3).alias("up"), scalars.mean_half_even(F.col("x"), 3, 3).alias("even")).collect()}
+    assert got == {"tie": (0.613, 0.612), "below": (0.612, 0.612)}
+    # A total of 0.6124999999996 is not a tie.
+    close = spark.createDataFrame([(0.6124999999996,)], "x double")
+    assert close.select(scalars.mean_half_up(F.col("x"), 3, 13)).first()[0] == 0.612
+    shares = spark.createDataFrame([(1, 8), (1, 16), (49, 400), (0, 3)], "n long, total long")
+    assert [r[0] for r in shares.select(scalars.percent_of(F.col("n"), F.col("total"))).collect()] == [12.5, 6.3, 12.3, 0.0]
+
+
+def test_describe_is_at_three_places(spark):
+    import pandas as pd
+
+    x = [0.3, 0.301, 0.302, 0.4, 0.555, 0.9]
+    row = quality.describe(spark.createDataFrame([(v,) for v in x] + [(None,)], "x double"), "x").first()
+    want = pd.Series(x).describe().round(3)
+    assert list(row) == [want[c] for c in ("count", "mean", "std", "min", "25%", "50%", "75%", "max")]
 
 
 def test_names_for_known_other_and_unknown_ids(spark):
@@ -99,11 +126,14 @@ def test_filters_without_selection_do_not_restrict(spark):
     assert ("severity", None) not in choices and len(choices) == 5
 
 
-def test_crosstab_fills_absent_pairs(spark):
-    df = spark.createDataFrame([("a", 0), ("a", 0), ("a", 1), ("b", 1)], "t string, c int")
-    cells = validate.contingency(df, "t", "c")
-    long = {(r.label, r.cluster): r.share for r in validate.crosstab_cells(validate.crosstab(cells)).collect()}
-    assert long == {("a", "0"): 0.67, ("a", "1"): 0.33, ("b", "0"): 0.0, ("b", "1"): 1.0}
+def test_crosstab_fills_absent_pairs_and_drops_missing_ones(spark):
+    rows = [("a", 0), ("a", 0), ("a", 1), ("b", 1), ("c", 2), ("c", 2), ("c", 2), ("c", None), (None, 0), (None, None)]
+    cells = validate.contingency(spark.createDataFrame(rows, "t string, c int"), "t", "c")
+    long = {(r.label, r.cluster): r.share for r in validate.crosstab_cells(cells).collect()}
+    want = {("a", "0"): 0.67, ("a", "1"): 0.33, ("b", "1"): 1.0, ("c", "2"): 1.0}
+    assert long == {(t, c): want.get((t, c), 0.0) for t in "abc" for c in "012"}
+    wide = {r.label: (r["0"], r["1"], r["2"]) for r in validate.crosstab(cells).collect()}
+    assert wide == {"a": (0.67, 0.33, 0.0), "b": (0.0, 1.0, 0.0), "c": (0.0, 0.0, 1.0)}
 
 
 def _pair_count_ari(a, b):

@@ -24,7 +24,7 @@ def blobs(spark, per=40, centers=5, dims=6, seed=1):
     x = np.concatenate([m + rng.normal(0, 0.6, (per, dims)) for m in middle])
     rows = [(i, v.tolist(), i // per) for i, v in enumerate(x)]
     df = spark.createDataFrame(rows, "id long, embedding array<double>, label int").repartition(4, "id")
-    return kmeans.with_row_hash(df, "id"), x
+    return kmeans.with_row_hash(df, "id", "embedding"), x
 
 
 def test_dense_rejects_wrong_width():
@@ -47,13 +47,15 @@ def test_draws_do_not_depend_on_partitioning(spark):
         assert np.allclose(x.centers, y.centers) and x.inertia == pytest.approx(y.inertia)
 
 
-def test_both_ways_of_adding_up_agree(spark, monkeypatch):
-    df, _ = blobs(spark)
-    direct = kmeans.fit_many(kmeans.points_of(df), [(5, 0), (3, 2)], seed=3)
-    monkeypatch.setattr(kmeans, "DIRECT_TASKS", 0)
-    shuffled = kmeans.fit_many(kmeans.points_of(df), [(5, 0), (3, 2)], seed=3)
-    for x, y in zip(direct, shuffled):
-        assert np.allclose(x.centers, y.centers) and x.inertia == pytest.approx(y.inertia)
+def test_rows_with_equal_or_missing_keys_draw_on_their_own(spark):
+    """Two groups of vectors under one key each, and without any key: the first center is uniform over the rows."""
+    rows = [(key, [float(i), 0.0]) for key in ("same", None) for i in range(8)]
+    df = kmeans.with_row_hash(spark.createDataFrame(rows, "k string, embedding array<double>"), "k", "embedding")
+    assert df.select("row_hash").distinct().count() == 16
+    fits = [kmeans.Fit(1, r, np.empty((0, 2))) for r in range(400)]
+    kmeans._draw_centers(kmeans.points_of(df), fits, 1, 0, 2)
+    hits = np.bincount([int(f.centers[0][0]) for f in fits], minlength=8)
+    assert hits.min() >= 25 and hits.max() <= 80  # 50 expected each; five deviations are 33
 
 
 def test_fit_finds_separated_groups_and_reports_its_inertia(spark):
@@ -67,7 +69,7 @@ def test_fit_finds_separated_groups_and_reports_its_inertia(spark):
 
 def test_inertia_is_no_worse_than_the_built_in_estimator(spark):
     rows = views.table(spark, FOLDER, "embeddings").select("vec_id", "embedding")
-    points = kmeans.points_of(kmeans.with_row_hash(rows, "vec_id")).persist()
+    points = kmeans.points_of(kmeans.with_row_hash(rows, "vec_id", "embedding")).persist()
     ours = kmeans.best_of(kmeans.fit_many(points, [(8, r) for r in range(5)]), 8).inertia
     ready = points.select(array_to_vector("embedding").alias("features"))
     theirs = min(KMeans(k=8, seed=s, maxIter=300).fit(ready).summary.trainingCost for s in range(5))
@@ -77,14 +79,14 @@ def test_inertia_is_no_worse_than_the_built_in_estimator(spark):
 
 def test_more_centers_than_distinct_points(spark):
     df = spark.createDataFrame([(i, [float(i % 2), 0.0]) for i in range(10)], "id long, embedding array<double>")
-    (fit,) = kmeans.fit_many(kmeans.points_of(kmeans.with_row_hash(df, "id")), [(4, 0)])
+    (fit,) = kmeans.fit_many(kmeans.points_of(kmeans.with_row_hash(df, "id", "embedding")), [(4, 0)])
     assert fit.centers.shape == (4, 2) and fit.inertia == pytest.approx(0.0)
 
 
 def test_no_vectors_is_an_error(spark):
     df = spark.createDataFrame([], "id long, embedding array<double>")
     with pytest.raises(ValueError):
-        kmeans.fit_many(kmeans.points_of(kmeans.with_row_hash(df, "id")), [(2, 0)])
+        kmeans.fit_many(kmeans.points_of(kmeans.with_row_hash(df, "id", "embedding")), [(2, 0)])
 
 
 def brute_silhouette(x, labels):
@@ -153,16 +155,24 @@ def test_svd_matches_a_dense_factorisation(spark):
     weighted.unpersist()
 
 
-def test_iterative_solver_gives_the_same_space(spark, monkeypatch):
-    docs = views.table(spark, FOLDER, "documents").select("doc_id", "text")
-    model = tfidf.fit(docs, "text", max_features=200)
-    weighted = tfidf.weights(docs, "text", model, ["doc_id"]).persist()
-    dense = svd.fit(weighted, len(model), 6)
-    monkeypatch.setattr(svd, "GRAMIAN_TERMS", 0)
-    iterative = svd.fit(weighted, len(model), 6)
-    weighted.unpersist()
-    assert np.allclose(dense.singular_values, iterative.singular_values, rtol=1e-4)
-    assert dense.explained_variance == pytest.approx(iterative.explained_variance, rel=1e-3)
+def test_leading_pairs_match_a_dense_factorisation():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 200)) * np.linspace(3, 1, 200)
+    gramian = x.T @ x
+    values, vectors = svd._leading(gramian, 16)
+    want, basis = np.linalg.eigh(gramian)
+    assert np.allclose(values, want[::-1][:16], rtol=1e-9)
+    assert np.allclose(np.abs(np.sum(vectors * basis[:, ::-1][:, :16], axis=0)), 1.0, atol=1e-6)
+    flat = np.zeros((5, 5))
+    assert np.allclose(svd._leading(flat, 3)[0], 0)
+
+
+def test_caps_are_in_bytes(spark, monkeypatch):
+    with pytest.raises(ValueError, match="MB"):
+        silhouette.check_sample(100_000, 1024)
+    silhouette.check_sample(2000, 1024)
+    with pytest.raises(ValueError, match="MB"):
+        tfidf.fit(spark.createDataFrame([("a b",)], "t string"), "t", max_features=1_000_000)
 
 
 def test_embedder_gets_whole_texts_in_batches(spark):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultline.operators import features, kmeans, quality, tfidf
-from faultline.operators.joins import hot_keys, with_dimension
+from faultline.operators.joins import with_dimension
 from faultline.plans import reports, taxonomy
 from faultline.schemas import EQUIPMENT_CLUSTER_AGG
 from faultline.sources import shared, tables, views
@@ -29,13 +29,23 @@ def test_csv_with_and_without_schema(spark, tmp_path):
 
 
 def test_csv_keeps_any_text(spark, tmp_path):
-    texts = ['plain', 'a, b', 'say "hi"', '"', 'back\\slash', 'tail\\', '', None, ' padded ', 'two\nlines', '5 MΩ 65°C']
+    texts = [
+        'plain', 'a, b', 'say "hi"', '"', 'back\\slash', 'tail\\', '\\n', '\\\\s', '', None, ' padded ', 'two\nlines', 'a\r\nb\r', '\n',
+        'x\x1ey', '5 MΩ 65°C',
+    ]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     path = str(tmp_path / "text")
     tables.write_csv(df, path)
-    back = tables.read_csv(spark, path, df.schema, line_breaks=True)
+    back = tables.read_csv(spark, path, df.schema, escaped=True)
     # An empty field is a missing value, in Spark as in other readers.
     assert [r.t for r in back.orderBy("i").collect()] == [t or None for t in texts]
+    assert len(spark.read.text(path).filter("value <> 'i,t'").collect()) == len(texts)
+
+
+def test_a_torn_record_is_an_error(spark, tmp_path):
+    (tmp_path / "torn.csv").write_text('i,t\n1,"two\nlines"\n2,plain\n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        tables.read_csv(spark, str(tmp_path / "torn.csv"), "i int, t string").collect()
 
 
 def test_csv_of_other_writers(spark, tmp_path):
@@ -131,27 +141,57 @@ def test_large_master_is_joined_by_shuffle(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_dimension_join_keeps_every_record_once(spark):
-    rows = [(i, "hot" if i % 3 else f"k{i % 40}") for i in range(6000)] + [(-1, None), (-2, None), (-3, "unknown")]
-    facts = spark.createDataFrame(rows, "id int, k string")
-    dim = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(40)], "k string, v int")
-    small = with_dimension(facts, dim, "k")
-    large = with_dimension(facts, dim, "k", max_rows=10)
-    assert "Union" not in plan(small) and "Union" in plan(large)
-    assert "hot" in [r.k for r in hot_keys(facts, "k").collect()]
-    assert None not in [r.k for r in hot_keys(facts, "k").collect()]
-    want = sorted((i, k, None if k in (None, "unknown") else 1 if k == "hot" else int(k[1:])) for i, k in rows)
-    for joined in (small, large):
-        assert sorted((r.id, r.k, r.v) for r in joined.collect()) == want
+@pytest.fixture
+def no_broadcast(spark):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "32",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
 
 
-def test_records_without_a_key_are_a_hot_group_too(spark):
-    facts = spark.createDataFrame([(i, None if i % 2 else f"k{i}") for i in range(3000)], "id int, k string")
-    dim = spark.createDataFrame([(f"k{i}", i) for i in range(0, 3000, 4)], "k string, v int")
-    assert [r.k for r in hot_keys(facts, "k").collect()] == [None]
-    joined = with_dimension(facts, dim, "k", max_rows=10)
-    assert sorted((r.id, r.v) for r in joined.collect() if r.v is not None) == [(i, i) for i in range(0, 3000, 4)]
-    assert joined.count() == 3000
+def joined_rows(joined):
+    return sorted((r.id, r.k or "", r.v) for r in joined.collect())
+
+
+def test_dimension_join_keeps_every_record_once(spark, no_broadcast):
+    """A hot key, many lukewarm ones, keys without a match and no key at all."""
+    rows = [(i, "hot" if i % 3 else f"k{i % 40}") for i in range(60000)] + [(-1, None), (-2, None), (-3, "unknown")]
+    facts = spark.createDataFrame(rows, "id int, k string").repartition(8)
+    dim = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(40)], "k string, v int")
+    want = sorted((i, k or "", None if k in (None, "unknown") else 1 if k == "hot" else int(k[1:])) for i, k in rows)
+    shuffled = with_dimension(facts, dim, "k")
+    assert joined_rows(shuffled) == want
+    assert "skew=true" in plan(shuffled)
+
+
+def test_records_without_a_key_are_spread(spark, no_broadcast):
+    facts = spark.createDataFrame([(i, None if i % 4 else f"k{i}") for i in range(40000)], "id int, k string")
+    dim = spark.createDataFrame([(f"k{i}", i) for i in range(0, 40000, 8)], "k string, v int")
+    joined = with_dimension(facts, dim, "k")
+    assert "_null_salt" in plan(joined) and joined.count() == 40000
+    assert sorted(r.id for r in joined.filter("v is not null").collect()) == list(range(0, 40000, 8))
+    largest = joined.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert largest < 4 * 40000 / 32
+
+
+def test_no_job_runs_while_a_report_is_planned(spark):
+    tracker, group = spark.sparkContext.statusTracker(), "planning only"
+    spark.sparkContext.setJobGroup(group, "")
+    for with_location in (True, False):
+        reports.defect_data(views.defect_features(spark, FOLDER, with_location=with_location))
+    shared.spread(views.table(spark, FOLDER, "documents").groupBy("lang").count())
+    # Spark reads a Parquet footer for the schema of a table; nothing else may run.
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(group)]
+    stages = [tracker.getStageInfo(s) for j in jobs for s in j.stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert all(s is None or s.numTasks <= 1 for s in stages)
 
 
 def test_records_are_not_shuffled_for_a_small_dimension(spark):
@@ -180,5 +220,6 @@ def test_no_plan_holds_a_cross_join(spark):
 
 
 def test_row_hash_is_stable(spark):
-    a = [r.row_hash for r in kmeans.with_row_hash(spark.range(3), "id").orderBy("id").collect()]
-    assert a == [r.row_hash for r in kmeans.with_row_hash(spark.range(3).repartition(3), "id").orderBy("id").collect()]
+    rows = spark.range(3).withColumn("v", F.array("id"))
+    a = [r.row_hash for r in kmeans.with_row_hash(rows, "id", "v").orderBy("id").collect()]
+    assert a == [r.row_hash for r in kmeans.with_row_hash(rows.repartition(3), "id", "v").orderBy("id").collect()]
