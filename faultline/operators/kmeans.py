@@ -219,6 +219,14 @@ def fit_many(
     return fits
 
 
+def step(points: DataFrame, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Members and mean of each center's rows, and the inertia, after one pass from given centers."""
+    fit = Fit(len(centers), 0, np.asarray(centers, dtype=np.float64))
+    ((members, sums, inertia),) = _pass(points, [fit], fit.centers.shape[1])
+    means = np.where(members[:, None] > 0, sums / np.maximum(members, 1)[:, None], fit.centers)
+    return members.astype(int), means, inertia
+
+
 def best_of(fits: Sequence[Fit], k: int) -> Fit:
     return min((f for f in fits if f.k == k), key=lambda f: (f.inertia, f.restart))
 

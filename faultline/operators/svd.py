@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
@@ -33,21 +34,11 @@ class SvdModel:
 
 
 def _leading(gramian: np.ndarray, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """Leading eigenpairs of a symmetric matrix by block iteration: a block of twice as many vectors is multiplied,
-    orthogonalised and rotated until the leading values stand still."""
-    terms = len(gramian)
-    width = min(terms, 2 * dims + 8)
-    block = np.linalg.qr(np.random.default_rng(0).standard_normal((terms, width)))[0]
-    for _ in range(500):
-        block = np.linalg.qr(gramian @ block)[0]
-        product = gramian @ block
-        values, turn = np.linalg.eigh(block.T @ product)
-        order = np.argsort(values)[::-1]
-        values, block = values[order], block @ turn[:, order]
-        residual = np.linalg.norm(product @ turn[:, order[:dims]] - block[:, :dims] * values[:dims], axis=0)
-        if residual.max() <= 1e-9 * max(values[0], 1e-300):
-            break
-    return values[:dims], block[:, :dims]
+    """Leading eigenpairs of a symmetric matrix. Its spectrum is flat beyond the first few values, so that iterations
+    for the leading ones alone took longer than the whole factorisation."""
+    values, vectors = np.linalg.eigh(gramian)
+    top = np.argsort(values)[::-1][:dims]
+    return values[top], vectors[:, top]
 
 
 def _factor(matrix: RowMatrix, terms: int, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,6 +80,25 @@ def project(offsets: np.ndarray, ids: np.ndarray, weights: np.ndarray, component
     return arrays.unit_rows(out)
 
 
+def second_moments(weighted: DataFrame, model: SvdModel, column: str = "tfidf") -> np.ndarray:
+    """V'GV from the rows: products of the reduced, not yet normalised rows, added up. Its size is that of the model."""
+    shared = weighted.sparkSession.sparkContext.broadcast(model.components)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        components = shared.value
+        total = np.zeros((components.shape[1],) * 2)
+        for batch in batches:
+            offsets, ids, weights = arrays.sparse(batch.column(column))
+            scores = np.zeros((len(offsets) - 1, components.shape[1]))
+            np.add.at(scores, np.repeat(np.arange(len(scores)), np.diff(offsets)), components[ids] * weights[:, None])
+            total += scores.T @ scores
+        yield pa.RecordBatch.from_arrays([arrays.list_column(total.reshape(1, -1))], names=["total"])
+
+    partial = weighted.select(column).mapInArrow(run, "total array<double>")
+    added = partial.select(Summarizer.sum(array_to_vector("total")).alias("total")).first().total
+    return added.toArray().reshape((model.dims,) * 2)
+
+
 def embed(weighted: DataFrame, model: SvdModel, keep: Sequence[str], column: str = "tfidf") -> DataFrame:
     """`keep` and `embedding`; a zero row keeps a zero embedding."""
     keep = list(keep)

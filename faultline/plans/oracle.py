@@ -6,7 +6,7 @@ from faultline.config import CLUSTER_NAMES, LABEL_SEVERITY, QUALITY_WEIGHTS, Con
 from faultline.functions.stopwords import ENGLISH_STOP_WORDS
 from faultline.functions.text import TOKEN_PATTERN
 from faultline.plans.queries import FILTERS, MIN_VECTORS
-from faultline.sources.views import FLAG_SEVERITY, TABLES
+from faultline.sources.views import FLAG_SEVERITY, LANG_SEVERITY, TABLES
 
 
 def _text(value: str) -> str:
@@ -341,6 +341,39 @@ def oracle_sql() -> dict[str, str]:
             SELECT lang, CAST(rank AS INTEGER) AS rank, term, round(score, 6) AS score FROM ranked WHERE rank <= 8""",
         "cluster_term_labels": f"""WITH {_TOP_TERMS}
             SELECT lang, string_agg(term, ', ' ORDER BY rank) AS terms FROM ranked WHERE rank <= 6 GROUP BY lang""",
+        "embedding_shape": f"""WITH {_VOCABULARY}
+            SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM vocabulary) AS vocabulary_size,
+                   (SELECT count(*) FROM documents WHERE doc_id NOT IN
+                       (SELECT doc_id FROM tf JOIN vocabulary USING (term))) AS zero_vectors,
+                   CAST(0 AS BIGINT) AS other_lengths""",
+        "svd_residual": "SELECT i AS component, 0.0::DOUBLE AS residual FROM range(64) AS g(i)",
+        "sweep_checks": f"""SELECT k, true AS inertia_holds, true AS all_placed, CAST(1 AS BIGINT) AS best_rows
+            FROM range({min(Config().k_values)}, {max(Config().k_values) + 1}) AS ks(k)""",
+        "taxonomy_records": f"""WITH d AS (
+                SELECT *, CAST(doc_id % 50 + 1 AS INTEGER) AS unit, 0.5::DOUBLE + (doc_id % 156) / 10 AS repair,
+                       0.30::DOUBLE + (doc_id % 71) / 100 AS data_quality_frequency,
+                       0.40::DOUBLE + (doc_id * 7 % 61) / 100 AS data_quality_freshness,
+                       0.50::DOUBLE + (doc_id * 11 % 51) / 100 AS data_quality_completeness,
+                       0.40::DOUBLE + (doc_id * 13 % 61) / 100 AS data_quality_pertinence FROM documents),
+            s AS (SELECT *, {SCORE} AS quality_score FROM d)
+            SELECT concat('WO-', lpad(CAST(doc_id + 1 AS VARCHAR),
+                          CAST(greatest(5, len(CAST(doc_id + 1 AS VARCHAR))) AS INTEGER), '0')) AS record_id,
+                   printf('EQ-%04d', unit) AS equipment_id, concat('Type ', unit % 8) AS equipment_type,
+                   concat('Site ', unit % 6) AS location,
+                   DATE '2022-01-01' + CAST(doc_id % 731 AS INTEGER) AS visit_date,
+                   text AS defect_description, lang AS true_defect_label, {_case("lang", LANG_SEVERITY)} AS severity,
+                   CASE WHEN doc_id % 5 < 3 THEN CAST(doc_id % 180 + 1 AS INTEGER) END AS days_to_failure,
+                   round(repair, 1) AS repair_duration_hrs, CAST(((5 + doc_id % 156) * (doc_id % 7) + 2) // 4 AS DOUBLE) / 10 AS downtime_hrs,
+                   source AS parts_replaced, quality_score, data_quality_frequency, data_quality_freshness,
+                   data_quality_completeness, data_quality_pertinence
+            FROM s WHERE quality_score >= 0.5""",
+        "kmeans_step": f"""WITH {CENTROIDS},
+            c AS (SELECT label, list(value ORDER BY pos) AS v FROM centers GROUP BY label),
+            placed AS (SELECT vec_id, arg_min(c.label, (list_distance(vectors.v, c.v), c.label)) AS nearest
+                       FROM vectors CROSS JOIN c GROUP BY vec_id),
+            n AS (SELECT nearest, count(*) AS members FROM placed GROUP BY nearest)
+            SELECT nearest AS label, members, CAST(pos AS INTEGER) AS pos, round(avg(x), 6) AS value
+            FROM placed JOIN cells USING (vec_id) JOIN n USING (nearest) GROUP BY nearest, members, pos""",
         "embed_batched": f"""
             WITH words AS (SELECT doc_id, unnest({_TOKENS}) AS word FROM documents),
             hashed AS (SELECT doc_id, CAST(concat('0x', substr(md5(word), 1, 8)) AS BIGINT) AS h FROM words),

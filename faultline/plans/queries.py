@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from faultline.config import Config, LABEL_SEVERITY
 from faultline.functions import scalars, text as txt
@@ -84,7 +84,9 @@ def sink_table_roundtrip(spark, folder):
     path = fresh_path(spark, "equipment_master")
     name = f"faultline_master_{path.split('/')[-2][:12]}"
     tables.write_table(views.equipment_master(spark, folder), name, path=path)
-    return tables.read_table(spark, name)
+    out = tables.read_table(spark, name)
+    spark.sql(f"DROP TABLE {name}")  # the rows are in the folder, which the result reads
+    return out
 
 
 @query
@@ -523,6 +525,40 @@ def _points(spark, folder):
     return materialise(kmeans.with_row_hash(spread(vectors), "vec_id", "embedding"), "vectors")
 
 
+@query
+def kmeans_step(spark, folder):
+    """One pass of the fitting code from the means of the labels: members and new means."""
+    vectors = _vectors(spark, folder)
+    start = clusters.centroids(vectors, "label", "embedding").orderBy("label").collect()
+    points = kmeans.points_of(kmeans.with_row_hash(vectors, "vec_id", "embedding"))
+    members, means, _ = kmeans.step(points, np.array([r.centroid for r in start]))
+    rows = [(r.label, int(n), m.tolist()) for r, n, m in zip(start, members, means)]
+    found = spark.createDataFrame(rows, f"label {vectors.schema['label'].dataType.simpleString()}, members long, mean array<double>")
+    return _long(found, "label", "members", vector="mean")
+
+
+@query
+def embedding_shape(spark, folder):
+    """Documents, terms, and documents without any known term, which have the zero vector."""
+    built = taxonomy.embed_texts(_documents(spark, folder), "doc_id", "text")
+    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    return built.points.agg(
+        F.count(F.lit(1)).alias("documents"),
+        F.lit(len(built.tfidf)).cast("long").alias("vocabulary_size"),
+        F.count_if(norm == 0).alias("zero_vectors"),
+        F.count_if((norm > 0) & (F.abs(norm - 1) > 1e-9)).alias("other_lengths"),
+    )
+
+
+@query
+def svd_residual(spark, folder):
+    """How far the products of the reduced rows are from the squared singular values, relative to the largest."""
+    built = taxonomy.embed_texts(_documents(spark, folder), "doc_id", "text")
+    rest = svd.second_moments(built.weights, built.svd) - np.diag(built.svd.singular_values**2)
+    worst = np.abs(rest).max(axis=0) / built.svd.singular_values[0] ** 2
+    return spark.createDataFrame([(i, round(float(x), 6)) for i, x in enumerate(worst)], "component long, residual double")
+
+
 @query
 def kmeans_fit(spark, folder):
     """Ten restarts with k = 10: size and inertia of each cluster of the best one."""
@@ -540,6 +576,21 @@ def kmeans_sweep(spark, folder):
     return sweep.sweep_table(spark, sweep.search(_points(spark, folder), "vec_id"))
 
 
+@query
+def sweep_checks(spark, folder):
+    """For each k of the search: whether the inertia holds when it is computed anew, and whether it is the only best."""
+    points = _points(spark, folder)
+    found = sweep.search(points, "vec_id")
+    rows = []
+    for k, inertia, _ in found.rows:
+        placed = kmeans.assign(points, kmeans.best_of(found.fits, k).centers, ["vec_id", "embedding"])
+        members, _, again = kmeans.step(points, kmeans.best_of(found.fits, k).centers)
+        rows.append((k, abs(again - inertia) <= 1e-6 * inertia, int(members.sum()) == placed.count(), k == found.best_k))
+    table = spark.createDataFrame(rows, "k long, inertia_holds boolean, all_placed boolean, is_best boolean")
+    best = F.sum(F.col("is_best").cast("long")).over(Window.partitionBy())
+    return table.select("k", "inertia_holds", "all_placed", best.alias("best_rows"))
+
+
 @query
 def cluster_precomputed(spark, folder):
     """The same search and final fit on vectors that came from elsewhere."""
@@ -564,6 +615,37 @@ def projection_2d(spark, folder):
     )
 
 
+def _published(spark, folder):
+    """The whole job: both tables written and read back, its intermediates deleted."""
+    result = taxonomy.build(views.text_work_orders(spark, folder))
+    path = fresh_path(spark, "published")
+    cfg, before = Config(schema=f"faultline_{path.split('/')[-2][:12]}"), spark.catalog.currentDatabase()
+    try:
+        feature_rows, equipment = taxonomy.publish(result, cfg, path)
+    finally:
+        spark.catalog.setCurrentDatabase(before)
+        spark.sql(f"DROP DATABASE IF EXISTS {cfg.schema} CASCADE")  # the rows are in the folder, which the results read
+    return result, feature_rows, equipment
+
+
 @query
 def defect_taxonomy(spark, folder):
-    return taxonomy.build(views.text_work_orders(spark, folder)).features
+    result, feature_rows, _ = _published(spark, folder)
+    result.close()
+    return feature_rows
+
+
+@query
+def taxonomy_records(spark, folder):
+    """What the job keeps of every record, but for the cluster."""
+    return defect_taxonomy(spark, folder).drop("cluster", "defect_cluster_name")
+
+
+@query
+def pipeline_summary(spark, folder):
+    """What the job reports at its end."""
+    result, feature_rows, equipment = _published(spark, folder)
+    row = taxonomy.summary(result)
+    out = materialise(row.withColumn("equipment", F.lit(equipment.count())), "summary")
+    result.close()
+    return out

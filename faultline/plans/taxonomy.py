@@ -19,7 +19,7 @@ from faultline.config import Config
 from faultline.functions import arrays
 from faultline.functions.scalars import lookup
 from faultline.operators import clusters, embed, features, kmeans, quality, svd, sweep, tfidf, validate
-from faultline.sources.shared import materialise, spread
+from faultline.sources.shared import drop_tables, materialise, spread
 from faultline.sources.tables import use_namespace, write_table
 
 TEXT = "defect_description"
@@ -54,6 +54,12 @@ class Taxonomy:
     equipment: DataFrame
     rejected: DataFrame
     terms: DataFrame
+    intermediates: tuple[DataFrame, ...] = ()
+
+    def close(self) -> None:
+        """Delete what the job wrote for itself. The published tables do not need it."""
+        for df in self.intermediates:
+            drop_tables(df)
 
 
 def embed_texts(texts: DataFrame, key: str, text: str, cfg: Config = Config()) -> Embedded:
@@ -98,11 +104,13 @@ def build(work_orders: DataFrame, cfg: Config = Config(), embedder: embed.Embedd
     if embedder is None:
         embedded = embed_texts(kept, "record_id", TEXT, cfg)
         vocabulary, reduced, points = embedded.tfidf, embedded.svd, embedded.points
+        stored = (embedded.weights, embedded.points)
     else:
         # A model call costs more than storage: whole records are written with their vector, and never embedded twice.
         rows = materialise(embed.embed_batched(kept, TEXT, kept.columns, embedder), "embedded_records")
         vocabulary, reduced = tfidf.fit(kept, TEXT, cfg.stop_words, cfg.max_features, cfg.min_df), None
         points = kmeans.with_row_hash(rows.select("record_id", "embedding"), "record_id", "embedding")
+        stored = (rows,)
 
     found = sweep.search(points, "record_id", cfg)
     final = sweep.final_fit(points, found, found.best_k, cfg)
@@ -124,6 +132,7 @@ def build(work_orders: DataFrame, cfg: Config = Config(), embedder: embed.Embedd
         features.equipment_agg(feature_rows),
         rejected,
         cluster_terms(feature_rows, vocabulary, cfg.top_terms),
+        (*stored, feature_rows),
     )
 
 
@@ -186,8 +195,15 @@ def run_summary(scored: DataFrame, threshold: float, truth: str, cluster: str) -
     )
 
 
-def publish(taxonomy: Taxonomy, cfg: Config = Config()) -> None:
-    """Write the two result tables."""
-    use_namespace(taxonomy.features.sparkSession, cfg.schema, cfg.catalog)
-    write_table(taxonomy.features, "defect_features", cfg.table_format)
-    write_table(taxonomy.equipment, "equipment_cluster_agg", cfg.table_format)
+def publish(taxonomy: Taxonomy, cfg: Config = Config(), folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Write the two result tables, in `folder` if one is given, and read them back. A label or a cluster that got lost
+    on the way is an error."""
+    spark = taxonomy.features.sparkSession
+    use_namespace(spark, cfg.schema, cfg.catalog)
+    found = []
+    for name, df in (("defect_features", taxonomy.features), ("equipment_cluster_agg", taxonomy.equipment)):
+        write_table(df, name, cfg.table_format, f"{folder}/{name}" if folder else None)
+        found.append(spark.table(name))
+    if found[0].filter(F.col("cluster").isNull()).limit(1).count():
+        raise ValueError("a record has no cluster")
+    return found[0], found[1]

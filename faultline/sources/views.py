@@ -111,7 +111,7 @@ def text_work_orders(spark: SparkSession, folder: str) -> DataFrame:
         scalars.lookup(F.col("lang"), LANG_SEVERITY).alias("severity"),
         scalars.keep_when(doc % 5 < 3, (doc % 180 + 1).cast("int")).alias("days_to_failure"),
         F.round(repair, 1).alias("repair_duration_hrs"),
-        F.round(repair * (doc % 7) / 4.0, 1).alias("downtime_hrs"),
+        F.round((5 + doc % 156) * (doc % 7) / 40.0, 1).alias("downtime_hrs"),
         F.col("source").alias("parts_replaced"),
         (0.30 + (doc % 71) / 100.0).alias("data_quality_frequency"),
         (0.40 + (doc * 7 % 61) / 100.0).alias("data_quality_freshness"),
