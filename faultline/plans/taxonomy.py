@@ -19,6 +19,7 @@ from faultline.config import Config
 from faultline.functions import arrays
 from faultline.functions.scalars import lookup
 from faultline.operators import clusters, embed, features, kmeans, quality, svd, sweep, tfidf, validate
+from faultline.schemas import DEFECT_FEATURES
 from faultline.sources.shared import drop_tables, materialise, spread
 from faultline.sources.tables import use_namespace, write_table
 
@@ -89,9 +90,8 @@ def predict(df: DataFrame, text: str, models: Models) -> DataFrame:
     return counted.select(*keep, "_tf").mapInArrow(run, schema)
 
 
-def _remap(points: DataFrame, centers: np.ndarray, min_size: int) -> dict[int, int]:
+def _remap(labelled: DataFrame, min_size: int) -> dict[int, int]:
     """New id of each raw cluster; one row per cluster reaches the driver."""
-    labelled = kmeans.assign(points, centers, ["record_id"]).withColumnRenamed("cluster", "cluster_raw")
     return {r.cluster_raw: r.cluster for r in clusters.renumbering(labelled, "cluster_raw", min_size).collect()}
 
 
@@ -115,15 +115,17 @@ def build(work_orders: DataFrame, cfg: Config = Config(), embedder: embed.Embedd
     found = sweep.search(points, "record_id", cfg)
     final = sweep.final_fit(points, found, found.best_k, cfg)
     models = Models(vocabulary, reduced, final.centers)
-    remap = _remap(points, final.centers, cfg.min_cluster_size)
 
     if embedder is None:
         labelled = predict(kept, TEXT, models)
     else:
         labelled = kmeans.assign(rows, final.centers, kept.columns).withColumnRenamed("cluster", "cluster_raw")
-    new_id = lookup(F.col("cluster_raw"), remap)
-    named = clusters.with_names(labelled.withColumn("cluster", new_id), cfg.cluster_names)
-    feature_rows = materialise(features.feature_table(named), "defect_features")
+    # Sizes are counted on the very labels that the records keep, so both are written once.
+    kept_columns = [c for c in DEFECT_FEATURES.fieldNames() if c not in ("cluster", "defect_cluster_name")]
+    labelled = materialise(labelled.select(*kept_columns, "cluster_raw"), "labelled")
+    remap = _remap(labelled, cfg.min_cluster_size)
+    numbered = labelled.withColumn("cluster", lookup(F.col("cluster_raw"), remap))
+    feature_rows = features.feature_table(clusters.with_names(numbered, cfg.cluster_names))
     return Taxonomy(
         models,
         found,
@@ -132,7 +134,7 @@ def build(work_orders: DataFrame, cfg: Config = Config(), embedder: embed.Embedd
         features.equipment_agg(feature_rows),
         rejected,
         cluster_terms(feature_rows, vocabulary, cfg.top_terms),
-        (*stored, feature_rows),
+        (*stored, labelled),
     )
 
 
