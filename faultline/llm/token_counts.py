@@ -26,13 +26,13 @@ VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
 
 #: Unicode's white space, which the library's expressions mean by \s.
-_SPACE = r"\x09-\x0d\x20\x85\xa0  -     　"
+_SPACE = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPLIT = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 )
 _CHUNK = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 #: White space outside ASCII: a text that has any is split as a whole.
-_OTHER_SPACE = re.compile(r"[\x85\xa0  -     　]")
+_OTHER_SPACE = re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 class Counter:
