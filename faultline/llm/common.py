@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -46,6 +47,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Shuffle files of finished steps go once the driver's garbage is collected, which a driver with little garbage
+    does late; until then they fill the disks of the executors. Results are not affected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_of(column: str) -> Column:
     """The text as a string; null counts as empty."""
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))

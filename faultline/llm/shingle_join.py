@@ -4,9 +4,10 @@
    share a segment, within a band of sizes. Equal sets have equal segments and are one node from here on.
 2. Segments that only one set has fall out by counting; the counts are combined before the shuffle.
 3. Sets that share a segment are compared: by the Hamming distance of their sketches, which never exceeds the number of
-   elements they differ in, then exactly. In a crowded segment the pairs are not written out. The segment is cut into
-   blocks of bounded size, and a task gives only a forest of its nearest pairs, nearest first; only what the verified
-   forest leaves apart is looked at again, with more forests, until no pair that could link two groups is untested.
+   elements they differ in, then exactly. In a crowded segment the pairs are not written out: each set is compared with
+   the segment's hub. Where that leaves sets apart, those of all segments of a hub are cut into blocks of bounded size,
+   and a task gives only a forest of its nearest pairs between components, nearest first; what the verified forest leaves
+   apart is looked at again, with more forests, until no pair that could link two components is untested.
 4. Verified links make components.
 
 No link between different sets is lost: a pair is left out only if its sketches exclude it, it was compared, or both
@@ -21,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultline.llm.common import by_row, key_type, pick, table, unused
+from faultline.llm.common import by_row, key_type, pick, release_shuffles, table, unused
 from faultline.llm.components import components
 from faultline.llm.shingles import Bands, hamming, segment_keys, set_id, shingle_set, similar, sketch
 from faultline.sources.shared import materialise
@@ -37,17 +38,22 @@ def _signed(values: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """(key, node, size, segments) of every row; a row without words has size 0."""
+    """(key, node, size, segments, sketch) of every row; a row without words has size 0."""
     rows = pick(docs, key, text)
     kind = docs.schema[key].dataType.simpleString()
     bands = Bands(percent)
 
     def signature(value: str) -> tuple:
         found = shingle_set(value, width)
-        return set_id(found), len(found), _signed(segment_keys(found, bands)) if len(found) else []
+        if not len(found):
+            return set_id(found), 0, [], []
+        return set_id(found), len(found), _signed(segment_keys(found, bands)), _signed(sketch(found, bands))
 
-    schema = pa.schema([("key", key_type(rows)), ("node", pa.int64()), ("size", pa.int64()), ("segments", _LONGS)])
-    return rows.mapInArrow(by_row(signature, schema), f"key {kind}, node long, size long, segments array<long>")
+    schema = pa.schema(
+        [("key", key_type(rows)), ("node", pa.int64()), ("size", pa.int64()), ("segments", _LONGS), ("sketch", _LONGS)]
+    )
+    columns = f"key {kind}, node long, size long, segments array<long>, sketch array<long>"
+    return rows.mapInArrow(by_row(signature, schema), columns)
 
 
 def shared_segments(signed: DataFrame) -> DataFrame:
@@ -57,27 +63,28 @@ def shared_segments(signed: DataFrame) -> DataFrame:
         rows.groupBy("segment").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("segment"),
         "shared",
     )
+    release_shuffles(signed.sparkSession)
     members = materialise(rows.join(shared, "segment", "left_semi").distinct(), "members")
     count = members.groupBy("segment").agg(F.count(F.lit(1)).alias("members"))
     return materialise(members.join(count, "segment"), "counted")
 
 
-def node_sets(docs: DataFrame, signed: DataFrame, nodes: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """(node, size, sketch, elements) of the given nodes, from one document each."""
-    bands = Bands(percent)
+def node_elements(docs: DataFrame, signed: DataFrame, nodes: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """(node, size, elements) of the given nodes, from one document each."""
     chosen = signed.select("key", "node").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
     (same,) = unused(docs, "same")
-    rows = pick(docs, key, text).join(chosen.select(F.col("key").alias(same)).distinct(), F.col("key").eqNullSafe(F.col(same)), "left_semi")
+    keys = materialise(chosen.select(F.col("key").alias(same)).distinct(), "keys")  # written first: Spark knows its size
+    rows = pick(docs, key, text).join(keys, F.col("key").eqNullSafe(F.col(same)), "left_semi")
 
     def elements(value: str) -> tuple:
         found = shingle_set(value, width)
-        return set_id(found), len(found), _signed(sketch(found, bands)), _signed(found)
+        return set_id(found), len(found), _signed(found)
 
-    schema = pa.schema([("key", key_type(rows)), ("node", pa.int64()), ("size", pa.int64()), ("sketch", _LONGS), ("elements", _LONGS)])
+    schema = pa.schema([("key", key_type(rows)), ("node", pa.int64()), ("size", pa.int64()), ("elements", _LONGS)])
     kind = rows.schema["key"].dataType.simpleString()
-    found = rows.mapInArrow(by_row(elements, schema), f"key {kind}, node long, size long, sketch array<long>, elements array<long>")
+    found = rows.mapInArrow(by_row(elements, schema), f"key {kind}, node long, size long, elements array<long>")
     # Keys may repeat: sets of other rows with the same key go, and one row per node stays.
-    return materialise(found.drop("key").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    return materialise(found.drop("key").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "elements")
 
 
 def _both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
@@ -102,24 +109,27 @@ def _kept_pairs(test):
     return run
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int, sketches: bool) -> DataFrame:
-    """The pairs whose sets are similar: sketches first, if they have not been compared yet, then the elements."""
-    if sketches:
-        bands = Bands(percent)
-        near = _both(pairs, sets, "sketch").filter(F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent)
+def near_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sizes and sketches leave room for the similarity."""
+    bands = Bands(percent)
+    sized = _both(pairs, sketches, "sketch").filter(F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent)
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = [batch.column(i).to_numpy() for i in (2, 3)]
+            side = [batch.column(i) for i in (4, 5)]
+            keep = [
+                hamming(*(np.asarray(s[i].values).view(np.uint64) for s in side)) <= bands.largest_difference(size[0][i], size[1][i])
+                for i in range(batch.num_rows)
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=_PAIR).filter(pa.array(keep, pa.bool_()))
+
+    return sized.mapInArrow(close, "a long, b long")
 
-        def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                size = [batch.column(i).to_numpy() for i in (2, 3)]
-                side = [batch.column(i) for i in (4, 5)]
-                keep = [
-                    hamming(*(np.asarray(s[i].values).view(np.uint64) for s in side)) <= bands.largest_difference(size[0][i], size[1][i])
-                    for i in range(batch.num_rows)
-                ]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=_PAIR).filter(pa.array(keep, pa.bool_()))
 
-        pairs = near.mapInArrow(close, "a long, b long")
-    return _both(pairs, sets, "elements").mapInArrow(_kept_pairs(lambda a, b: similar(a, b, percent)), "a long, b long")
+def verify(pairs: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sets are similar."""
+    return _both(pairs, elements, "elements").mapInArrow(_kept_pairs(lambda a, b: similar(a, b, percent)), "a long, b long")
 
 
 def small_pairs(members: DataFrame) -> DataFrame:
@@ -169,11 +179,10 @@ def _forests(near: np.ndarray, left: np.ndarray, right: np.ndarray, group: np.nd
     return order[picked], more
 
 
-def block_pairs(crowd: DataFrame, percent: int, forests: int) -> DataFrame:
-    """(segment, a, b, more) per block of two chunks of a crowded segment; `crowd` has segment, node, root, size,
-    sketch, chunk and chunks."""
+def block_pairs(blocks: DataFrame, percent: int, forests: int) -> DataFrame:
+    """(hub, a, b, more) per block of two chunks of a hub's group."""
     bands = Bands(percent)
-    schema = pa.schema([("segment", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("more", pa.bool_())])
+    schema = pa.schema([("hub", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("more", pa.bool_())])
 
     def block(group: pa.Table) -> pa.Table:
         node, size, chunk = (group.column(c).to_numpy() for c in ("node", "size", "chunk"))
@@ -194,53 +203,98 @@ def block_pairs(crowd: DataFrame, percent: int, forests: int) -> DataFrame:
                     close = near * (100 + percent) <= (size[at[use]] + size[i]) * (100 - percent)
                     other = at[use][close]
                     found.append((near[close], np.full(len(other), i), other))
-        segment = group.column("segment")[0].as_py()
+        hub = group.column("hub")[0].as_py()
         if not found or not sum(len(x[0]) for x in found):
             return schema.empty_table()
         near, left, right = (np.concatenate(x) for x in zip(*found))
         picked, more = _forests(near, left, right, root, forests)
         a, b = node[left[picked]], node[right[picked]]
-        columns = [np.full(len(a), segment), np.minimum(a, b), np.maximum(a, b), np.full(len(a), more)]
+        columns = [np.full(len(a), hub), np.minimum(a, b), np.maximum(a, b), np.full(len(a), more)]
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    # Chunk i meets every chunk from i on: a row goes to as many blocks as its segment has chunks.
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
-    blocks = crowd.withColumn("other", other).withColumns(
-        {"block_a": F.least("chunk", "other"), "block_b": F.greatest("chunk", "other")}
-    )
-    columns = ["segment", "node", "root", "size", "sketch", "chunk", "block_a", "block_b"]
+    columns = ["hub", "node", "root", "size", "sketch", "chunk", "block_a", "block_b"]
     return (
-        blocks.select(*columns).groupBy("segment", "block_a", "block_b")
-        .applyInArrow(block, "segment long, a long, b long, more boolean")
+        blocks.select(*columns).groupBy("hub", "block_a", "block_b")
+        .applyInArrow(block, "hub long, a long, b long, more boolean")
     )
 
 
+def hub_groups(crowd: DataFrame) -> DataFrame:
+    """(hub, node): the sets of crowded segments, grouped by the segment's hub, each set once per hub.
+
+    The hub is the set that shares most with others over all segments. Copies of a text that were changed here and there
+    miss the segments of their changes; the text itself misses none, so all segments of a family have one hub, and two
+    sets that share any of them are in its group together.
+    """
+    score = crowd.groupBy("node").agg(F.sum("members").alias("score"))
+    hubs = crowd.join(score, "node").groupBy("segment").agg(F.max(F.struct("score", "node")).alias("hub"))
+    named = hubs.select("segment", F.col("hub.node").alias("hub"))
+    return materialise(crowd.join(named, "segment").select("hub", "node").distinct(), "hubs")
+
+
+def hub_pairs(groups: DataFrame) -> DataFrame:
+    """(a, b): every set with its hub: linear, and enough for a group whose sets are all similar to the hub."""
+    pairs = groups.filter("node <> hub")
+    return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+
+def open_blocks(groups: DataFrame, roots: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The sets of hubs whose groups still have more than one component, dealt out over blocks of two chunks each.
+
+    Sets of the largest component need no comparison with each other. They are chunks of their own, which meet only the
+    chunks of the other sets: their rows go to as many blocks as there are chunks of other sets, the others' rows to as
+    many as there are chunks at all.
+    """
+    placed = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    counted = placed.groupBy("hub", "root").agg(F.count(F.lit(1)).alias("n"))
+    sizes = counted.groupBy("hub").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("all"))
+    apart = sizes.filter(F.col("all") > F.col("main.n")).select(
+        "hub",
+        F.col("main.root").alias("main"),
+        F.ceil((F.col("all") - F.col("main.n")) / BLOCK).cast("long").alias("others"),
+        F.ceil(F.col("main.n") / BLOCK).cast("long").alias("mains"),
+    )
+    mixed = F.xxhash64("node")
+    is_main = F.col("root") == F.col("main")
+    chunk = F.when(is_main, F.col("others") + F.pmod(mixed, F.col("mains"))).otherwise(F.pmod(mixed, F.col("others")))
+    last = F.when(is_main, F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1)
+    dealt = placed.join(apart, "hub").select(
+        "hub", "node", "root", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("other")
+    )
+    return dealt.join(sketches, "node").withColumns(
+        {"block_a": F.least("chunk", "other"), "block_b": F.greatest("chunk", "other")}
+    )
+
+
 def linked_nodes(docs: DataFrame, signed: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     """(node, root) of the nodes that have a link to another node."""
+    spark = docs.sparkSession
     members = shared_segments(signed)
     nodes = materialise(members.select("node").distinct(), "nodes")
-    sets = node_sets(docs, signed, nodes, key, text, width, percent)
-    tested = materialise(small_pairs(members), "pairs")
-    links = materialise(verify(tested, sets, percent, sketches=True), "similar")
-    roots = materialise(components(links), "roots")
-
-    crowd = members.filter(F.col("members") > SMALL)
-    chunks = F.ceil(F.col("members") / BLOCK).cast("long")
-    crowd = crowd.withColumns({"chunks": chunks, "chunk": F.pmod(F.xxhash64("node"), chunks)}).drop("members")
+    release_shuffles(spark)
+    known = signed.select("node", "size", "sketch").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    sketches = materialise(known, "sketches")
+    groups = hub_groups(members.filter(F.col("members") > SMALL))
+    tested = materialise(small_pairs(members).unionByName(hub_pairs(groups)).distinct(), "pairs")
+    near = materialise(near_pairs(tested, sketches, percent), "near")
+    # Whole sets are needed of those that a sketch did not exclude, and of those that blocks may compare.
+    ends = near.select(F.explode(F.array("a", "b")).alias("node")).unionByName(groups.select("node"))
+    wanted = materialise(ends.distinct(), "wanted")
+    release_shuffles(spark)
+    elements = node_elements(docs, signed, wanted, key, text, width)
+    roots = materialise(components(verify(near, elements, percent)), "roots")
+
     forests = 1
-    while not crowd.isEmpty():
-        placed = crowd.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        apart = placed.groupBy("segment").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-        open_ = placed.join(apart.select("segment"), "segment", "left_semi").join(sets.select("node", "size", "sketch"), "node")
-        found = materialise(block_pairs(open_, percent, forests), "blocks")
+    while not groups.isEmpty():
+        found = materialise(block_pairs(open_blocks(groups, roots, sketches), percent, forests), "blocks")
         fresh = found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-        new = materialise(verify(fresh, sets, percent, sketches=False), "similar")
+        new = materialise(verify(fresh, elements, percent), "similar")
         tested = materialise(tested.unionByName(found.select("a", "b")).distinct(), "pairs")
         if not new.isEmpty():
-            links = links.unionByName(new)
-            roots = materialise(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new)), "roots")
-        # Segments in which pairs between groups were left untested come again, with more forests.
-        crowd = materialise(crowd.join(found.filter("more").select("segment").distinct(), "segment", "left_semi"), "crowd")
+            linked = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+            roots = materialise(components(linked.unionByName(new)), "roots")
+        # Groups in which pairs between components were left untested come again, with more forests.
+        groups = materialise(groups.join(found.filter("more").select("hub").distinct(), "hub", "left_semi"), "groups")
         forests *= 8
     return roots
 

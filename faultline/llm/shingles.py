@@ -120,8 +120,8 @@ def segment_keys(found: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def sketch(found: np.ndarray, bands: Bands) -> np.ndarray:
-    """Parity sketch: each shingle flips one of 2^k bits; about 32 bits per element that a partner may differ in."""
-    bits = max(256, 1 << (32 * bands.largest_difference(len(found), len(found))).bit_length())
+    """Parity sketch: each shingle flips one of 2^k bits; about 16 bits per element that a partner may differ in."""
+    bits = max(256, 1 << (16 * bands.largest_difference(len(found), len(found))).bit_length())
     words = np.zeros(bits // 64, np.uint64)
     at = found & np.uint64(bits - 1)
     np.bitwise_xor.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
