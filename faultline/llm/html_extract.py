@@ -91,22 +91,38 @@ def tokens(page: Page) -> dict[int, int]:
     return found
 
 
+def _slots(blocks: list[Block], template: frozenset[int]) -> list[int]:
+    """The slot of each block: the number of the innermost element around it that is the template's; -1 for none."""
+    known: dict[str, bool] = {}
+
+    def given(e: Element) -> bool:
+        if e.path not in known:
+            known[e.path] = path_token(e.path) in template
+        return known[e.path]
+
+    return [next((e.number for e in reversed(b.around) if given(e)), -1) if template else -1 for b in blocks]
+
+
 def main_text(page: Page, template: frozenset[int]) -> str:
     """The blocks in the article's slot, joined by line feeds; text of the host's template is left out."""
-    homes = [_home(b) for b in page.blocks]
-    open_ = [(b, h) for b, h in zip(page.blocks, homes) if not _in_frame(b, h)]
+    blocks = [b for b in page.blocks if block_token(b) not in template] if template else page.blocks
+    homes = [_home(b) for b in blocks]
+    open_ = [(b, h, s) for b, h, s in zip(blocks, homes, _slots(blocks, template)) if not _in_frame(b, h)]
     for tag in ("article", "main"):
         sizes: Counter[int] = Counter()
-        for b, h in open_:
+        for b, h, _ in open_:
             if h and (h.tag == "article") == (tag == "article"):
                 sizes[h.number] += len(b.text)
         if sizes:
             chosen = max(sizes, key=lambda n: (sizes[n], -n))
-            return "\n".join(b.text for b, h in open_ if h and h.number == chosen)
-    # No element says that it is the article: what fills the slots of the template, links aside.
-    left = [b for b, _ in open_ if block_token(b) not in template and 2 * b.linked <= len(b.text)]
-    named = [b for b in left if any(e.words & _CONTENT_WORDS and e.tag != "body" for e in b.around)]
-    return "\n".join(b.text for b in named or left)
+            return "\n".join(b.text for b, h, _ in open_ if h and h.number == chosen)
+    # No element says that it is the article: the slots with a name that says content, else all, links aside.
+    left = [(b, s) for b, _, s in open_ if 2 * b.linked <= len(b.text)]
+    named = [(b, s) for b, s in left if any(e.words & _CONTENT_WORDS and e.tag != "body" for e in b.around)]
+    if not named:
+        return "\n".join(b.text for b, _ in left)
+    slots, own = {s for _, s in named if s >= 0}, {id(b) for b, _ in named}
+    return "\n".join(b.text for b, s in left if s in slots or id(b) in own)
 
 
 def _rows(pages: DataFrame, key: str, url: str, source: str) -> DataFrame:

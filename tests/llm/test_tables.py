@@ -238,6 +238,13 @@ def test_template_text_is_left_out(spark):
     assert html_extract.extract(pages.limit(0)).collect() == []
 
 
+def test_the_template_decides_inside_articles(spark):
+    source = "<nav>Menu</nav><article><h1>Title {0}</h1><p>Story {0}</p><p>Read our terms</p></article><footer>Me</footer>"
+    rows = [(i, f"http://a.example/{i}", source.format(i)) for i in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.extract(pages).collect()} == {i: f"Title {i}\nStory {i}" for i in range(12)}
+
+
 def test_large_hosts_are_dealt_out(spark, monkeypatch):
     want = sorted(map(tuple, html_extract.op2_html_extract(spark, SF).collect()))
     monkeypatch.setattr(html_extract, "DEALT", 3)
