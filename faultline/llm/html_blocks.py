@@ -52,7 +52,7 @@ class Block:
 @dataclass(slots=True)
 class Page:
     blocks: list[Block] = field(default_factory=list)
-    paths: dict[str, int] = field(default_factory=dict)  # element path -> occurrences, in order of the page
+    order: list[str | Block] = field(default_factory=list)  # paths of elements where they open, and blocks
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -80,6 +80,7 @@ def read(source: str) -> Page:
         text = " ".join("".join(pieces).split())
         if text:
             page.blocks.append(Block(text, tuple(stack), linked))
+            page.order.append(page.blocks[-1])
         pieces.clear()
         linked = 0
 
@@ -124,7 +125,7 @@ def read(source: str) -> Page:
         element = _element(tag, attributes, number, stack[-1].path if stack else "")
         number += 1
         if tag not in INLINE:
-            page.paths[element.path] = page.paths.get(element.path, 0) + 1
+            page.order.append(element.path)
         if tag in RAW:
             lower = source.lower() if lower is None else lower
             end = lower.find(f"</{tag}", at) if len(lower) == size else source.find(f"</{tag}", at)

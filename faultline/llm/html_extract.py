@@ -2,12 +2,14 @@
 
 Pages of a host are made by few programs. Tokens of a page are its elements (by their path, classes and ids included)
 and its blocks of text. Tokens that occur equally often in each page of a host share an occurrence vector and form an
-equivalence class. Classes that enough pages have, and whose elements nest, make up the host's template. What the
-template's text says is the frame of the site; what fills its slots is extracted.
+equivalence class. Classes that a few distinct pages have, however large the host, and whose tokens keep their order and
+nest, make up the host's template: so each of a host's layouts has its own classes. A token that moves within its class,
+or between the slots of a class of more pages that its own crosses, is left out. What the template's text says is the
+frame of the site; what fills its slots is extracted.
 
-An occurrence vector is a fingerprint: the XOR over the pages of a hash of page and count. It is combined in the tasks
-before the shuffle, so a host with a third of all pages is a row per token and task. Pages of such hosts are dealt by
-host and salt, and meet a copy of their template there.
+An occurrence vector is a fingerprint: the XOR over the distinct pages of a hash of page and count. It is combined in
+the tasks before the shuffle, so a host with a third of all pages is a row per token and task. Places of tokens are
+combined alike. Pages of such hosts are dealt by host and salt, and meet a copy of their classes and template there.
 
 Slots of menus, headers, footers, sidebars, notices, adverts, forms and comments are told by what their elements are
 called. Among the other slots of the template, the article's is the one with an article element, else a main element,
@@ -19,6 +21,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -27,10 +30,12 @@ from faultline.llm.common import key_type, table
 from faultline.llm.html_blocks import Block, Element, Page, read
 from faultline.sources.shared import materialise
 
-#: Pages that have a template's token, at least, in hundredths of the host's pages, and as a number.
-SHARE, LEAST = 80, 5
+#: Distinct pages that have a template's token, at least.
+LEAST = 3
 #: Pages of a host that one task takes, about.
 DEALT = 2_000
+#: Hosts whose templates a task keeps.
+HOSTS = 200
 
 _FRAME_TAGS = frozenset("head nav footer aside form dialog menu select button fieldset noscript svg math template object audio video canvas map datalist".split())
 _FRAME_WORDS = frozenset(
@@ -76,19 +81,18 @@ def _in_frame(block: Block, home: Element | None) -> bool:
 
 
 def block_token(block: Block) -> int:
-    """A block of text at its place; the same text elsewhere is another token."""
-    return xxhash.xxh3_64_intdigest(f"{block.around[-1].path if block.around else ''}\n{block.text}") >> 1
+    """A block of text at its place, an even number; the same text elsewhere is another token."""
+    return xxhash.xxh3_64_intdigest(f"{block.around[-1].path if block.around else ''}\n{block.text}") >> 1 & ~1
 
 
 def path_token(path: str) -> int:
-    return xxhash.xxh3_64_intdigest(path, seed=1) >> 1
+    """An element, an odd number."""
+    return xxhash.xxh3_64_intdigest(path, seed=1) >> 1 | 1
 
 
-def tokens(page: Page) -> dict[int, int]:
-    """Tokens of a page with their counts."""
-    found = Counter(block_token(b) for b in page.blocks)
-    found.update({path_token(path): n for path, n in page.paths.items()})
-    return found
+def sequence(page: Page) -> list[int]:
+    """Tokens of a page in the order of the page: elements where they open, and blocks."""
+    return [path_token(x) if isinstance(x, str) else block_token(x) for x in page.order]
 
 
 def _slots(blocks: list[Block], template: frozenset[int]) -> list[int]:
@@ -137,48 +141,139 @@ def _rows(pages: DataFrame, key: str, url: str, source: str) -> DataFrame:
     )
 
 
-def templates(rows: DataFrame) -> DataFrame:
-    """(host, pages, template): the tokens of the host's valid equivalence classes.
+def _parsed(rows: DataFrame) -> DataFrame:
+    """(host, page, sequence): the tokens of each page of a host in page order."""
+    schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("sequence", pa.list_(pa.int64()))])
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers, found = [], []
+            for source in batch.column(1):
+                text = source.as_py()
+                numbers.append(xxhash.xxh3_64_intdigest(text) >> 1)
+                found.append(sequence(read(text)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).cast(pa.string()), pa.array(numbers, pa.int64()), pa.array(found, schema.field(2).type)], schema=schema
+            )
+
+    return rows.select("host", "text").mapInArrow(parsed, "host string, page long, sequence array<long>")
 
-    A class is valid if SHARE of the host's pages, and LEAST pages, have its tokens equally often, and if it holds an
-    element: text that comes and goes with no element of the page is no part of a template.
-    """
-    schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("token", pa.int64()), ("n", pa.int64()), ("element", pa.bool_())])
+
+def _classes(seen: DataFrame) -> DataFrame:
+    """(host, class, pages, token): tokens that LEAST pages have equally often, of classes with an element and more."""
+    schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("token", pa.int64()), ("n", pa.int64())])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for host, source in zip(batch.column(0).to_pylist(), batch.column(1)):
-                page = read(source.as_py())
-                number = xxhash.xxh3_64_intdigest(source.as_py()) >> 1
-                elements = {path_token(p) for p in page.paths}
-                found = tokens(page)
+            each = [np.unique(s.values.to_numpy(), return_counts=True) for s in batch.column(2)]
+            sizes = [len(t) for t, _ in each]
+            if sum(sizes):
+                rows = pa.array(np.repeat(np.arange(len(sizes)), sizes))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([host] * len(found), pa.string()), pa.array([number] * len(found), pa.int64()),
-                        pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.int64()),
-                        pa.array([t in elements for t in found], pa.bool_()),
+                        batch.column(0).take(rows).cast(pa.string()), batch.column(1).take(rows),
+                        pa.array(np.concatenate([t for t, _ in each]), pa.int64()),
+                        pa.array(np.concatenate([n for _, n in each]), pa.int64()),
                     ],
                     schema=schema,
                 )
 
-    # Equal pages say nothing about each other: they are one page of the vector, whose number is that of the text.
-    seen = rows.select("host", "text").mapInArrow(counted, "host string, page long, token long, n long, element boolean")
-    vectors = materialise(
-        seen.groupBy("host", "token", "element").agg(
-            F.expr("bit_xor(xxhash64(page, n))").alias("vector"), F.count(F.lit(1)).alias("pages")
-        ),
-        "vectors",
-    )
-    total = rows.groupBy("host").agg(F.count(F.lit(1)).alias("all"))
-    common = vectors.filter(F.col("pages") >= LEAST).join(total, "host").filter(F.col("pages") * 100 >= F.col("all") * SHARE)
-    classes = common.groupBy("host", "all", "vector", "pages").agg(
-        F.collect_set("token").alias("tokens"), F.max("element").alias("element")
+    vectors = seen.mapInArrow(counted, "host string, page long, token long, n long").groupBy("host", "token").agg(
+        F.expr("bit_xor(xxhash64(page, n))").alias("class"), F.count(F.lit(1)).alias("pages")
     )
-    valid = classes.filter("element").groupBy("host").agg(
-        F.flatten(F.collect_list("tokens")).alias("template")
-    )
-    return total.join(valid, "host", "left").select(
-        "host", F.col("all").alias("pages"), F.coalesce("template", F.array().cast("array<long>")).alias("template")
+    common = materialise(vectors.filter(F.col("pages") >= LEAST), "vectors")
+    return _with_element(common, 2)
+
+
+def _with_element(tokens_: DataFrame, least: int) -> DataFrame:
+    """Classes of `least` tokens that hold an element: text that comes and goes with none is no part of a template."""
+    one = tokens_.groupBy("host", "class", "pages").agg(F.collect_list("token").alias("tokens"))
+    held = one.filter((F.size("tokens") >= least) & F.exists("tokens", lambda t: F.pmod(t, F.lit(2)) == 1))
+    return held.select("host", "class", "pages", F.explode("tokens").alias("token"))
+
+
+def places(found: list[int], classes: dict[int, int], pages: dict[int, int]) -> Iterator[tuple[int, int, int]]:
+    """(token, class, place) on a page: a token's place in its own class, and in a class of more pages that its own
+    crosses here, that is, whose occurrences neither lie between two of its tokens nor the other way round.
+
+    A class repeats its tokens in one order, so a place is the number of the class's tokens before, modulo its size.
+    """
+    known = [(t, classes[t]) for t in found if t in classes]
+    size = Counter(c for c in map(classes.get, {t for t, _ in known}))
+    before: Counter[int] = Counter()
+    begun: dict[int, None] = {}  # classes within an occurrence, the last one begun at the end
+    crossed: dict[int, set[int]] = {}
+    for t, c in known:
+        at = before[c] % size[c]
+        before[c] += 1
+        yield t, c, at
+        if size[c] > 1:
+            for d in reversed(begun) if at else ():
+                if d == c:
+                    break
+                weak, strong = sorted((c, d), key=lambda x: (pages[x], x))
+                crossed.setdefault(weak, set()).add(strong)
+            if not at:
+                begun[c] = None
+            elif at == size[c] - 1:
+                del begun[c]
+    if crossed:
+        before.clear()
+        for t, c in known:
+            for d in crossed.get(c, ()):
+                yield t, d, before[d] % size[d]
+            before[c] += 1
+
+
+def _dealt(rows: DataFrame, found: DataFrame, *by: str) -> DataFrame:
+    """`rows` beside what was found for their host; rows of a large host are dealt out and meet copies of it."""
+    copies = F.ceil(F.col("rows") / DEALT).cast("long")
+    dealt = found.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).drop("rows")
+    # The number of pages of a host is on the template's side, so each page first learns its host's number of salts.
+    many = found.filter(copies > 1).select("host", copies.alias("copies"))
+    salted = rows.join(many, "host", "left").withColumn("salt", F.pmod(F.xxhash64(*by), F.coalesce("copies", F.lit(1))))
+    return salted.drop("copies").join(dealt, ["host", "salt"])
+
+
+def templates(rows: DataFrame) -> DataFrame:
+    """(host, rows, template): the tokens of the host's valid equivalence classes.
+
+    A class is valid if LEAST distinct pages have its tokens equally often, if it holds an element, and if its tokens
+    keep their order and nest: those whose place is not the same on all pages, see `places`, go.
+    """
+    total = rows.groupBy("host").agg(F.count(F.lit(1)).alias("rows"))
+    seen = materialise(_parsed(rows), "sequences")
+    classes = materialise(_classes(seen), "classes")
+    sides = classes.groupBy("host").agg(F.collect_list(F.struct("token", "class", "pages")).alias("all"))
+    by_host = sides.select("host", *(F.col(f"all.{c}").alias(c) for c in ("token", "class", "pages")))
+    schema = pa.schema([(c, pa.string() if c == "host" else pa.int64()) for c in ("host", "token", "of", "low", "high")])
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, tuple[dict, dict]] = {}
+        for batch in batches:
+            ends: dict[tuple, list[int]] = {}
+            for i, host in enumerate(batch.column(0).to_pylist()):
+                if host not in kept:
+                    if len(kept) >= HOSTS:
+                        kept.clear()
+                    t, c, n = (batch.column(k)[i].as_py() for k in (2, 3, 4))
+                    kept[host] = dict(zip(t, c)), dict(zip(c, n))
+                for token, of, at in places(batch.column(1)[i].as_py(), *kept[host]):
+                    end = ends.setdefault((host, token, of), [at, at])
+                    if at < end[0]:
+                        end[0] = at
+                    elif at > end[1]:
+                        end[1] = at
+            out = [[*key, *end] for key, end in ends.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)] if out else [pa.array([], f.type) for f in schema], schema=schema)
+
+    beside = _dealt(seen, total.join(by_host, "host"), "page").select("host", "sequence", "token", "class", "pages")
+    ends = beside.mapInArrow(placed, "host string, token long, of long, low long, high long")
+    moved = ends.groupBy("host", "token", "of").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high")
+    valid = _with_element(classes.join(moved.select("host", "token").distinct(), ["host", "token"], "left_anti"), 2)
+    template = valid.groupBy("host").agg(F.collect_list("token").alias("template"))
+    return total.join(template, "host", "left").select(
+        "host", "rows", F.coalesce("template", F.array().cast("array<long>")).alias("template")
     )
 
 
@@ -192,23 +287,20 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", source: st
     """
     rows = _rows(pages, key, url, source)
     found = materialise(templates(rows), "templates")
-    copies = F.ceil(F.col("pages") / DEALT).cast("long")
-    dealt = found.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
-    # The number of pages of a host is on the template's side, so each page first learns its host's number of salts.
-    many = found.filter(copies > 1).select("host", copies.alias("copies"))
-    salted = rows.join(many, "host", "left").withColumn(
-        "salt", F.pmod(F.xxhash64("text", "key"), F.coalesce("copies", F.lit(1)))
-    )
-    joined = salted.join(dealt.select("host", "salt", "template"), ["host", "salt"]).select("key", "text", "template", "url")
+    joined = _dealt(rows, found, "text", "key").select("key", "text", "template", "url", "host")
     kind, url_kind = (pages.schema[c].dataType.simpleString() for c in (key, url))
     schema = pa.schema([("key", key_type(joined)), ("url", pa.string()), ("text", pa.string())])
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, frozenset[int]] = {}
         for batch in batches:
-            out = [
-                main_text(read(source.as_py()), frozenset(template.as_py()))
-                for source, template in zip(batch.column(1), batch.column(2))
-            ]
+            out = []
+            for i, host in enumerate(batch.column(4).to_pylist()):
+                if host not in kept:
+                    if len(kept) >= HOSTS:
+                        kept.clear()
+                    kept[host] = frozenset(batch.column(2)[i].as_py())
+                out.append(main_text(read(batch.column(1)[i].as_py()), kept[host]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(schema.field(0).type), batch.column(3).cast(pa.string()), pa.array(out, pa.string())],
                 schema=schema,

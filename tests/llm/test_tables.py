@@ -245,6 +245,35 @@ def test_the_template_decides_inside_articles(spark):
     assert {r.page_id: r.text for r in html_extract.extract(pages).collect()} == {i: f"Title {i}\nStory {i}" for i in range(12)}
 
 
+def texts_of(spark, rows):
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+
+
+def test_each_layout_has_its_template(spark):
+    one = "<div class=a><i>x</i></div><p>Terms of a</p><div class=x><p>Story {}</p></div>"
+    two = "<ul class=b></ul><div class=x><p>Story {}</p></div><h6>Notes of b</h6>"
+    rows = [(i, "http://a.example/", (two if i % 2 else one).format(i)) for i in range(12)]
+    rows += [(20 + i, "http://small.example/", one.format(i)) for i in range(3)]
+    got = texts_of(spark, rows)
+    assert all(got[i] == f"Story {i}" for i in range(12)) and all(got[20 + i] == f"Story {i}" for i in range(3))
+
+
+def test_places_of_tokens():
+    pages = {7: 9, 8: 5}
+    of = {1: 7, 2: 7, 3: 7, 4: 8, 6: 8}
+    nested = [1, 4, 6, 2, 3, 1, 2, 3]
+    assert sorted(set(html_extract.places(nested, of, pages))) == [(1, 7, 0), (2, 7, 1), (3, 7, 2), (4, 8, 0), (6, 8, 1)]
+    assert {(4, 7, 1), (6, 7, 2)} <= set(html_extract.places([1, 4, 2, 6, 3], of, pages))
+    assert {(2, 7, 1), (2, 7, 2)} <= {*html_extract.places([1, 2, 3], of, pages), *html_extract.places([1, 3, 2], of, pages)}
+
+
+def test_a_moving_block_is_no_template(spark):
+    parts = ["<h2>Same words</h2>", "<h3>Others</h3>"]
+    rows = [(i, "http://a.example/", f"<hr><div class=x>{''.join(parts[:: 1 if i % 2 else -1])}</div><p>{i}</p>") for i in range(8)]
+    assert all("Same words" in text for text in texts_of(spark, rows).values())
+
+
 def test_large_hosts_are_dealt_out(spark, monkeypatch):
     want = sorted(map(tuple, html_extract.op2_html_extract(spark, SF).collect()))
     monkeypatch.setattr(html_extract, "DEALT", 3)
