@@ -142,7 +142,7 @@ def _rows(pages: DataFrame, key: str, url: str, source: str) -> DataFrame:
 
 
 def _parsed(rows: DataFrame) -> DataFrame:
-    """(host, page, sequence): the tokens of each page of a host in page order."""
+    """(host, page, sequence): the tokens of each distinct page of a host in page order; copies are one page."""
     schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("sequence", pa.list_(pa.int64()))])
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +156,7 @@ def _parsed(rows: DataFrame) -> DataFrame:
                 [batch.column(0).cast(pa.string()), pa.array(numbers, pa.int64()), pa.array(found, schema.field(2).type)], schema=schema
             )
 
-    return rows.select("host", "text").mapInArrow(parsed, "host string, page long, sequence array<long>")
+    return rows.select("host", "text").mapInArrow(parsed, "host string, page long, sequence array<long>").dropDuplicates(["host", "page"])
 
 
 def _classes(seen: DataFrame) -> DataFrame:

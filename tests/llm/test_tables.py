@@ -259,6 +259,12 @@ def test_each_layout_has_its_template(spark):
     assert all(got[i] == f"Story {i}" for i in range(12)) and all(got[20 + i] == f"Story {i}" for i in range(3))
 
 
+def test_copies_are_one_page(spark):
+    source = "<div class=x><p>A story</p><p>told once</p></div>"
+    rows = [(i, None, source) for i in range(6)] + [(10 + i, "http://a.example/", source) for i in range(7)]
+    assert set(texts_of(spark, rows).values()) == {"A story\ntold once"}
+
+
 def test_places_of_tokens():
     pages = {7: 9, 8: 5}
     of = {1: 7, 2: 7, 3: 7, 4: 8, 6: 8}
