@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 _MARKUP = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -37,6 +38,7 @@ class Element:
     tag: str
     name: str  # tag with its classes and id: what the element is on the pages of a host
     words: frozenset[str]  # words in class, id and role
+    whole: tuple[frozenset[str], ...]  # the words of each class, of the id and of the role, numbers aside
     hidden: bool
     number: int
     path: str
@@ -59,14 +61,22 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)} if raw.strip() else {}
 
 
-def _element(tag: str, raw: str, number: int, parent: str) -> Element:
+@lru_cache(1 << 12)
+def _named(raw: str) -> tuple[frozenset[str], tuple[frozenset[str], ...], bool]:
     values = _attributes(raw)
-    named = [html.unescape(values.get(k, "")) for k in ("class", "id", "role")]
-    words = frozenset(w for v in named for w in _WORDS.findall(_CAMEL.sub(" ", v).lower()))
+    named = [n for k in ("class", "id", "role") for n in html.unescape(values.get(k, "")).split()]
+    each = [_WORDS.findall(_CAMEL.sub(" ", n).lower()) for n in named]
+    whole = tuple(w for words in each if (w := frozenset(x for x in words if not x.isdigit())))
     style = values.get("style", "").replace(" ", "").lower()
     hidden = "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in style
+    return frozenset(w for words in each for w in words), whole, hidden
+
+
+def _element(tag: str, raw: str, number: int, parent: str) -> Element:
+    # Long attributes, such as images in the address, are not kept.
+    words, whole, hidden = (_named if len(raw) <= 1000 else _named.__wrapped__)(raw)
     name = ".".join([tag, *sorted(w for w in words if not w.isdigit())])
-    return Element(tag, name, words, hidden, number, f"{parent}/{name}")
+    return Element(tag, name, words, whole, hidden, number, f"{parent}/{name}")
 
 
 def read(source: str) -> Page:

@@ -11,15 +11,16 @@ An occurrence vector is a fingerprint: the XOR over the distinct pages of a hash
 the tasks before the shuffle, so a host with a third of all pages is a row per token and task. Places of tokens are
 combined alike. Pages of such hosts are dealt by host and salt, and meet a copy of their classes and template there.
 
-Slots of menus, headers, footers, sidebars, notices, adverts, forms and comments are told by what their elements are
-called. Among the other slots of the template, the article's is the one with an article element, else a main element,
-else a name that says content; else all that is left.
+Slots of menus, headers, footers, sidebars, notices, adverts, forms and comments are told by the tag or a whole name of
+an element; one word of a name counts only outside of articles and for an element of the template. Among the other
+slots, the article's are those with an article or a main element, all of them; else a name that says content; else all
+that is left. Nothing else is dropped, linked blocks included.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,37 +46,52 @@ _FRAME_WORDS = frozenset(
     "recommendations comment comments respond disqus replies widget widgets toolbar pagination pager masthead login "
     "search searchform form copyright contentinfo complementary alert skip topbar".split()
 )
+#: Words of a place that a whole name of a frame may hold besides.
+_PLACE_WORDS = frozenset("site page main top bottom left right primary secondary global container wrapper wrap box bar area block list links posts section".split())
+#: Inside an article these are names of its own parts as well.
+_OWN_WORDS = frozenset("header alert form notice notices search social notification login".split())
 #: Around an article, only these make it something else than the article.
 _COMMENT_WORDS = frozenset("comment comments respond disqus replies related recommended sidebar ad ads advert widget".split())
 _CONTENT_WORDS = frozenset("article post entry story content main text body".split())
+_MAIN_NAMES = frozenset(map(frozenset, (("main",), ("main", "content"), ("main", "text"), ("main", "article"))))
 
 
-def _is_frame(e: Element, within_article: bool) -> bool:
+def _says(e: Element, words: frozenset[str]) -> bool:
+    """A whole name of the element, not one word of it, says one of the words."""
+    return any(w & words and w <= words | _PLACE_WORDS for w in e.whole)
+
+
+def _is_frame(e: Element, inside: bool, given: Callable[[Element], bool]) -> bool:
+    """Its tag or a whole name marks a frame; outside of articles, also a word of the name of a template's element."""
     if e.hidden or e.tag in _FRAME_TAGS:
         return True
     if e.tag in ("html", "body", "article", "main"):
-        return bool(e.words & _COMMENT_WORDS) and e.tag == "article"
-    if within_article and (e.tag == "header" or e.words <= {"header"} | _CONTENT_WORDS):
-        return False
-    return e.tag == "header" or bool(e.words & _FRAME_WORDS)
+        return e.tag == "article" and _says(e, _COMMENT_WORDS)
+    if inside:
+        return _says(e, _FRAME_WORDS - _OWN_WORDS)
+    return e.tag == "header" or _says(e, _FRAME_WORDS) or bool(e.words & _FRAME_WORDS) and given(e)
 
 
 def _home(block: Block) -> Element | None:
-    """The outermost article around a block, else the outermost main element."""
-    found = next((e for e in block.around if e.tag == "article" and not e.words & _COMMENT_WORDS), None)
-    return found or next((e for e in block.around if e.tag == "main" or "main" in e.words and e.tag != "body"), None)
+    """The outermost article or main element around a block."""
+    for e in block.around:
+        if e.tag == "article" and not _says(e, _COMMENT_WORDS) or e.tag == "main":
+            return e
+        if e.tag != "body" and not _MAIN_NAMES.isdisjoint(e.whole):
+            return e
+    return None
 
 
-def _in_frame(block: Block, home: Element | None) -> bool:
+def _in_frame(block: Block, home: Element | None, given: Callable[[Element], bool]) -> bool:
     inside = False
     for e in block.around:
         if e is home:
             inside = True
         elif home and not inside:
             # Around an article a wrapper's name says little; its tag does.
-            if e.hidden or e.tag in _FRAME_TAGS or e.words & _COMMENT_WORDS and e.tag not in ("html", "body"):
+            if e.hidden or e.tag in _FRAME_TAGS or e.tag not in ("html", "body") and _says(e, _COMMENT_WORDS):
                 return True
-        elif _is_frame(e, inside and home is not None and home.tag == "article"):
+        elif _is_frame(e, inside, given):
             return True
     return False
 
@@ -95,38 +111,30 @@ def sequence(page: Page) -> list[int]:
     return [path_token(x) if isinstance(x, str) else block_token(x) for x in page.order]
 
 
-def _slots(blocks: list[Block], template: frozenset[int]) -> list[int]:
-    """The slot of each block: the number of the innermost element around it that is the template's; -1 for none."""
+def main_text(page: Page, template: frozenset[int]) -> str:
+    """The blocks in the article's slots, joined by line feeds; text of the host's template is left out."""
     known: dict[str, bool] = {}
 
     def given(e: Element) -> bool:
+        """The element is the template's."""
         if e.path not in known:
             known[e.path] = path_token(e.path) in template
         return known[e.path]
 
-    return [next((e.number for e in reversed(b.around) if given(e)), -1) if template else -1 for b in blocks]
-
+    def slot(b: Block) -> int:
+        return next((e.number for e in reversed(b.around) if given(e)), -1) if template else -1
 
-def main_text(page: Page, template: frozenset[int]) -> str:
-    """The blocks in the article's slot, joined by line feeds; text of the host's template is left out."""
     blocks = [b for b in page.blocks if block_token(b) not in template] if template else page.blocks
-    homes = [_home(b) for b in blocks]
-    open_ = [(b, h, s) for b, h, s in zip(blocks, homes, _slots(blocks, template)) if not _in_frame(b, h)]
-    for tag in ("article", "main"):
-        sizes: Counter[int] = Counter()
-        for b, h, _ in open_:
-            if h and (h.tag == "article") == (tag == "article"):
-                sizes[h.number] += len(b.text)
-        if sizes:
-            chosen = max(sizes, key=lambda n: (sizes[n], -n))
-            return "\n".join(b.text for b, h, _ in open_ if h and h.number == chosen)
-    # No element says that it is the article: the slots with a name that says content, else all, links aside.
-    left = [(b, s) for b, _, s in open_ if 2 * b.linked <= len(b.text)]
-    named = [(b, s) for b, s in left if any(e.words & _CONTENT_WORDS and e.tag != "body" for e in b.around)]
-    if not named:
-        return "\n".join(b.text for b, _ in left)
-    slots, own = {s for _, s in named if s >= 0}, {id(b) for b, _ in named}
-    return "\n".join(b.text for b, s in left if s in slots or id(b) in own)
+    open_ = [(b, h) for b in blocks if not _in_frame(b, h := _home(b), given)]
+    # All articles and main elements, with all that they hold.
+    if found := [b for b, h in open_ if h]:
+        return "\n".join(b.text for b in found)
+    # No element says that it is the article: the slots with a name that says content, else all.
+    named = [any(e.words & _CONTENT_WORDS and e.tag != "body" for e in b.around) for b, _ in open_]
+    slots = [slot(b) for b, _ in open_]
+    some = any(named)
+    chosen = {s for s, n in zip(slots, named) if n and s >= 0}
+    return "\n".join(b.text for (b, _), n, s in zip(open_, named, slots) if n or s in chosen or not some)
 
 
 def _rows(pages: DataFrame, key: str, url: str, source: str) -> DataFrame:
@@ -229,9 +237,10 @@ def _dealt(rows: DataFrame, found: DataFrame, *by: str) -> DataFrame:
     """`rows` beside what was found for their host; rows of a large host are dealt out and meet copies of it."""
     copies = F.ceil(F.col("rows") / DEALT).cast("long")
     dealt = found.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).drop("rows")
-    # The number of pages of a host is on the template's side, so each page first learns its host's number of salts.
+    # The number of pages of a host is on the template's side, so each page first learns its host's number of salts. Of
+    # hosts with more than DEALT pages there is one for DEALT pages at most: they are sent to all tasks.
     many = found.filter(copies > 1).select("host", copies.alias("copies"))
-    salted = rows.join(many, "host", "left").withColumn("salt", F.pmod(F.xxhash64(*by), F.coalesce("copies", F.lit(1))))
+    salted = rows.join(F.broadcast(many), "host", "left").withColumn("salt", F.pmod(F.xxhash64(*by), F.coalesce("copies", F.lit(1))))
     return salted.drop("copies").join(dealt, ["host", "salt"])
 
 
@@ -267,7 +276,7 @@ def templates(rows: DataFrame) -> DataFrame:
             out = [[*key, *end] for key, end in ends.items()]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)] if out else [pa.array([], f.type) for f in schema], schema=schema)
 
-    beside = _dealt(seen, total.join(by_host, "host"), "page").select("host", "sequence", "token", "class", "pages")
+    beside = _dealt(seen, materialise(total.join(by_host, "host"), "sides"), "page").select("host", "sequence", "token", "class", "pages")
     ends = beside.mapInArrow(placed, "host string, token long, of long, low long, high long")
     moved = ends.groupBy("host", "token", "of").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high")
     valid = _with_element(classes.join(moved.select("host", "token").distinct(), ["host", "token"], "left_anti"), 2)

@@ -245,6 +245,20 @@ def test_the_template_decides_inside_articles(spark):
     assert {r.page_id: r.text for r in html_extract.extract(pages).collect()} == {i: f"Title {i}\nStory {i}" for i in range(12)}
 
 
+@pytest.mark.parametrize("source, want", [
+    ("<main><h1>T</h1><p>lead</p><article>story</article></main>", "T\nlead\nstory"),
+    ("<article><p>one</article><article><p>two, the longer one</article>", "one\ntwo, the longer one"),
+    *((f"<article><p>a</p><div class='{name}'><p>b</p></div></article>", "a\nb")
+      for name in ("search-results-section", "social-history", "header-image", "alert", "form")),
+    ("<article><p>a</p><div class='share-bar'>b</div><div class='x sidebar'>c</div></article>", "a"),
+    ("<div><p>text</p><p><a href=x>a linked block</a></p></div>", "text\na linked block"),
+    ("<div class=main-nav>menu</div><div id=main><p>a</div>", "a"),
+    ("<div class='has-sidebar'><article>a</article></div>", "a"),
+])
+def test_nothing_else_is_dropped(source, want):
+    assert html_extract.main_text(html_blocks.read(source), frozenset()) == want
+
+
 def texts_of(spark, rows):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     return {r.page_id: r.text for r in html_extract.extract(pages).collect()}
