@@ -18,7 +18,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from faultline.llm.common import by_row, key_type, pick, table
-from faultline.llm.pieces import pieces
+from faultline.llm.pieces import long_blanks, pieces
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -33,8 +33,13 @@ def encoding(path: str, pattern: str) -> tiktoken.Encoding:
 
 def encode_text(text: str, path: str, pattern: str) -> Iterable[list[int]]:
     """Ids of the text, in one list per piece."""
-    encode = encoding(path, pattern).encode_ordinary
-    return map(encode, pieces(text))
+    library = encoding(path, pattern)
+    # Another pattern may cut a run of white space in more matches.
+    for part, whole in long_blanks(text) if pattern == public_tokenizers.PATTERN else [(text, False)]:
+        if whole:
+            yield library._encode_single_piece(part)
+        else:
+            yield from map(library.encode_ordinary, pieces(part))
 
 
 def _decimal(ids: list[int]) -> bytes:

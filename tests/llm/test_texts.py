@@ -52,6 +52,23 @@ def test_pieces_of_any_text(text):
     assert [i for p in pieces.pieces(text, 4) for i in encode(p)] == encode(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="a1 \n\x85\x1c\xa0'.\u3000", max_size=40))
+def test_long_blanks_of_any_text(text):
+    library = byte_bpe.encoding(RANKS, PATTERN)
+    parts = list(pieces.long_blanks(text, 3))
+    assert "".join(p for p, _ in parts) == text
+    ids = [i for p, whole in parts for i in (library._encode_single_piece if whole else library.encode_ordinary)(p)]
+    assert ids == library.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("blank", [" ", "\n"])
+def test_two_million_blanks(blank):
+    text = "a" + blank * 2_000_000 + "b"
+    n, _, of_bytes = byte_bpe.digests(text, RANKS, PATTERN)
+    assert n and of_bytes == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_round_trip(odd):
     got = sorted(map(tuple, byte_bpe.round_trip(odd).collect()), key=str)
     want = []
