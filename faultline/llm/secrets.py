@@ -37,6 +37,11 @@ _ARMOR = re.compile(r"-----(BEGIN|END) ((?:[A-Z0-9]+ ){0,3}PRIVATE KEY)-----")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{32,}")
 _ENCODED = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 _DOTTED = re.compile(r"[A-Za-z0-9_-]+")
+#: Lines of base64 or hex below each other.
+_LINES = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_-]{32,}(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+={0,2})+", re.ASCII)
+_LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
+_HEX_ONLY = re.compile(r"[0-9A-Fa-f]+")
+_OPENSSH = "b3BlbnNzaC1rZXktdjEA"
 _HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}")
 
 Span = tuple[str, int, int]
@@ -164,7 +169,7 @@ def _armored(text: str) -> Iterator[Span]:
         if m[1] == "BEGIN":
             begin = m
         elif begin and begin[2] == m[2]:
-            lines = text[begin.end() : m.start()].replace("\\n", "\n").split("\n")
+            lines = text[begin.end() : m.start()].replace("\\r", "").replace("\\n", "\n").split("\n")
             body = "".join("".join(x.split()) for x in lines if ":" not in x)
             data = _decoded(body)
             locked = any("ENCRYPTED" in x for x in lines if ":" in x)
@@ -173,10 +178,59 @@ def _armored(text: str) -> Iterator[Span]:
             begin = None
 
 
+def _der_size(head: bytes | None) -> int:
+    """Bytes of the DER sequence that begins so; 0 for none."""
+    if not head or len(head) < 6 or head[0] != 0x30:
+        return 0
+    count = head[1] & 0x7F if head[1] >= 0x80 else 0
+    return 2 + count + int.from_bytes(head[2 : 2 + count]) if 1 <= count <= 4 else 2 + head[1] if head[1] < 0x80 else 0
+
+
+def _wrapped(text: str) -> Iterator[Span]:
+    """Keys without armour in lines of one width; the last line may be shorter. A DER key's head says where it ends."""
+    for block in _LINES.finditer(text):
+        lines = [(m.start(), m[0]) for m in _LINE.finditer(text, block.start(), block.end())]
+        # The first line after i whose width is not that of line i.
+        other = [len(lines)] * len(lines)
+        for i in range(len(lines) - 2, -1, -1):
+            other[i] = other[i + 1] if len(lines[i][1]) == len(lines[i + 1][1]) else i + 1
+        i = 0
+        while i < len(lines) - 1:
+            start, first = lines[i]
+            width, ends, hexed = len(first), [], False
+            if width >= 32 and first.startswith(_OPENSSH):
+                # Up to the first line that is not full; else full lines alone, up to the next key.
+                again = next((k for k in range(i + 1, other[i]) if lines[k][1].startswith(_OPENSSH) or "=" in lines[k - 1][1]), other[i])
+                short = again == other[i] < len(lines) and len(lines[again][1]) < width
+                ends = [again + 1, again] if short else [again]
+            elif width >= 32 and first.startswith(("M", "30")):
+                hexed = first.startswith("30") and bool(_HEX_ONLY.fullmatch(first)) and width % 2 == 0
+                size = _der_size(bytes.fromhex(first[:32]) if hexed else _decoded(first[:32]))
+                chars = 2 * size if hexed else -(-size * 4 // 3)
+                last = i + -(-chars // width) - 1
+                if i < last < len(lines) and other[i] >= last and len(lines[last][1].rstrip("=")) == chars - (last - i) * width:
+                    ends = [last + 1]
+            for end in ends:
+                if end <= i + 1:
+                    continue
+                value = "".join(x for _, x in lines[i:end])
+                if not hexed:
+                    data = _decoded(value)
+                else:
+                    data = bytes.fromhex(value) if _HEX_ONLY.fullmatch(value) and len(value) % 2 == 0 else None
+                if is_key(data):
+                    yield "key", start, lines[end - 1][0] + len(lines[end - 1][1])
+                    i = end - 1
+                    break
+            i += 1
+
+
 def confirmed_spans(text: str) -> Iterator[Span]:
     """Spans whose decoded bytes have the structure of a secret."""
-    if "PRIVATE KEY-----" in text:
-        yield from _armored(text)
+    armored = list(_armored(text)) if "PRIVATE KEY-----" in text else []
+    yield from armored
+    # The lines of an armoured key are that key.
+    yield from (x for x in _wrapped(text) if not any(a <= x[1] and x[2] <= b for _, a, b in armored))
     for run in _RUN.finditer(text):
         start, value = run.start(), run.group()
         if value.count(".") >= 2 and "ey" in value:
@@ -186,7 +240,7 @@ def confirmed_spans(text: str) -> Iterator[Span]:
                     yield "token", start + a.start(), start + c.end()
         for m in _ENCODED.finditer(value):
             # A DER sequence begins with M in base64, an OpenSSH key with its magic string.
-            if m.end() - m.start() >= 32 and value.startswith(("M", "b3BlbnNzaC1rZXktdjEA"), m.start()) and is_key(_decoded(m[0])):
+            if m.end() - m.start() >= 32 and value.startswith(("M", _OPENSSH), m.start()) and is_key(_decoded(m[0])):
                 yield "key", start + m.start(), start + m.end()
     for m in _HEX_KEY.finditer(text):
         if m[0].startswith("30") and len(m[0]) % 2 == 0 and is_key(bytes.fromhex(m[0])):

@@ -147,6 +147,29 @@ def test_structures_are_confirmed():
     assert kinds(f"jwt {TOKEN}!") == [("token", TOKEN)]
 
 
+@pytest.mark.parametrize("width", [64, 76])
+def test_wrapped_keys_without_armour(width):
+    def wrap(text, end="\n"):
+        return end.join(text[i : i + width] for i in range(0, len(text), width))
+
+    def field(data):
+        return len(data).to_bytes(4) + data
+
+    openssh = b"openssh-key-v1\0" + field(b"none") * 2 + field(b"") + (1).to_bytes(4) + field(b"p" * 51) + field(b"s" * 136)
+    for data in (RSA, openssh):
+        for end in ("\n", "\r\n"):
+            key = wrap(base64.b64encode(data).decode(), end)
+            assert [x for x in kinds(f"see\n{key}\nwords of prose") if x[0] == "key"] == [("key", key)]
+            assert [k for k, _ in kinds(f"{key}\n{key}\n")] == ["key", "key"]
+    key = wrap(RSA.hex())
+    assert ("key", key) in kinds(f"see\n{key}\n")
+    assert not kinds(wrap(base64.b64encode(RSA[:-1]).decode()))
+    armour = f"-----BEGIN PRIVATE KEY-----\\r\\n{wrap(base64.b64encode(PKCS8).decode(), chr(92) + 'r' + chr(92) + 'n')}\\r\\n-----END PRIVATE KEY-----"
+    assert ("pem", armour) in kinds(armour)
+    whole = f"-----BEGIN RSA PRIVATE KEY-----\n{wrap(base64.b64encode(RSA).decode())}\n-----END RSA PRIVATE KEY-----"
+    assert kinds(whole) == [("pem", whole)]
+
+
 def test_near_misses_are_not_reported():
     broken = base64.b64encode(RSA[:-1]).decode()
     unsigned = ".".join([b64url(b'{"alg":"none"}'), *TOKEN.split(".")[1:]])
