@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from faultline.config import Config
@@ -155,16 +156,48 @@ def test_svd_matches_a_dense_factorisation(spark):
     weighted.unpersist()
 
 
-def test_leading_pairs_match_a_dense_factorisation():
+def sparse_rows(spark, x, parts):
+    """A matrix as a table of sparse vectors, in so many partitions."""
+    rows = [(i, Vectors.sparse(x.shape[1], np.flatnonzero(r), r[np.flatnonzero(r)])) for i, r in enumerate(x)]
+    return spark.createDataFrame(rows, ["id", "tfidf"]).repartition(parts, "id")
+
+
+@pytest.mark.parametrize("parts", [1, 5, 40])
+def test_block_iteration_finds_the_leading_vectors(spark, parts):
     rng = np.random.default_rng(2)
-    x = rng.normal(size=(300, 200)) * np.linspace(3, 1, 200)
-    gramian = x.T @ x
-    values, vectors = svd._leading(gramian, 16)
-    want, basis = np.linalg.eigh(gramian)
-    assert np.allclose(values, want[::-1][:16], rtol=1e-9)
-    assert np.allclose(np.abs(np.sum(vectors * basis[:, ::-1][:, :16], axis=0)), 1.0, atol=1e-6)
-    flat = np.zeros((5, 5))
-    assert np.allclose(svd._leading(flat, 3)[0], 0)
+    x = (rng.normal(size=(150, 8)) * np.linspace(9, 4, 8)) @ rng.normal(size=(8, 90)) + rng.normal(size=(150, 90)) * 0.3
+    fitted = svd.fit(sparse_rows(spark, x, parts), 90, 8, oversample=6)
+    _, s, vt = np.linalg.svd(x, full_matrices=False)
+    assert np.allclose(fitted.singular_values, s[:8], rtol=1e-6)
+    assert np.allclose(np.abs(np.sum(fitted.components.T * vt[:8], axis=1)), 1.0, atol=1e-6)
+    scores = x @ fitted.components
+    assert np.allclose(scores.T @ scores, np.diag(fitted.singular_values**2), atol=1e-6 * s[0] ** 2)
+    assert fitted.explained_variance == pytest.approx(scores.var(0).sum() / x.var(0).sum())
+
+
+def test_flat_spectra_lose_little(spark):
+    x = np.random.default_rng(4).normal(size=(400, 120))
+    fitted = svd.fit(sparse_rows(spark, x, 4), 120, 20)
+    best = (np.linalg.svd(x, compute_uv=False)[:20] ** 2).sum()
+    assert 0.985 * best < (fitted.singular_values**2).sum() <= best * (1 + 1e-9)
+
+
+def test_no_rows_with_terms_and_more_terms_than_rows(spark):
+    zero = svd.fit(sparse_rows(spark, np.zeros((4, 6)), 2), 6, 3)
+    assert np.allclose(zero.singular_values, 0) and zero.explained_variance == 0.0 and zero.components.shape == (6, 3)
+    x = np.random.default_rng(1).normal(size=(3, 50))
+    few = svd.fit(sparse_rows(spark, x, 3), 50, 5)
+    assert np.allclose(few.singular_values, [*np.linalg.svd(x, compute_uv=False), 0, 0], atol=1e-9)
+
+
+def test_twenty_thousand_terms(spark):
+    """Beyond any Gramian: the block has 20,000 x 12 numbers, a product of all terms would have 3.2 GB."""
+    rng = np.random.default_rng(3)
+    rows = [(i, Vectors.sparse(20_000, {int(t): 1.0 for t in {*rng.integers(0, 20_000, 30), i % 4}})) for i in range(300)]
+    fitted = svd.fit(spark.createDataFrame(rows, ["id", "tfidf"]), 20_000, 4, oversample=8)
+    assert fitted.components.shape == (20_000, 4)
+    assert np.allclose(fitted.components.T @ fitted.components, np.eye(4), atol=1e-9)
+    assert {int(np.abs(c).argmax()) for c in fitted.components.T} == {0, 1, 2, 3}
 
 
 def test_caps_are_in_bytes(spark, monkeypatch):
