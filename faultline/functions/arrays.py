@@ -17,10 +17,15 @@ def dense(column: pa.ListArray, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, dims)
 
 
-def list_column(matrix: np.ndarray) -> pa.ListArray:
-    rows, dims = matrix.shape
-    offsets = np.arange(0, (rows + 1) * dims, dims, dtype=np.int32) if dims else np.zeros(rows + 1, np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(matrix.ravel(), pa.float64()))
+def matrix(column: pa.ListArray, width: int) -> np.ndarray:
+    """A list column of equal widths as a matrix of its own type."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def list_column(rows: np.ndarray, kind: pa.DataType = pa.float64()) -> pa.ListArray:
+    count, dims = rows.shape
+    offsets = np.arange(0, (count + 1) * dims, dims, dtype=np.int32) if dims else np.zeros(count + 1, np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(rows.ravel(), kind))
 
 
 def sparse(column: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -3,7 +3,15 @@
 A sweep of ten values of k with ten restarts is a hundred models. Fitted one by one they would read the vectors some
 thousands of times. Here every pass over the vectors serves all models that have not converged yet, so the number of
 passes is that of the slowest single model. A pass is one Spark job: tasks reduce their rows to partial sums per
-center, Spark adds these up by center, and only the new centers reach the driver.
+center, which are added up in a tree.
+
+Most distances are never computed. In an anchor pass all rows are placed, and each keeps, per model, its center, its
+distance to it and to the second nearest one. In the passes after it a row stays where it is if the centers have not
+drifted far enough since to change that (triangle inequality), or if it is nearer to its center than half the way from
+there to any other center; if not, its own distance is computed, and only if that does not settle it, all distances of
+that model. Sums change only by the rows that moved. When half as many distances have been computed as an anchor pass
+costs, the next pass is an anchor again. An anchor is kept in the executors' caches and made from the vectors alone, so
+what a lost executor held of it comes back from there.
 """
 
 from __future__ import annotations
@@ -13,14 +21,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from faultline.functions import arrays
+from faultline.operators.reduction import batch_of, joined, slices_of, tree_reduced
 from faultline.sources.shared import fewer_tasks
 
+#: A new anchor is made when this share of all distances has been computed since the last one. A share of candidate
+#: distances from which a product of all of them is the faster way.
+RENEWED, DENSE = 0.5, 0.7
+
 _MASK = (1 << 64) - 1
 
 
@@ -34,6 +47,7 @@ class Fit:
     inertia: float = float("nan")
     iterations: int = 0
     converged: bool = False
+    distances: int = 0  # computed in its iterations; placing every row anew each time takes rows x k x iterations
 
 
 def with_row_hash(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -72,10 +86,6 @@ def _stream(seed: int, fit: Fit, step: int) -> int:
     return x
 
 
-def _matrix(table: pa.Table, column: str, dims: int) -> np.ndarray:
-    return np.concatenate([arrays.dense(chunk, dims) for chunk in table.column(column).chunks] or [np.empty((0, dims))])
-
-
 def _draw_centers(
     points: DataFrame, fits: Sequence[Fit], seed: int, step: int, dims: int
 ) -> None:
@@ -107,79 +117,211 @@ def _draw_centers(
                         best[m], winner[m] = race[i], x[i].copy()
         found = [m for m, w in enumerate(winner) if w is not None]
         if found:
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(found, pa.int32()),
-                    pa.array(best[found], pa.float64()),
-                    arrays.list_column(np.stack([winner[m] for m in found])),
-                ],
-                names=["model", "race", "center"],
-            )
-
-    winners = points.mapInArrow(run, "model int, race double, center array<double>").groupBy("model").agg(
-        F.min("race").alias("race"), F.min_by("center", "race").alias("center")
-    )
-    table = winners.toArrow()
-    model, race = (table.column(c).to_numpy() for c in ("model", "race"))
-    drawn = _matrix(table, "center", dims)
+            yield batch_of({m: np.concatenate([[best[m]], winner[m]]) for m in found})
+
+    # A slice is a model, its numbers are the race and then the center; the least race wins.
+    found = tree_reduced(points, run, lambda parts: min(parts, key=lambda x: x[0]))
     for m, fit in enumerate(fits):
-        entries = np.flatnonzero(model == m)
-        fit.centers = np.vstack([fit.centers, drawn[entries[race[entries].argmin()]]])
+        fit.centers = np.vstack([fit.centers, found[m][1:]])
     shared.destroy()
 
 
-def _pass(
-    points: DataFrame, fits: Sequence[Fit], dims: int
-) -> list[tuple[np.ndarray, np.ndarray, float]]:
-    """Members, vector sums and inertia of each model under its present centers."""
-    sizes = [len(f.centers) for f in fits]
-    starts = np.concatenate([[0], np.cumsum(sizes)]).astype(int)
-    total = int(starts[-1])
+def _segment_sums(x: np.ndarray, labels: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and vector sum of each label, from the rows in the order of their labels."""
+    members, sums = np.bincount(labels, minlength=k), np.zeros((k, x.shape[1]))
+    held = np.flatnonzero(members)
+    if len(held):
+        starts = np.concatenate([[0], np.cumsum(members[held])[:-1]])
+        sums[held] = np.add.reduceat(x[np.argsort(labels, kind="stable")], starts, axis=0)
+    return members, sums
+
+
+def _cuts(fits: Sequence[Fit]) -> list[slice]:
+    """Where the centers of each model lie in a stack of all centers."""
+    ends = np.cumsum([len(f.centers) for f in fits])
+    return [slice(int(end) - len(f.centers), int(end)) for f, end in zip(fits, ends)]
+
+
+def _pass(points: DataFrame, fits: Sequence[Fit], dims: int) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """Members, vector sums and inertia of each model under its present centers, from all distances."""
+    cuts, total = _cuts(fits), sum(len(f.centers) for f in fits)
     shared = points.sparkSession.sparkContext.broadcast(np.vstack([f.centers for f in fits]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centers = shared.value
-        members, cost, sums = np.zeros(total), np.zeros(total), np.zeros((total, dims))
+        centers, out = shared.value, np.zeros((total, dims + 2))
         for batch in batches:
             rows = arrays.dense(batch.column("embedding"), dims)
             for part in arrays.chunks(len(rows)):
                 x = rows[part]
                 d2 = arrays.squared_distances(x, centers)
-                chosen = np.stack(
-                    [starts[m] + d2[:, starts[m] : starts[m + 1]].argmin(axis=1) for m in range(len(sizes))], axis=1
-                )
-                belongs = np.zeros_like(d2)
-                np.put_along_axis(belongs, chosen, 1.0, axis=1)
-                members += belongs.sum(axis=0)
-                cost += np.einsum("ij,ij->j", belongs, d2)
-                sums += belongs.T @ x
-        hit = np.flatnonzero(members)
-        if len(hit):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(hit, pa.int32()),
-                    pa.array(members[hit].astype(np.int64), pa.int64()),
-                    pa.array(cost[hit], pa.float64()),
-                    arrays.list_column(sums[hit]),
-                ],
-                names=["center", "members", "cost", "total"],
-            )
-
-    partial = points.mapInArrow(run, "center int, members bigint, cost double, total array<double>")
-    summed = partial.groupBy("center").agg(
-        F.sum("members").alias("members"),
-        F.sum("cost").alias("cost"),
-        vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total"),
-    )
-    table = summed.toArrow()
+                for cut in cuts:
+                    own = d2[:, cut]
+                    labels = own.argmin(axis=1)
+                    members, sums = _segment_sums(x, labels, own.shape[1])
+                    cost = np.bincount(labels, weights=own[np.arange(len(x)), labels], minlength=own.shape[1])
+                    out[cut] += np.column_stack([members, cost, sums])
+        yield batch_of(slices_of(out))
+
+    found = joined(tree_reduced(points, run)).reshape(total, dims + 2)
+    shared.destroy()
+    return [(found[c, 0], found[c, 2:], float(found[c, 1].sum())) for c in cuts]
+
+
+_STATE = "embedding array<double>, label array<int>, upper array<float>, lower array<float>"
+
+
+@dataclass
+class _Anchor:
+    """Rows placed under the centers of one pass: for each model label, distance and distance to the second nearest."""
+
+    rows: DataFrame
+    models: list[Fit]
+    centers: list[np.ndarray]
+    members: list[np.ndarray]
+    sums: list[np.ndarray]
+    spent: int = 0  # distances computed since
+
+    def close(self) -> None:
+        self.rows.unpersist()
+
+
+def _slack(x: np.ndarray, centers: np.ndarray) -> float:
+    """More than a distance can be off that was computed from products."""
+    largest = np.einsum("ij,ij->i", x, x).max(initial=0.0) + np.einsum("ij,ij->i", centers, centers).max(initial=0.0)
+    return 8.0 * float(np.sqrt(np.finfo(float).eps * largest))
+
+
+def _two_nearest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Label, distance and distance to the second nearest center, infinite where there is none."""
+    label = near.argmin(axis=1)
+    if near.shape[1] == 1:
+        return label, near[:, 0], np.full(len(near), np.inf)
+    least = np.partition(near, 1, axis=1)
+    return label, least[:, 0], least[:, 1]
+
+
+@dataclass(frozen=True)
+class _Bounds:
+    """What a pass knows of one model: its centers, how far they are from those of the anchor and from each other."""
+
+    centers: np.ndarray
+    drift: np.ndarray
+    gaps: np.ndarray
+
+    @classmethod
+    def of(cls, centers: np.ndarray, before: np.ndarray) -> _Bounds:
+        gaps = np.sqrt(arrays.squared_distances(centers, centers))
+        np.fill_diagonal(gaps, np.inf)
+        return cls(centers, np.sqrt(((centers - before) ** 2).sum(axis=1)), gaps)
+
+    def place(self, x: np.ndarray, own: np.ndarray, upper: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """Label, bounds and the number of distances computed, from label and bounds under the anchor's centers."""
+        c, d, slack = self.centers, self.drift, _slack(x, self.centers)
+        others = np.where(own == d.argmax(), np.sort(d)[-2] if len(d) > 1 else 0.0, d.max())
+        label, upper, lower = own.copy(), upper + d[own], lower - others
+        safe = np.maximum(lower, self.gaps.min(axis=1)[own] / 2) - slack
+        at = np.flatnonzero(upper >= safe)
+        spent = len(at)
+        upper[at] = exact = np.sqrt(((x[at] - c[own[at]]) ** 2).sum(axis=1))
+        unsettled = exact >= safe[at]
+        at, exact = at[unsettled], exact[unsettled, None]
+        if not len(at):
+            return label, upper, lower, spent
+        # Of the other centers only those matter that may have come nearer than the own one.
+        mine, here = own[at], np.arange(len(at))
+        may = (lower[at, None] + others[at, None] - d <= exact + slack) & (self.gaps[mine] <= 2 * exact + slack)
+        may[here, mine] = False
+        if may.mean() > DENSE:
+            spent += may.size
+            near = np.sqrt(arrays.squared_distances(x[at], c))
+        else:
+            row, center = np.nonzero(may)
+            spent += len(row)
+            # Of the ones left out it is known how near they may be at most.
+            near = np.maximum(lower[at, None] + others[at, None] - d, self.gaps[mine] - exact)
+            near[here, mine] = exact[:, 0]
+            near[row, center] = np.sqrt(((x[at[row]] - c[center]) ** 2).sum(axis=1))
+        label[at], upper[at], lower[at] = _two_nearest(near)
+        return label, upper, lower, spent
+
+
+def _anchor(points: DataFrame, fits: Sequence[Fit], dims: int, rows: int) -> _Anchor:
+    """Place all rows, keep the result, and take members and sums of each model from it."""
+    cuts, total = _cuts(fits), sum(len(f.centers) for f in fits)
+    shared = points.sparkSession.sparkContext.broadcast(np.vstack([f.centers for f in fits]))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centers = shared.value
+        for batch in batches:
+            for part in arrays.chunks(batch.num_rows):
+                some = batch.slice(part.start, part.stop - part.start)
+                x = arrays.dense(some.column("embedding"), dims)
+                label, near = np.empty((len(x), len(cuts)), np.int32), np.empty((2, len(x), len(cuts)))
+                distances = np.sqrt(arrays.squared_distances(x, centers))
+                for m, cut in enumerate(cuts):
+                    label[:, m], near[0, :, m], near[1, :, m] = _two_nearest(distances[:, cut])
+                # Kept in half the space, rounded to the safe side.
+                upper = np.nextafter(near[0].astype(np.float32), np.float32(np.inf))
+                lower = np.nextafter(near[1].astype(np.float32), np.float32(-np.inf))
+                kinds = (label, pa.int32()), (upper, pa.float32()), (lower, pa.float32())
+                columns = [some.column("embedding"), *(arrays.list_column(v, kind) for v, kind in kinds)]
+                yield pa.RecordBatch.from_arrays(columns, names=["embedding", "label", "upper", "lower"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((total, dims + 1))
+        for batch in batches:
+            x, label = arrays.dense(batch.column("embedding"), dims), arrays.matrix(batch.column("label"), len(cuts))
+            for m, cut in enumerate(cuts):
+                out[cut] += np.column_stack(_segment_sums(x, label[:, m], cut.stop - cut.start))
+        yield batch_of(slices_of(np.concatenate([out.ravel(), np.zeros(len(cuts))])))
+
+    placed = points.select("embedding").mapInArrow(place, _STATE).persist()
+    members, sums = _taken(joined(tree_reduced(placed, summed)), fits, dims)
+    for fit in fits:
+        fit.distances += rows * fit.k
+    return _Anchor(placed, list(fits), [f.centers.copy() for f in fits], members, sums)
+
+
+def _places(anchor: _Anchor, fits: Sequence[Fit]) -> list[int]:
+    return [next(i for i, g in enumerate(anchor.models) if g is f) for f in fits]
+
+
+def _taken(found: np.ndarray, fits: Sequence[Fit], dims: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Members and sums by model; the distances are added to the models' counts."""
+    cuts, total = _cuts(fits), sum(len(f.centers) for f in fits)
+    block = found[: total * (dims + 1)].reshape(total, dims + 1)
+    for fit, n in zip(fits, found[total * (dims + 1) :]):
+        fit.distances += int(n)
+    return [block[c, 0] for c in cuts], [block[c, 1:] for c in cuts]
+
+
+def _moved(anchor: _Anchor, fits: Sequence[Fit], dims: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Members and vector sums of each model under its present centers, by the rows that left the anchor's labels."""
+    cuts, total, at = _cuts(fits), sum(len(f.centers) for f in fits), _places(anchor, fits)
+    known = [_Bounds.of(f.centers, anchor.centers[i]) for f, i in zip(fits, at)]
+    shared = anchor.rows.sparkSession.sparkContext.broadcast(known)
+    models = len(anchor.models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, spent = np.zeros((total, dims + 1)), np.zeros(len(cuts))
+        for batch in batches:
+            x = arrays.dense(batch.column("embedding"), dims)
+            label, upper, lower = (arrays.matrix(batch.column(c), models) for c in ("label", "upper", "lower"))
+            for m, (cut, bounds) in enumerate(zip(cuts, shared.value)):
+                own = label[:, at[m]]
+                new, _, _, n = bounds.place(x, own, upper[:, at[m]].astype(float), lower[:, at[m]].astype(float))
+                spent[m] += n
+                left = np.flatnonzero(new != own)
+                if len(left):
+                    came, away = (_segment_sums(x[left], side[left], len(bounds.centers)) for side in (new, own))
+                    out[cut] += np.column_stack([came[0] - away[0], came[1] - away[1]])
+        yield batch_of(slices_of(np.concatenate([out.ravel(), spent])))
+
+    before = sum(f.distances for f in fits)
+    members, sums = _taken(joined(tree_reduced(anchor.rows, run)), fits, dims)
     shared.destroy()
-    members, cost, sums = np.zeros(total), np.zeros(total), np.zeros((total, dims))
-    center = table.column("center").to_numpy()
-    np.add.at(members, center, table.column("members").to_numpy())
-    np.add.at(cost, center, table.column("cost").to_numpy())
-    np.add.at(sums, center, _matrix(table, "total", dims))
-    cuts = [slice(starts[m], starts[m + 1]) for m in range(len(sizes))]
-    return [(members[c], sums[c], float(cost[c].sum())) for c in cuts]
+    anchor.spent += sum(f.distances for f in fits) - before
+    return [anchor.members[i] + x for i, x in zip(at, members)], [anchor.sums[i] + x for i, x in zip(at, sums)]
 
 
 def fit_many(
@@ -203,9 +345,16 @@ def fit_many(
     for step in range(max(k for k, _ in models)):
         _draw_centers(points, [f for f in fits if f.k > step], seed, step, dims)
 
-    active = list(fits)
+    active, anchor = [f for f in fits if f.iterations < max_iter], None
     while active:
-        for fit, (members, sums, _) in zip(active, _pass(points, active, dims)):
+        if anchor is None or anchor.spent >= RENEWED * n * sum(f.k for f in active):
+            last, anchor = anchor, _anchor(points, active, dims, n)
+            found = anchor.members, anchor.sums
+            if last:
+                last.close()
+        else:
+            found = _moved(anchor, active, dims)
+        for fit, members, sums in zip(active, *found):
             kept = members > 0  # a center without members stays where it is
             moved = fit.centers.copy()
             moved[kept] = sums[kept] / members[kept, None]
@@ -213,6 +362,8 @@ def fit_many(
             fit.centers = moved
             fit.iterations += 1
         active = [f for f in active if not f.converged and f.iterations < max_iter]
+    if anchor:
+        anchor.close()
 
     for fit, (_, _, inertia) in zip(fits, _pass(points, fits, dims)):
         fit.inertia = inertia

@@ -2,14 +2,14 @@
 
 The leading subspace is found by randomised block iteration. The driver holds a block of terms x (dims + a few more)
 numbers, never terms x terms. In a pass every task multiplies its rows with the block and back again, `A'(A V)`; the
-partial results are added up in a tree of tasks, sixteen at a time, in slices of the terms. The last pass takes the QR
+partial results are added up in a tree, sixteen at a time, in slices of bounded size. The last pass takes the QR
 factor of `A V`, reduced over the same tree: a task factors its rows batch by batch, then factors of sixteen tasks are
 stacked and factored again. The small factor that is left turns the block into singular vectors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,13 +20,14 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from faultline.functions import arrays
+from faultline.operators.reduction import batch_of, joined, slices_of, tree_reduced
 from faultline.sources.shared import fewer_tasks
 
 #: Further columns of the block, and passes that turn it towards the leading vectors.
 OVERSAMPLE, ITERATIONS = 16, 6
 
-#: Partial results that meet in one task, numbers of one slice of them, and numbers of a dense block of rows.
-FAN_IN, SLICE, DENSE = 16, 1 << 16, 1 << 21
+#: Numbers of a dense block of rows.
+DENSE = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -51,65 +52,28 @@ def _dense_blocks(column: pa.Array, terms: int) -> Iterator[np.ndarray]:
         yield block
 
 
-_PARTIAL = "task long, slice int, numbers array<double>"
-
-
-def _partials(found: list[np.ndarray]) -> pa.RecordBatch:
-    """One row per slice; the number of the task is added by the plan."""
-    return pa.RecordBatch.from_arrays(
-        [pa.array(range(len(found)), pa.int32()), pa.array([x.ravel() for x in found], pa.list_(pa.float64()))],
-        names=["slice", "numbers"],
-    )
-
-
-def tree_reduced(partials: DataFrame, tasks: int, combine: Callable[[list[np.ndarray]], np.ndarray]) -> dict[int, np.ndarray]:
-    """Combine (task, slice, numbers) by slice, FAN_IN rows at a time; no task holds more than these. One row per slice
-    reaches the driver."""
-
-    def run(group: pa.Table) -> pa.Table:
-        rows = group.sort_by("task")  # the order of additions does not depend on the shuffle
-        merged = combine([np.asarray(x.values) for chunk in rows.column("numbers").chunks for x in chunk])
-        return pa.table(
-            {"task": rows.column("task")[:1], "slice": rows.column("slice")[:1], "numbers": pa.array([merged.ravel()], pa.list_(pa.float64()))}
-        )
-
-    while tasks > 1:
-        tasks = -(-tasks // FAN_IN)
-        near = partials.withColumn("task", F.floor(F.col("task") / FAN_IN).cast("long"))
-        partials = near.groupBy("task", "slice").applyInArrow(run, _PARTIAL)
-    table = partials.toArrow()
-    numbers = table.column("numbers").combine_chunks()
-    return {s: np.asarray(numbers[i].values) for i, s in enumerate(table.column("slice").to_pylist())}
-
-
-def _over_rows(weighted: DataFrame, column: str, run: Callable) -> DataFrame:
-    found = weighted.select(column).mapInArrow(run, "slice int, numbers array<double>")
-    return found.select(F.spark_partition_id().cast("long").alias("task"), "slice", "numbers")
-
-
-def _turned(weighted: DataFrame, column: str, tasks: int, block: np.ndarray) -> np.ndarray:
+def _turned(weighted: DataFrame, column: str, block: np.ndarray) -> np.ndarray:
     """A'(A V)."""
     terms, width = block.shape
     shared = weighted.sparkSession.sparkContext.broadcast(block)
-    step = max(1, SLICE // width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, total = shared.value, np.zeros((terms, width))
         for batch in batches:
             for rows in _dense_blocks(batch.column(0), terms):
                 total += rows.T @ (rows @ v)
-        yield _partials([total[i : i + step] for i in range(0, terms, step)])
+        yield batch_of(slices_of(total))
 
-    found = tree_reduced(_over_rows(weighted, column, run), tasks, lambda parts: np.sum(parts, axis=0))
+    found = joined(tree_reduced(weighted.select(column), run))
     shared.destroy()
-    return np.concatenate([found[i] for i in range(len(found))]).reshape(terms, width)
+    return found.reshape(terms, width)
 
 
 def _stacked_factor(parts: list[np.ndarray], width: int) -> np.ndarray:
     return np.linalg.qr(np.vstack([p.reshape(-1, width) for p in parts]), mode="r")
 
 
-def _row_factor(weighted: DataFrame, column: str, tasks: int, block: np.ndarray) -> np.ndarray:
+def _row_factor(weighted: DataFrame, column: str, block: np.ndarray) -> np.ndarray:
     """R of the QR factorisation of A V, whose rows stay where they are."""
     terms, width = block.shape
     shared = weighted.sparkSession.sparkContext.broadcast(block)
@@ -119,9 +83,9 @@ def _row_factor(weighted: DataFrame, column: str, tasks: int, block: np.ndarray)
         for batch in batches:
             for rows in _dense_blocks(batch.column(0), terms):
                 factor = _stacked_factor([factor, rows @ v], width)
-        yield _partials([factor])
+        yield batch_of({0: factor})
 
-    found = tree_reduced(_over_rows(weighted, column, run), tasks, lambda parts: _stacked_factor(parts, width))
+    found = tree_reduced(weighted.select(column), run, lambda parts: _stacked_factor(parts, width))
     shared.destroy()
     return found[0].reshape(-1, width)
 
@@ -139,11 +103,10 @@ def fit(
     dims = min(dims, terms)
     width = min(dims + oversample, terms)
     weighted = fewer_tasks(weighted)
-    tasks = weighted.rdd.getNumPartitions()
     block = np.linalg.qr(np.random.default_rng(seed).standard_normal((terms, width)))[0]
     for _ in range(iterations if width < terms else 0):  # as wide as the matrix: nothing to turn
-        block = np.linalg.qr(_turned(weighted, column, tasks, block))[0]
-    _, sigma, turn = np.linalg.svd(_row_factor(weighted, column, tasks, block))
+        block = np.linalg.qr(_turned(weighted, column, block))[0]
+    _, sigma, turn = np.linalg.svd(_row_factor(weighted, column, block))
     components = (block @ turn.T)[:, :dims]
     sigma = np.concatenate([sigma, np.zeros(width - len(sigma))])[:dims]
     # The sign of a singular vector is arbitrary: make its largest entry positive.

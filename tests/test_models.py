@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from faultline.config import Config
 from faultline.functions import arrays
-from faultline.operators import clusters, kmeans, silhouette, svd, sweep, tfidf
+from faultline.operators import clusters, kmeans, reduction, silhouette, svd, sweep, tfidf
 from faultline.operators.embed import embed_batched, hashing_embedder
 from faultline.plans import taxonomy
 from faultline.schemas import DEFECT_FEATURES
@@ -78,6 +78,45 @@ def test_inertia_is_no_worse_than_the_built_in_estimator(spark):
     assert ours <= theirs * 1.02
 
 
+def plain_lloyd(x, centers, rounds):
+    for _ in range(rounds):
+        labels = ((x[:, None] - centers[None]) ** 2).sum(-1).argmin(1)
+        centers = np.array([x[labels == j].mean(0) if (labels == j).any() else c for j, c in enumerate(centers)])
+    return centers
+
+
+@pytest.mark.parametrize("spread", [0.6, 6.0])
+def test_skipped_distances_change_no_center(spark, spread):
+    """Clear groups and none at all: centers as by placing every row in every pass, with half the distances at most."""
+    rng = np.random.default_rng(7)
+    x = np.concatenate([m + rng.normal(0, spread, (150, 6)) for m in rng.normal(0, 6, (8, 6))])
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>").repartition(20, "id")
+    points = kmeans.points_of(kmeans.with_row_hash(frame, "id", "embedding")).persist()
+    starts = {}
+    for rounds in (0, 400):
+        for fit in kmeans.fit_many(points, [(k, r) for k in (1, 5, 8) for r in range(4)], max_iter=rounds, tol=1e-7):
+            if not rounds:
+                starts[fit.k, fit.restart] = fit.centers
+                continue
+            assert np.allclose(fit.centers, plain_lloyd(x, starts[fit.k, fit.restart], fit.iterations), atol=1e-9)
+            starts[fit.k, fit.restart] = fit.distances, len(x) * fit.k * fit.iterations
+    points.unpersist()
+    computed, possible = np.sum(list(starts.values()), axis=0)
+    assert computed <= possible / 2
+
+
+def test_trees_of_tasks_add_in_order(spark, monkeypatch):
+    def run(batches):
+        total = sum(b.column(0).to_numpy().sum() for b in batches)
+        yield reduction.batch_of({0: np.array([total]), 5: np.array([1.0, 2.0])})
+
+    rows = spark.range(0, 1000, 1, 40)
+    for fan in (2, 3, 16, 64):
+        monkeypatch.setattr(reduction, "FAN_IN", fan)
+        found = reduction.tree_reduced(rows, run)
+        assert found[0].tolist() == [499500.0] and found[5].tolist() == [40.0, 80.0]
+
+
 def test_more_centers_than_distinct_points(spark):
     df = spark.createDataFrame([(i, [float(i % 2), 0.0]) for i in range(10)], "id long, embedding array<double>")
     (fit,) = kmeans.fit_many(kmeans.points_of(kmeans.with_row_hash(df, "id", "embedding")), [(4, 0)])
