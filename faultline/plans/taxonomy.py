@@ -7,6 +7,7 @@ record is joined back to its vector: the last pass recomputes it, which costs le
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +21,8 @@ from faultline.functions import arrays
 from faultline.functions.scalars import lookup
 from faultline.operators import clusters, embed, features, kmeans, quality, svd, sweep, tfidf, validate
 from faultline.schemas import DEFECT_FEATURES
-from faultline.sources.shared import drop_tables, materialise, spread
+from faultline.sources.shared import materialise, spread
+from faultline.sources.stages import Stages, fingerprint
 from faultline.sources.tables import use_namespace, write_table
 
 TEXT = "defect_description"
@@ -55,12 +57,12 @@ class Taxonomy:
     equipment: DataFrame
     rejected: DataFrame
     terms: DataFrame
-    intermediates: tuple[DataFrame, ...] = ()
+    stages: Stages | None = None
 
     def close(self) -> None:
         """Delete what the job wrote for itself. The published tables do not need it."""
-        for df in self.intermediates:
-            drop_tables(df)
+        if self.stages:
+            self.stages.drop()
 
 
 def embed_texts(texts: DataFrame, key: str, text: str, cfg: Config = Config()) -> Embedded:
@@ -95,34 +97,55 @@ def _remap(labelled: DataFrame, min_size: int) -> dict[int, int]:
     return {r.cluster_raw: r.cluster for r in clusters.renumbering(labelled, "cluster_raw", min_size).collect()}
 
 
-def build(work_orders: DataFrame, cfg: Config = Config(), embedder: embed.Embedder | None = None) -> Taxonomy:
-    """The whole job. With an `embedder` its vectors take the place of TF-IDF and SVD; all else is the same."""
+def build(
+    work_orders: DataFrame, cfg: Config = Config(), embedder: embed.Embedder | None = None, job: str | None = None
+) -> Taxonomy:
+    """The whole job. With an `embedder` its vectors take the place of TF-IDF and SVD; all else is the same.
+
+    Its stages (vocabulary and weights, embedding, search, final fit, labels) are written to the shared folder one by one.
+    With a `job` name, a rerun over the same input and settings takes up what an earlier run has finished, also after the
+    loss of its driver; without one, every run stands for itself. `close` deletes the stages.
+    """
+    spark = work_orders.sparkSession
+    model = f"{embedder.__module__}.{embedder.__qualname__}" if embedder else None
+    digest = fingerprint(work_orders, cfg, model) if job else uuid.uuid4().hex
+    stages = Stages(spark, job or "run", digest)
     scored = quality.with_score(work_orders, cfg.quality_weights)
     kept, rejected = quality.split(scored, cfg.quality_threshold)
     kept = spread(kept)
 
-    if embedder is None:
-        embedded = embed_texts(kept, "record_id", TEXT, cfg)
-        vocabulary, reduced, points = embedded.tfidf, embedded.svd, embedded.points
-        stored = (embedded.weights, embedded.points)
-    else:
-        # A model call costs more than storage: whole records are written with their vector, and never embedded twice.
-        rows = materialise(embed.embed_batched(kept, TEXT, kept.columns, embedder), "embedded_records")
-        vocabulary, reduced = tfidf.fit(kept, TEXT, cfg.stop_words, cfg.max_features, cfg.min_df), None
-        points = kmeans.with_row_hash(rows.select("record_id", "embedding"), "record_id", "embedding")
-        stored = (rows,)
-
-    found = sweep.search(points, "record_id", cfg)
-    final = sweep.final_fit(points, found, found.best_k, cfg)
+    def weighed():
+        texts = kept.select("record_id", TEXT)
+        vocabulary = tfidf.fit(texts, TEXT, cfg.stop_words, cfg.max_features, cfg.min_df)
+        if embedder:
+            return vocabulary, {}
+        return vocabulary, {"tfidf": tfidf.weights(texts, TEXT, vocabulary, ["record_id"])}
+
+    vocabulary, weights = stages.run("weights", weighed)
+
+    def embedded():
+        if embedder:
+            # A model call costs more than storage: whole records are written with their vector, never embedded twice.
+            return None, {"points": embed.embed_batched(kept, TEXT, kept.columns, embedder)}
+        reduced = svd.fit(weights["tfidf"], len(vocabulary), cfg.embedding_dims)
+        return reduced, {"points": svd.embed(weights["tfidf"], reduced, ["record_id"])}
+
+    reduced, tables = stages.run("embedding", embedded)
+    points = kmeans.with_row_hash(tables["points"].select("record_id", "embedding"), "record_id", "embedding")
+    found, _ = stages.run("search", lambda: (sweep.search(points, "record_id", cfg), {}))
+    final, _ = stages.run("final", lambda: (sweep.final_fit(points, found, found.best_k, cfg), {}))
     models = Models(vocabulary, reduced, final.centers)
 
-    if embedder is None:
-        labelled = predict(kept, TEXT, models)
-    else:
-        labelled = kmeans.assign(rows, final.centers, kept.columns).withColumnRenamed("cluster", "cluster_raw")
-    # Sizes are counted on the very labels that the records keep, so both are written once.
-    kept_columns = [c for c in DEFECT_FEATURES.fieldNames() if c not in ("cluster", "defect_cluster_name")]
-    labelled = materialise(labelled.select(*kept_columns, "cluster_raw"), "labelled")
+    def placed():
+        if embedder is None:
+            labelled = predict(kept, TEXT, models)
+        else:
+            labelled = kmeans.assign(tables["points"], final.centers, kept.columns).withColumnRenamed("cluster", "cluster_raw")
+        # Sizes are counted on the very labels that the records keep, so both are written once.
+        kept_columns = [c for c in DEFECT_FEATURES.fieldNames() if c not in ("cluster", "defect_cluster_name")]
+        return None, {"labelled": labelled.select(*kept_columns, "cluster_raw")}
+
+    labelled = stages.run("labels", placed)[1]["labelled"]
     remap = _remap(labelled, cfg.min_cluster_size)
     numbered = labelled.withColumn("cluster", lookup(F.col("cluster_raw"), remap))
     feature_rows = features.feature_table(clusters.with_names(numbered, cfg.cluster_names))
@@ -133,20 +156,26 @@ def build(work_orders: DataFrame, cfg: Config = Config(), embedder: embed.Embedd
         feature_rows,
         features.equipment_agg(feature_rows),
         rejected,
-        cluster_terms(feature_rows, vocabulary, cfg.top_terms),
-        (*stored, labelled),
+        cluster_terms(labelled, remap, weights.get("tfidf"), models, cfg.top_terms),
+        stages,
     )
 
 
-def cluster_terms(feature_rows: DataFrame, vocabulary: tfidf.TfidfModel, top_n: int) -> DataFrame:
-    """Top terms of all clusters in one plan; the "Other" bucket has none."""
-    members = feature_rows.filter(F.col("cluster") != clusters.OTHER)
-    return clusters.top_terms(
-        tfidf.weights(members, TEXT, vocabulary, ["cluster"]),
-        "cluster",
-        tfidf.term_table(feature_rows.sparkSession, vocabulary),
-        top_n,
-    )
+def cluster_terms(
+    labelled: DataFrame, remap: dict[int, int], weights: DataFrame | None, models: Models, top_n: int
+) -> DataFrame:
+    """Top terms of all clusters in one plan; the "Other" bucket has none.
+
+    The stored weights are placed by the models as the records were, without a join; the texts are not read. Only where
+    no weights were written, as with vectors of another model, texts are weighed here.
+    """
+    if weights is None:
+        placed = tfidf.weights(labelled, TEXT, models.tfidf, ["cluster_raw"])
+    else:
+        placed = kmeans.assign(svd.embed(weights, models.svd, ["tfidf"]), models.centers, ["tfidf"])
+        placed = placed.withColumnRenamed("cluster", "cluster_raw")
+    members = placed.withColumn("cluster", lookup(F.col("cluster_raw"), remap)).filter(F.col("cluster") != clusters.OTHER)
+    return clusters.top_terms(members, "cluster", tfidf.term_table(labelled.sparkSession, models.tfidf), top_n)
 
 
 def summary(taxonomy: Taxonomy, cfg: Config = Config()) -> DataFrame:
@@ -198,14 +227,19 @@ def run_summary(scored: DataFrame, threshold: float, truth: str, cluster: str) -
 
 
 def publish(taxonomy: Taxonomy, cfg: Config = Config(), folder: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Write the two result tables, in `folder` if one is given, and read them back. A label or a cluster that got lost
-    on the way is an error."""
+    """Write the two result tables, in `folder` if one is given, and read them back. If a record lost its cluster
+    on the way that is an error, and the tables stay what they were."""
     spark = taxonomy.features.sparkSession
     use_namespace(spark, cfg.schema, cfg.catalog)
     found = []
-    for name, df in (("defect_features", taxonomy.features), ("equipment_cluster_agg", taxonomy.equipment)):
-        write_table(df, name, cfg.table_format, f"{folder}/{name}" if folder else None)
+
+    def complete(written: DataFrame) -> None:
+        if written.filter(F.col("cluster").isNull()).limit(1).count():
+            raise ValueError("a record has no cluster")
+
+    for name, df, check in (
+        ("defect_features", taxonomy.features, complete), ("equipment_cluster_agg", taxonomy.equipment, None),
+    ):
+        write_table(df, name, cfg.table_format, f"{folder}/{name}" if folder else None, check)
         found.append(spark.table(name))
-    if found[0].filter(F.col("cluster").isNull()).limit(1).count():
-        raise ValueError("a record has no cluster")
     return found[0], found[1]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
 
@@ -45,12 +46,82 @@ def read_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)
 
 
-def write_table(df: DataFrame, name: str, fmt: str = "parquet", path: str | None = None) -> None:
-    """Replace the table and its schema."""
-    writer = df.write.format(fmt).mode("overwrite").option("overwriteSchema", "true")
-    if path:
-        writer = writer.option("path", path)
-    writer.saveAsTable(name)
+#: Formats whose own overwrite is one transaction.
+TRANSACTIONAL = ("delta", "iceberg", "hudi")
+
+
+def write_table(
+    df: DataFrame, name: str, fmt: str = "parquet", path: str | None = None, check: Callable[[DataFrame], None] | None = None
+) -> None:
+    """Replace the table and its schema. Readers have the old rows until the new ones are complete.
+
+    The rows are written aside, as a table of another name, and `check` may raise on what was written. Then the names are
+    switched in the catalog, and the old rows deleted. If writing or checking fails the old table is untouched and what was
+    written is deleted, so a table can be overwritten from its own rows. With `path` every version has a folder of its own
+    below it; a version of equal schema takes the place of the last one in a single catalog call.
+    """
+    spark = df.sparkSession
+    if fmt in TRANSACTIONAL:
+        if check:
+            check(df)
+        writer = df.write.format(fmt).mode("overwrite").option("overwriteSchema", "true")
+        (writer.option("path", path) if path else writer).saveAsTable(name)
+        return
+    version = uuid.uuid4().hex
+    aside, old, folder = f"{name}_new_{version}", f"{name}_old_{version}", f"{path}/{version}" if path else None
+    writer = df.write.format(fmt)
+    try:
+        (writer.option("path", folder) if folder else writer).saveAsTable(aside)
+        if check:
+            check(spark.table(aside))
+    except BaseException:
+        _drop(spark, aside, folder)
+        raise
+    before = _location(spark, name) if spark.catalog.tableExists(name) else None
+    if before and folder and _external(spark, name) and spark.table(name).schema == spark.table(aside).schema:
+        spark.sql(f"ALTER TABLE {name} SET LOCATION '{folder}'")
+        spark.catalog.refreshTable(name)
+        _drop(spark, aside, None)
+        _delete(spark, before)
+        return
+    if before:
+        spark.sql(f"ALTER TABLE {name} RENAME TO {old}")
+    try:
+        spark.sql(f"ALTER TABLE {aside} RENAME TO {name}")
+    except BaseException:
+        if before:
+            spark.sql(f"ALTER TABLE {old} RENAME TO {name}")
+        _drop(spark, aside, folder)
+        raise
+    if before:
+        _drop(spark, old, before if path and before.startswith(f"{_plain(path)}/") else None)
+
+
+def _described(spark: SparkSession, name: str) -> dict[str, str]:
+    return {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()}
+
+
+def _plain(path: str) -> str:
+    return path.removeprefix("file:").rstrip("/")
+
+
+def _location(spark: SparkSession, name: str) -> str:
+    return _plain(_described(spark, name)["Location"])
+
+
+def _external(spark: SparkSession, name: str) -> bool:
+    return _described(spark, name).get("Type") == "EXTERNAL"
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _drop(spark: SparkSession, name: str, folder: str | None) -> None:
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    if folder:
+        _delete(spark, folder)
 
 
 def use_namespace(spark: SparkSession, schema: str, catalog: str | None = None) -> None:

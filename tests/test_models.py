@@ -338,3 +338,56 @@ def test_taxonomy_terms_and_agreement(built):
     assert max(r.rank for r in ranked) <= cfg.top_terms and -1 not in {r.cluster for r in ranked}
     assert -0.5 <= taxonomy.agreement(result.features).first().ari <= 1.0
     assert result.equipment.count() == 50
+
+
+def test_terms_come_from_the_stored_weights(spark, built):
+    result, cfg = built
+    shown = result.terms._jdf.queryExecution().optimizedPlan().toString()
+    assert "defect_description" not in shown and "Join" in shown
+    texts = result.features.filter("cluster >= 0")
+    again = clusters.top_terms(
+        tfidf.weights(texts, "defect_description", result.models.tfidf, ["cluster"]), "cluster",
+        tfidf.term_table(spark, result.models.tfidf), cfg.top_terms,
+    )
+    assert sorted(map(tuple, result.terms.collect())) == sorted(map(tuple, again.collect()))
+
+
+def test_a_killed_job_goes_on_where_it_was(spark, monkeypatch):
+    """The driver dies in the search; the rerun neither weighs texts nor factors again, and ends with the same rows."""
+    cfg = Config(k_values=(3, 4), sweep_restarts=2, final_restarts=2, embedding_dims=8, max_features=300)
+    orders = views.text_work_orders(spark, FOLDER)
+    whole = taxonomy.build(orders, cfg)
+    context, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+
+    def jobs(group, run):
+        context.setJobGroup(group, group)
+        try:
+            return run()
+        finally:
+            context._jsc.clearJobGroup()
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as patch:
+        patch.setattr(sweep, "search", killed)
+        with pytest.raises(KeyboardInterrupt):
+            jobs("first", lambda: taxonomy.build(orders, cfg, job="restart"))
+    with monkeypatch.context() as patch:
+        for module, name in ((tfidf, "fit"), (tfidf, "weights"), (svd, "fit")):
+            patch.setattr(module, name, killed)
+        second = jobs("second", lambda: taxonomy.build(orders, cfg, job="restart"))
+    assert second.stages.reused == ["weights", "embedding"]
+    with monkeypatch.context() as patch:
+        patch.setattr(sweep, "search", killed)
+        third = jobs("third", lambda: taxonomy.build(orders, cfg, job="restart"))
+    assert third.stages.reused == ["weights", "embedding", "search", "final", "labels"]
+    counts = [len(tracker.getJobIdsForGroup(g)) for g in ("first", "second", "third")]
+    assert counts[2] < min(counts[0], counts[1]) / 2
+    key = "record_id"
+    for result in (second, third):
+        assert result.features.orderBy(key).collect() == whole.features.orderBy(key).collect()
+    assert taxonomy.build(orders, Config(**{**vars(cfg), "seed": 1}), job="restart").stages.reused == []
+    for result in (whole, third):
+        result.close()
+    assert not third.stages.finished("weights")

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from faultline.operators import features, kmeans, quality, tfidf
 from faultline.operators.joins import with_dimension
 from faultline.plans import reports, taxonomy
 from faultline.schemas import EQUIPMENT_CLUSTER_AGG
-from faultline.sources import shared, tables, views
+from faultline.sources import shared, stages, tables, views
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -56,6 +57,81 @@ def test_csv_of_other_writers(spark, tmp_path):
     assert [tuple(r) for r in rows] == [(1, 'say "hi", twice', 1.5), (2, "c:\\x", None)]
 
 
+@pytest.mark.parametrize("outside", [True, False])
+def test_replacing_a_table_is_all_or_nothing(spark, tmp_path, outside):
+    name, path = f"faultline_atomic_{outside}".lower(), str(tmp_path / "t") if outside else None
+    tables.write_table(spark.range(3), name, path=path)
+    broken = spark.range(9).select(F.when(F.col("id") < 5, F.col("id")).otherwise(F.raise_error(F.lit("lost"))).alias("id"))
+
+    def refuse(written):
+        assert written.count() == 7
+        raise ValueError("refused")
+
+    for new, check, error in ((broken, None, Exception), (spark.range(7), refuse, ValueError)):
+        with pytest.raises(error):
+            tables.write_table(new, name, path=path, check=check)
+        assert spark.table(name).count() == 3
+    # From its own rows, with another schema, and with the same one again; no old version and no other table is left.
+    tables.write_table(spark.table(name).select((F.col("id") * 2).alias("id"), F.lit("x").alias("t")), name, path=path)
+    assert sorted(map(tuple, spark.table(name).collect())) == [(0, "x"), (2, "x"), (4, "x")]
+    reader = spark.table(name)
+    tables.write_table(reader.unionByName(reader), name, path=path)
+    assert spark.table(name).count() == 6
+    if outside:
+        assert len(list((tmp_path / "t").iterdir())) == 1
+    assert [t.name for t in spark.catalog.listTables() if t.name.startswith(name)] == [name]
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_a_failed_switch_puts_the_old_table_back(spark, tmp_path, monkeypatch):
+    name = "faultline_switch"
+    tables.write_table(spark.range(3), name, path=str(tmp_path / "t"))
+    plain = type(spark).sql
+
+    def sql(self, query, *args, **more):
+        if "_new_" in query and "RENAME" in query:
+            raise RuntimeError("catalog lost")
+        return plain(self, query, *args, **more)
+
+    monkeypatch.setattr(type(spark), "sql", sql)
+    with pytest.raises(RuntimeError):
+        tables.write_table(spark.range(5).select(F.lit("x").alias("t")), name, path=str(tmp_path / "t"))
+    monkeypatch.undo()
+    assert spark.table(name).count() == 3
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_stages_are_run_once(spark):
+    rows = spark.range(50)
+    keys = [stages.fingerprint(rows, "a"), stages.fingerprint(rows, "b"), stages.fingerprint(spark.range(51), "a")]
+    assert len(set(keys)) == 3 and stages.fingerprint(spark.range(50).repartition(7), "a") == keys[0]
+    calls = []
+
+    def compute():
+        calls.append(1)
+        return {"n": np.arange(3)}, {"rows": rows}
+
+    for _ in range(2):
+        job = stages.Stages(spark, "test", keys[0])
+        state, tables_ = job.run("one", compute)
+        assert state["n"].tolist() == [0, 1, 2] and tables_["rows"].count() == 50
+    assert len(calls) == 1 and job.reused == ["one"]
+    with pytest.raises(ZeroDivisionError):
+        job.run("two", lambda: (1 // 0, {}))
+    assert not job.finished("two")
+    job.drop()
+    assert not job.finished("one")
+
+
+def test_a_file_that_changes_changes_the_digest(spark, tmp_path):
+    for n in (4, 5):
+        spark.range(n).write.mode("overwrite").parquet(str(tmp_path / "in"))
+        found = stages.fingerprint(spark.read.parquet(str(tmp_path / "in")))
+        assert found == stages.fingerprint(spark.read.parquet(str(tmp_path / "in")))
+    spark.range(5).write.mode("overwrite").parquet(str(tmp_path / "in"))
+    assert found != stages.fingerprint(spark.read.parquet(str(tmp_path / "in")))
+
+
 def test_table_is_replaced_with_its_schema(spark, tmp_path):
     name = "faultline_replace_test"
     tables.write_table(spark.range(3).select(F.lit(1).alias("a")), name, path=str(tmp_path / "t"))
