@@ -1,5 +1,7 @@
 """Vector operators and fitted models: brute force on small frames, invariants elsewhere."""
 
+import time
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -357,7 +359,7 @@ def test_a_killed_job_goes_on_where_it_was(spark, monkeypatch):
     cfg = Config(k_values=(3, 4), sweep_restarts=2, final_restarts=2, embedding_dims=8, max_features=300)
     orders = views.text_work_orders(spark, FOLDER)
     whole = taxonomy.build(orders, cfg)
-    context, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+    context, tracker, name = spark.sparkContext, spark.sparkContext.statusTracker(), f"restart-{time.time_ns()}"
 
     def jobs(group, run):
         context.setJobGroup(group, group)
@@ -372,22 +374,22 @@ def test_a_killed_job_goes_on_where_it_was(spark, monkeypatch):
     with monkeypatch.context() as patch:
         patch.setattr(sweep, "search", killed)
         with pytest.raises(KeyboardInterrupt):
-            jobs("first", lambda: taxonomy.build(orders, cfg, job="restart"))
+            jobs("first", lambda: taxonomy.build(orders, cfg, job=name))
     with monkeypatch.context() as patch:
-        for module, name in ((tfidf, "fit"), (tfidf, "weights"), (svd, "fit")):
-            patch.setattr(module, name, killed)
-        second = jobs("second", lambda: taxonomy.build(orders, cfg, job="restart"))
+        for module, step in ((tfidf, "fit"), (tfidf, "weights"), (svd, "fit")):
+            patch.setattr(module, step, killed)
+        second = jobs("second", lambda: taxonomy.build(orders, cfg, job=name))
     assert second.stages.reused == ["weights", "embedding"]
     with monkeypatch.context() as patch:
         patch.setattr(sweep, "search", killed)
-        third = jobs("third", lambda: taxonomy.build(orders, cfg, job="restart"))
+        third = jobs("third", lambda: taxonomy.build(orders, cfg, job=name))
     assert third.stages.reused == ["weights", "embedding", "search", "final", "labels"]
     counts = [len(tracker.getJobIdsForGroup(g)) for g in ("first", "second", "third")]
     assert counts[2] < min(counts[0], counts[1]) / 2
     key = "record_id"
     for result in (second, third):
         assert result.features.orderBy(key).collect() == whole.features.orderBy(key).collect()
-    assert taxonomy.build(orders, Config(**{**vars(cfg), "seed": 1}), job="restart").stages.reused == []
+    assert taxonomy.build(orders, Config(**{**vars(cfg), "seed": 1}), job=name).stages.reused == []
     for result in (whole, third):
         result.close()
     assert not third.stages.finished("weights")

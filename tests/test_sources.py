@@ -1,6 +1,7 @@
 """Readers, writers, catalog inspection and plan checks."""
 
 import datetime as dt
+import time
 
 import numpy as np
 import pytest
@@ -105,14 +106,14 @@ def test_stages_are_run_once(spark):
     rows = spark.range(50)
     keys = [stages.fingerprint(rows, "a"), stages.fingerprint(rows, "b"), stages.fingerprint(spark.range(51), "a")]
     assert len(set(keys)) == 3 and stages.fingerprint(spark.range(50).repartition(7), "a") == keys[0]
-    calls = []
+    calls, name = [], time.time_ns()
 
     def compute():
         calls.append(1)
         return {"n": np.arange(3)}, {"rows": rows}
 
     for _ in range(2):
-        job = stages.Stages(spark, "test", keys[0])
+        job = stages.Stages(spark, f"test-{name}", keys[0])
         state, tables_ = job.run("one", compute)
         assert state["n"].tolist() == [0, 1, 2] and tables_["rows"].count() == 50
     assert len(calls) == 1 and job.reused == ["one"]
