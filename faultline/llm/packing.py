@@ -17,7 +17,6 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -37,19 +36,24 @@ LENGTH, END = 4096, 2
 OPEN, MERGED = 32, 32
 
 
-#: Parts that normalising only puts in lower case and that split in a plain way: ASCII and composed Latin letters.
-_SIMPLE = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]+")
-_SPLIT = re.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017e]+|[0-9]|[^0-9a-z\u00df-\u00f6\u00f8-\u017e]+"
-)
+#: Characters that normalising only puts in lower case and that split in a plain way: ASCII and composed Latin letters.
+_SIGNS = r"!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e"
+_SIMPLE, _SIMPLE_TEXT = re.compile(f"[{_SIGNS}]+"), re.compile(f"[ \t-\r{_SIGNS}]*")
+#: The library's words of such characters.
+_LETTERS = r"a-z\u00df-\u00f6\u00f8-\u017e"
+_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^ \t-\r0-9{_LETTERS}]+")
+
+#: Words that a worker remembers per generation.
+WORDS = 400_000
 
 
 class Words:
     """Ids of texts by the library, whose merges see every distinct word only now and then.
 
     The vocabulary's normaliser and splitter treat white space as a border, so the ids of a text are those of its
-    ASCII-blank-separated parts, one after the other. A part of plain letters, digits and marks is put in lower case
-    and split here, and each word goes through the library's model; any other part goes through the whole library.
+    ASCII-blank-separated parts, one after the other. A text of plain letters, digits and marks is put in lower case and
+    split here as a whole, and its words go through the library's model. Of any other text, plain parts do so too, and
+    the rest goes through the whole library. Ids are little-endian bytes throughout.
     """
 
     def __init__(self, path: str) -> None:
@@ -59,26 +63,28 @@ class Words:
         self.library.no_padding()
         self.model = self.library.model
         self.signs = {byte: ord(sign) for sign, byte in byte_symbols().items()}
-        self.words = Recent(self.word).__getitem__
+        self.words = Recent(self.word, WORDS).__getitem__
         self.parts = Recent(self.part).__getitem__
 
-    def word(self, text: str) -> tuple[int, ...]:
+    def word(self, text: str) -> bytes:
         signs = text if text.isascii() else text.encode().decode("latin-1").translate(self.signs)
-        return tuple(token.id for token in self.model.tokenize(signs))
+        return b"".join([token.id.to_bytes(4, "little") for token in self.model.tokenize(signs)])
 
-    def part(self, data: bytes) -> tuple[int, ...]:
+    def part(self, data: bytes) -> bytes:
         text = data.decode()
         if "<|" not in text and _SIMPLE.fullmatch(text):
-            return tuple(chain.from_iterable(map(self.words, _SPLIT.findall(text.lower()))))
-        return tuple(self.library.encode(text, add_special_tokens=False).ids)
+            return b"".join(map(self.words, _SPLIT.findall(text.lower())))
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def piece(self, text: str) -> bytes:
+        if "<|" not in text and _SIMPLE_TEXT.fullmatch(text):
+            return b"".join(map(self.words, _SPLIT.findall(text.lower())))
+        data = text.encode()
+        parts = (data if b"<|" in data else data.lower()).split()  # special strings are matched before lower case
+        return b"".join(map(self.parts, parts))
 
     def ids(self, text: str, end: int) -> np.ndarray:
-        found = []
-        for piece in pieces(text):
-            data = piece.encode()
-            parts = (data if b"<|" in data else data.lower()).split()  # special strings are matched before lower case
-            found.append(np.fromiter(chain.from_iterable(map(self.parts, parts)), "<u4"))
-        return np.concatenate([*found, np.array([end], "<u4")])
+        return np.frombuffer(b"".join([*map(self.piece, pieces(text)), end.to_bytes(4, "little")]), "<u4")
 
 
 @lru_cache(maxsize=4)
