@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from faultline.sources import shared
+
 #: ASCII white space, as the contracts of this subpackage use it, in a form for Java's and DuckDB's expressions.
 BLANK = r"[\x20\x09-\x0D]+"
 
@@ -54,6 +57,30 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write once to the shared folder and read back. Within `scratch` the table lives as long as its block."""
+    written = shared.materialise(df, name)
+    if _scopes:
+        _scopes[-1].append(written)
+    return written
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that `materialise` writes in this block are deleted at its end, also after an error, and shuffle files of
+    its jobs are released. What the block hands on must be written by `shared.materialise` before."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for written in _scopes.pop():
+            shared.drop_tables(written)
+        release_shuffles(spark)
+
+
 def text_of(column: str) -> Column:
     """The text as a string; null counts as empty."""
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from faultline.sources.shared import materialise
+from faultline.llm.common import materialise
 
 
 def _large(links: DataFrame) -> DataFrame:

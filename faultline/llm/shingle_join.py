@@ -1,5 +1,8 @@
 """Operator 8: similarity join on word shingles by parity sketches, and the groups of linked documents.
 
+Two sketches are made of a set. Segments are XORs of 64-bit codes of the shingles that fall into them, and are joined
+for equality by the pigeonhole principle; a bit sketch of parities gives the Hamming bound before sets are verified.
+
 1. Every set of shingles becomes a parity sketch, cut into more segments than similar sets can differ in. Similar sets
    share a segment, within a band of sizes. Equal sets have equal segments and are one node from here on.
 2. Segments that only one set has fall out by counting; the counts are combined before the shuffle.
@@ -22,10 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultline.llm.common import by_row, key_type, pick, release_shuffles, table, unused
+from faultline.llm.common import by_row, key_type, materialise, pick, release_shuffles, scratch, table, unused
 from faultline.llm.components import components
 from faultline.llm.shingles import Bands, hamming, segment_keys, set_id, shingle_set, similar, sketch
-from faultline.sources.shared import materialise
+from faultline.sources import shared
 
 #: Sets in a segment up to which its pairs are written out, and sets of a block beyond.
 SMALL, BLOCK = 16, 1024
@@ -59,14 +62,17 @@ def signatures(docs: DataFrame, key: str, text: str, width: int, percent: int) -
 def shared_segments(signed: DataFrame) -> DataFrame:
     """(segment, node, members): the segments that more than one set has, once per set, with their number of sets."""
     rows = signed.select("node", F.explode("segments").alias("segment"))
-    shared = materialise(
+    common = materialise(
         rows.groupBy("segment").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("segment"),
         "shared",
     )
     release_shuffles(signed.sparkSession)
-    members = materialise(rows.join(shared, "segment", "left_semi").distinct(), "members")
+    members = materialise(rows.join(common, "segment", "left_semi").distinct(), "members")
     count = members.groupBy("segment").agg(F.count(F.lit(1)).alias("members"))
-    return materialise(members.join(count, "segment"), "counted")
+    counted = materialise(members.join(count, "segment"), "counted")
+    for done in (common, members):
+        shared.drop_tables(done)
+    return counted
 
 
 def node_elements(docs: DataFrame, signed: DataFrame, nodes: DataFrame, key: str, text: str, width: int) -> DataFrame:
@@ -328,11 +334,13 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     Rows without words are no group and stay, and so do rows with a null key. Keys are taken as unique: rows that repeat
     a key stay or go together.
     """
-    found = similarity_components(docs, key, text, width, percent)
     (other,) = unused(docs, "gone")
-    gone = found.filter(F.col(f"`{key}`") != F.col("component_id")).select(F.col(f"`{key}`").alias(other)).distinct()
-    # Written first, so that Spark knows its size when it chooses the join.
-    return docs.join(materialise(gone, "gone"), F.col(f"`{key}`") == F.col(other), "left_anti")
+    with scratch(docs.sparkSession):
+        found = similarity_components(docs, key, text, width, percent)
+        gone = found.filter(F.col(f"`{key}`") != F.col("component_id")).select(F.col(f"`{key}`").alias(other)).distinct()
+        # Written first, so that Spark knows its size when it chooses the join.
+        gone = shared.materialise(gone, "gone")
+    return docs.join(gone, F.col(f"`{key}`") == F.col(other), "left_anti")
 
 
 def op8_shingle_join(spark: SparkSession, folder: str) -> DataFrame:
