@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from faultline.llm import line_dedup, packing, quality_rules, secrets, shingle_join
-from faultline.llm.common import table
+from faultline.llm.common import table, unused
 from faultline.sources.deploy import ship_package
 from faultline.sources.shared import materialise
 
@@ -21,30 +21,36 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go; so do null and empty texts, which have too few words. Repeated rows are judged
+    each, whole texts however long; an empty table stays empty."""
     return quality_rules.keep_good(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of passages of three lines go; so do documents that consist of nothing else."""
-    removed = "n_removed_lines"
+    """Later occurrences of passages of three lines go; so do documents that consist of nothing else.
+
+    Null and empty texts have no lines and stay. Rows with equal key and text are one document, cut alike; an empty table
+    stays empty; columns may have any names."""
+    (removed,) = unused(docs, "n_removed_lines")
     cut = line_dedup.remove_repeated(docs, n_removed=removed)
-    left = cut.filter((F.col(removed) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop(removed)
+    left = cut.filter((F.col(f"`{removed}`") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop(removed)
     return _recounted(left)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five words, similarity of 0.8 or more."""
+    """One document of each group of near copies stays: five words, similarity of 0.8 or more.
+
+    Null and empty texts and rows with a null key are no group and stay; rows that repeat a key stay or go together."""
     return shingle_join.one_of_each(docs, width=5, percent=80)
 
 
 def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a marker; all documents stay."""
+    """Secrets are replaced by a marker; all documents stay, null and empty texts as they are."""
     return _recounted(secrets.redact(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document, with its place in a sequence."""
+    """One row per piece of a document, with its place in a sequence. Null and empty texts are their end mark alone."""
     return packing.pack(docs)
 
 
