@@ -580,14 +580,21 @@ def kmeans_sweep(spark, folder):
 
 @query
 def sweep_checks(spark, folder):
-    """For each k of the search: whether the inertia holds when it is computed anew, and whether it is the only best."""
+    """For each k of the search: whether the inertia holds when plain expressions add it up over the placed rows, and
+    whether it is the only best."""
     points = _points(spark, folder)
+    total = points.count()
     found = sweep.search(points, "vec_id")
     rows = []
     for k, inertia, _ in found.rows:
-        placed = kmeans.assign(points, kmeans.best_of(found.fits, k).centers, ["vec_id", "embedding"])
-        members, _, again = kmeans.step(points, kmeans.best_of(found.fits, k).centers)
-        rows.append((k, abs(again - inertia) <= 1e-6 * inertia, int(members.sum()) == placed.count(), k == found.best_k))
+        centers = kmeans.best_of(found.fits, k).centers
+        placed = kmeans.assign(points, centers, ["vec_id", "embedding"])
+        own = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)], "cluster int, center array<double>")
+        squares = F.zip_with("embedding", "center", lambda x, c: (x - c) * (x - c))
+        again = placed.join(F.broadcast(own), "cluster").agg(  # one row per center
+            F.sum(F.aggregate(squares, F.lit(0.0), lambda a, x: a + x)).alias("inertia"), F.count("cluster").alias("placed")
+        ).first()
+        rows.append((k, abs(again.inertia - inertia) <= 1e-6 * inertia, again.placed == total, k == found.best_k))
     table = spark.createDataFrame(rows, "k long, inertia_holds boolean, all_placed boolean, is_best boolean")
     best = F.sum(F.col("is_best").cast("long")).over(Window.partitionBy())
     return table.select("k", "inertia_holds", "all_placed", best.alias("best_rows"))
