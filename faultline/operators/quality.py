@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from faultline.config import QUALITY_WEIGHTS
 from faultline.functions.scalars import half_even, mean_half_even
+from faultline.operators.quantiles import quantiles
 
 
 def composite(weights: Mapping[str, float] = QUALITY_WEIGHTS) -> Column:
@@ -27,26 +28,36 @@ def split(scored: DataFrame, threshold: float = 0.50) -> tuple[DataFrame, DataFr
     return scored.filter(score >= threshold), scored.filter(score < threshold)
 
 
-def describe(df: DataFrame, column: str) -> DataFrame:
-    """Count, mean, deviation, extremes and exact quartiles of values with three decimals, at three places.
+def describe(df: DataFrame, column: str, digits: int = 3, few: bool = True) -> DataFrame:
+    """Count, mean, deviation, extremes and exact quartiles at three places, of values with at most `digits` decimals.
 
-    Exact percentiles keep one counter per distinct value: at most 1,001 of them for scores, which lie between 0 and 1.
-    They are taken of thousandths, which interpolate without error.
+    With `few`, for columns such as scores with 1,001 different values at most, percentiles keep one counter per distinct
+    value. Without, quartiles are bracketed by sketches and then selected, see `quantiles`: memory does not grow with the
+    number of distinct values. Both are taken of whole numbers of the last decimal, which interpolate without error. A
+    value with more decimals is an error.
     """
-    value = F.col(column)
-    thousandths = F.round(value * 1000.0)
-
-    def quartile(share: float) -> Column:
-        return F.rint(F.percentile(thousandths, share)) / 1000.0
-
-    return df.agg(
+    value, unit = F.col(column), 10.0**digits
+
+    def placed(units: Column) -> Column:
+        return F.rint(units * 10 ** max(3 - digits, 0) / 10 ** max(digits - 3, 0)) / 1000.0
+
+    names = {"q1": 0.25, "median": 0.50, "q3": 0.75}
+    if few:
+        quartiles = {name: placed(F.percentile(F.round(value * unit), share)) for name, share in names.items()}
+    else:
+        found = quantiles(df, column, names).select(F.struct(*names).alias("found")).scalar()
+        quartiles = {}
+        for name in names:
+            at, lower, upper = found[name], F.round(found[name]["lower"] * unit), F.round(found[name]["upper"] * unit)
+            quartiles[name] = placed(lower + at["part"] * (upper - lower))
+    finer = F.raise_error(F.concat(F.lit(f"{column} has more than {digits} decimals: "), value.cast("string"))).cast("double")
+    checked = df.select(F.when(F.round(value, digits) == value, value).when(value.isNotNull(), finer).alias(column))
+    return checked.agg(
         F.count(value).alias("n"),
-        mean_half_even(value, 3, 3).alias("mean"),
+        mean_half_even(value, 3, digits).alias("mean"),
         (F.rint(F.stddev_samp(value) * 1000.0) / 1000.0).alias("std"),
         F.min(value).alias("min"),
-        quartile(0.25).alias("q1"),
-        quartile(0.50).alias("median"),
-        quartile(0.75).alias("q3"),
+        *(q.alias(name) for name, q in quartiles.items()),
         F.max(value).alias("max"),
     )
 

@@ -265,6 +265,18 @@ def oracle_sql() -> dict[str, str]:
                 round_even(quantile_cont(round(quality_score * 1000), 0.5), 0) / 1000 AS median,
                 round_even(quantile_cont(round(quality_score * 1000), 0.75), 0) / 1000 AS q3, max(quality_score) AS max FROM features"""
         ),
+        "price_describe": f"""SELECT count(l_extendedprice) AS n, {_half_even_mean("l_extendedprice", 3, 2)} AS mean,
+                round_even(stddev_samp(l_extendedprice) * 1000, 0) / 1000 AS std, min(l_extendedprice) AS min,
+                round_even(quantile_cont(round(l_extendedprice * 100), 0.25) * 10, 0) / 1000 AS q1,
+                round_even(quantile_cont(round(l_extendedprice * 100), 0.5) * 10, 0) / 1000 AS median,
+                round_even(quantile_cont(round(l_extendedprice * 100), 0.75) * 10, 0) / 1000 AS q3,
+                max(l_extendedprice) AS max FROM lineitem""",
+        "event_quantiles": """WITH ranked AS (
+                SELECT value, row_number() OVER (ORDER BY value) - 1 AS rank, count(*) OVER () - 1 AS last FROM events WHERE value IS NOT NULL),
+            wanted(quantile, share) AS (VALUES ('low', 0.01::DOUBLE), ('middle', 0.5::DOUBLE), ('high', 0.999::DOUBLE))
+            SELECT quantile, max(value) FILTER (rank = floor(share * last)) AS lower, max(value) FILTER (rank = ceil(share * last)) AS upper,
+                   round(max(share * last - floor(share * last)), 6) AS part
+            FROM ranked, wanted GROUP BY quantile""",
         "quality_histogram": f"WITH {MASTER}, {ORDERS}, {_histogram('scored', 'quality_score')}",
         "event_histogram": f"WITH {_histogram('events', 'value')}",
         "date_range": _model("SELECT min(visit_date) AS first_date, max(visit_date) AS last_date FROM dims"),

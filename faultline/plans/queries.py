@@ -11,6 +11,7 @@ from faultline.config import Config, LABEL_SEVERITY
 from faultline.functions import scalars, text as txt
 from faultline.functions.stopwords import ENGLISH_STOP_WORDS
 from faultline.operators import clusters, embed, features, kmeans, quality, silhouette, svd, sweep, tfidf, validate
+from faultline.operators.quantiles import quantiles
 from faultline.plans import reports, taxonomy
 from faultline.schemas import WORK_ORDERS
 from faultline.sources import tables, views
@@ -227,6 +228,19 @@ def quality_describe(spark, folder):
     return quality.describe(views.defect_features(spark, folder), "quality_score")
 
 
+@query
+def price_describe(spark, folder):
+    return quality.describe(views.table(spark, folder, "lineitem"), "l_extendedprice", digits=2, few=False)
+
+
+@query
+def event_quantiles(spark, folder):
+    """Of values with many decimals: the two values around each rank, and how far between them."""
+    found = quantiles(views.table(spark, folder, "events"), "value", {"low": 0.01, "middle": 0.5, "high": 0.999})
+    rows = found.select(F.expr("stack(3, 'low', low, 'middle', middle, 'high', high) AS (quantile, found)"))
+    return rows.select("quantile", "found.lower", "found.upper", F.round("found.part", 6).alias("part"))
+
+
 @query
 def quality_histogram(spark, folder):
     return quality.histogram(views.scored(spark, folder), "quality_score")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from faultline.config import CLUSTER_NAMES, Config
 from faultline.functions import scalars, text as txt
 from faultline.functions.stopwords import ENGLISH_STOP_WORDS
-from faultline.operators import clusters, features, quality, tfidf, validate
+from faultline.operators import clusters, features, quality, quantiles, tfidf, validate
 from faultline.plans import reports
 from faultline.sources import tables
 
@@ -228,3 +228,35 @@ def test_config_defaults():
     assert list(cfg.k_values) == list(range(4, 14))
     assert (cfg.quality_threshold, cfg.min_cluster_size, cfg.embedding_dims) == (0.50, 20, 64)
     assert sum(cfg.quality_weights.values()) == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 5001, 60_000])
+def test_quantiles_are_exact(spark, n):
+    rng = np.random.default_rng(n)
+    x = np.concatenate([rng.normal(size=n), np.repeat(rng.normal(), n // 3), np.exp(rng.normal(0, 9, n // 2))])
+    shares = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.9, "e": 0.999, "f": 1.0}
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double").repartition(5)
+    row = quantiles.quantiles(df, "x", shares).first()
+    ordered = np.sort(x)
+    for name, share in shares.items():
+        at = share * (len(x) - 1)
+        low, part = int(np.floor(at)), at - np.floor(at)
+        assert row[name].lower == ordered[low] and row[name].part == part
+        assert row[name].upper == ordered[low + (part > 0)]
+
+
+def test_quantiles_of_nothing_and_of_a_constant(spark):
+    none = quantiles.quantiles(spark.createDataFrame([(None,)], "x double"), "x", {"q": 0.5}).collect()
+    assert [r.q for r in none] == [None]
+    same = quantiles.quantiles(spark.range(1000).select(F.lit(2.5).alias("x")), "x", {"q": 0.5, "r": 0.75}).first()
+    assert (same.q.lower, same.q.upper, same.r.lower) == (2.5, 2.5, 2.5)
+
+
+def test_describe_of_five_decimals_and_of_too_many(spark):
+    x = np.round(np.random.default_rng(5).uniform(-40, 40, 3001), 5)
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    row, want = quality.describe(df, "x", digits=5, few=False).first(), np.quantile(np.rint(x * 1e5), [0.25, 0.5, 0.75])
+    assert [row.q1, row.median, row.q3] == (np.rint(want / 100) / 1000).tolist()
+    assert quality.describe(df, "x", digits=5).first() == row
+    with pytest.raises(Exception, match="more than 3 decimals"):
+        quality.describe(df, "x").collect()
