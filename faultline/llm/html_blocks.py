@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+import xxhash
+
+# A quote counts after an equals sign only; a quoted value may be of any length. Each tag is matched at its first try.
 _MARKUP = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]{0,10000}"|'[^']{0,10000}')*+)>"""
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
+    r"""|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+(?:"[^"]*+"|'[^']*+')|[^>])*+)(?:>|\Z)""",
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -33,7 +36,7 @@ CLOSES = {
 _P_FENCE = frozenset("article section div main nav aside header footer form table td th li body blockquote figure".split())
 
 
-@dataclass(slots=True)
+@dataclass(slots=True, eq=False)
 class Element:
     tag: str
     name: str  # tag with its classes and id: what the element is on the pages of a host
@@ -41,20 +44,21 @@ class Element:
     whole: tuple[frozenset[str], ...]  # the words of each class, of the id and of the role, numbers aside
     hidden: bool
     number: int
-    path: str
+    path: int  # a hash of the names from the outermost element to this one
+    parent: Element | None
 
 
 @dataclass(slots=True)
 class Block:
     text: str
-    around: tuple[Element, ...]
-    linked: int  # characters inside links
+    inside: Element | None
 
 
 @dataclass(slots=True)
 class Page:
     blocks: list[Block] = field(default_factory=list)
-    order: list[str | Block] = field(default_factory=list)  # paths of elements where they open, and blocks
+    order: list[int | Block] = field(default_factory=list)  # paths of elements where they open, and blocks
+    elements: list[Element] = field(default_factory=list)  # by number, so after their parents
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -72,56 +76,61 @@ def _named(raw: str) -> tuple[frozenset[str], tuple[frozenset[str], ...], bool]:
     return frozenset(w for words in each for w in words), whole, hidden
 
 
-def _element(tag: str, raw: str, number: int, parent: str) -> Element:
+def _element(tag: str, raw: str, number: int, parent: Element | None) -> Element:
     # Long attributes, such as images in the address, are not kept.
     words, whole, hidden = (_named if len(raw) <= 1000 else _named.__wrapped__)(raw)
     name = ".".join([tag, *sorted(w for w in words if not w.isdigit())])
-    return Element(tag, name, words, whole, hidden, number, f"{parent}/{name}")
+    path = xxhash.xxh3_64_intdigest(f"{parent.path if parent else 0:x}/{name}")
+    return Element(tag, name, words, whole, hidden, number, path, parent)
 
 
 def read(source: str) -> Page:
-    """Blocks of text in page order, white space made one blank, character references decoded; never fails."""
-    page, stack, number = Page(), [], 0
+    """Blocks of text in page order, white space made one blank, character references decoded; never fails.
+
+    Elements know their parents, so that nesting of any depth takes memory and time in proportion to the page.
+    """
+    page = Page()
+    stack: list[Element] = []
+    open_: Counter[str] = Counter()  # open elements by tag
     pieces: list[str] = []
-    linked, at, size, lower = 0, 0, len(source), None
+    at, size, lower = 0, len(source), None
 
     def flush() -> None:
-        nonlocal linked
         text = " ".join("".join(pieces).split())
         if text:
-            page.blocks.append(Block(text, tuple(stack), linked))
+            page.blocks.append(Block(text, stack[-1] if stack else None))
             page.order.append(page.blocks[-1])
         pieces.clear()
-        linked = 0
+
+    def leave(depth: int) -> None:
+        while len(stack) > depth:
+            open_[stack.pop().tag] -= 1
 
     def close(tags, fence) -> None:
-        for i in range(len(stack) - 1, -1, -1):
+        for i in range(len(stack) - 1, -1, -1) if any(open_[t] for t in tags) else ():
             if stack[i].tag in tags:
-                del stack[i:]
+                leave(i)
                 return
             if stack[i].tag in fence:
                 return
 
     def words(raw: str) -> None:
-        nonlocal linked
         if raw:
-            text = html.unescape(raw)
-            pieces.append(text)
-            if any(e.tag == "a" for e in stack):
-                linked += len(text.strip())
+            pieces.append(html.unescape(raw))
 
     for m in iter(lambda: _MARKUP.search(source, at), None):
         words(source[at : m.start()])
         at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        tag = (m[2] or "").lower()
         if not tag:
             continue
-        if m[1] or m[4]:
+        if m[1]:
             if tag not in INLINE:
                 flush()
-            if any(e.tag == tag for e in stack):
-                while stack.pop().tag != tag:
-                    pass
+            if open_[tag]:
+                while stack[-1].tag != tag:
+                    leave(len(stack) - 1)
+                leave(len(stack) - 1)
             continue
         if tag in INLINE:
             if tag == "br":
@@ -131,9 +140,9 @@ def read(source: str) -> Page:
             if tag in CLOSES:
                 close(*CLOSES[tag])
             close({"p"}, _P_FENCE)
-        attributes = m[3] or m[6] or ""
-        element = _element(tag, attributes, number, stack[-1].path if stack else "")
-        number += 1
+        attributes = m[3]
+        element = _element(tag, attributes, len(page.elements), stack[-1] if stack else None)
+        page.elements.append(element)
         if tag not in INLINE:
             page.order.append(element.path)
         if tag in RAW:
@@ -142,8 +151,7 @@ def read(source: str) -> Page:
             at = size if end < 0 else end
         if tag not in VOID and not attributes.rstrip().endswith("/") or tag in RAW:
             stack.append(element)
-            if len(stack) > 400:  # deeper nesting says nothing more about the page
-                del stack[200]
+            open_[tag] += 1
         if at >= size:
             break
     words(source[at:])

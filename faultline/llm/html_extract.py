@@ -61,6 +61,13 @@ def _says(e: Element, words: frozenset[str]) -> bool:
     return any(w & words and w <= words | _PLACE_WORDS for w in e.whole)
 
 
+def _is_home(e: Element) -> bool:
+    """An article or a main element."""
+    if e.tag == "article" and not _says(e, _COMMENT_WORDS) or e.tag == "main":
+        return True
+    return e.tag != "body" and not _MAIN_NAMES.isdisjoint(e.whole)
+
+
 def _is_frame(e: Element, inside: bool, given: Callable[[Element], bool]) -> bool:
     """Its tag or a whole name marks a frame; outside of articles, also a word of the name of a template's element."""
     if e.hidden or e.tag in _FRAME_TAGS:
@@ -72,69 +79,65 @@ def _is_frame(e: Element, inside: bool, given: Callable[[Element], bool]) -> boo
     return e.tag == "header" or _says(e, _FRAME_WORDS) or bool(e.words & _FRAME_WORDS) and given(e)
 
 
-def _home(block: Block) -> Element | None:
-    """The outermost article or main element around a block."""
-    for e in block.around:
-        if e.tag == "article" and not _says(e, _COMMENT_WORDS) or e.tag == "main":
-            return e
-        if e.tag != "body" and not _MAIN_NAMES.isdisjoint(e.whole):
-            return e
-    return None
-
-
-def _in_frame(block: Block, home: Element | None, given: Callable[[Element], bool]) -> bool:
-    inside = False
-    for e in block.around:
-        if e is home:
-            inside = True
-        elif home and not inside:
-            # Around an article a wrapper's name says little; its tag does.
-            if e.hidden or e.tag in _FRAME_TAGS or e.tag not in ("html", "body") and _says(e, _COMMENT_WORDS):
-                return True
-        elif _is_frame(e, inside, given):
-            return True
-    return False
+def _states(page: Page, given: Callable[[Element], bool]) -> tuple[list[Element | None], list[bool]]:
+    """By number of an element: the outermost article or main element around it, and whether it lies in a frame."""
+    home: list[Element | None] = []
+    frame: list[bool] = []
+    around: list[bool] = []  # the same, should an article follow inside: a wrapper's name says little there, its tag does
+    for e in page.elements:
+        up = e.parent.number if e.parent else -1
+        of, framed, wrapped = (home[up], frame[up], around[up]) if e.parent else (None, False, False)
+        if of:
+            framed = framed or _is_frame(e, True, given)
+        elif _is_home(e):
+            of, framed = e, wrapped
+        else:
+            framed = framed or _is_frame(e, False, given)
+            wrapped = wrapped or e.hidden or e.tag in _FRAME_TAGS or e.tag not in ("html", "body") and _says(e, _COMMENT_WORDS)
+        home.append(of)
+        frame.append(framed)
+        around.append(wrapped)
+    return home, frame
 
 
 def block_token(block: Block) -> int:
     """A block of text at its place, an even number; the same text elsewhere is another token."""
-    return xxhash.xxh3_64_intdigest(f"{block.around[-1].path if block.around else ''}\n{block.text}") >> 1 & ~1
+    return xxhash.xxh3_64_intdigest(f"{block.inside.path if block.inside else 0:x}\n{block.text}") >> 1 & ~1
 
 
-def path_token(path: str) -> int:
+def path_token(path: int) -> int:
     """An element, an odd number."""
-    return xxhash.xxh3_64_intdigest(path, seed=1) >> 1 | 1
+    return path >> 1 | 1
 
 
 def sequence(page: Page) -> list[int]:
     """Tokens of a page in the order of the page: elements where they open, and blocks."""
-    return [path_token(x) if isinstance(x, str) else block_token(x) for x in page.order]
+    return [path_token(x) if isinstance(x, int) else block_token(x) for x in page.order]
 
 
 def main_text(page: Page, template: frozenset[int]) -> str:
     """The blocks in the article's slots, joined by line feeds; text of the host's template is left out."""
-    known: dict[str, bool] = {}
 
     def given(e: Element) -> bool:
         """The element is the template's."""
-        if e.path not in known:
-            known[e.path] = path_token(e.path) in template
-        return known[e.path]
-
-    def slot(b: Block) -> int:
-        return next((e.number for e in reversed(b.around) if given(e)), -1) if template else -1
+        return path_token(e.path) in template
 
     blocks = [b for b in page.blocks if block_token(b) not in template] if template else page.blocks
-    open_ = [(b, h) for b in blocks if not _in_frame(b, h := _home(b), given)]
+    home, frame = _states(page, given)
+    open_ = [b for b in blocks if not b.inside or not frame[b.inside.number]]
     # All articles and main elements, with all that they hold.
-    if found := [b for b, h in open_ if h]:
+    if found := [b for b in open_ if b.inside and home[b.inside.number]]:
         return "\n".join(b.text for b in found)
     # No element says that it is the article: the slots with a name that says content, else all.
-    named = [any(e.words & _CONTENT_WORDS and e.tag != "body" for e in b.around) for b, _ in open_]
-    slots = [slot(b) for b, _ in open_]
-    some = any(named)
-    chosen = {s for s, n in zip(slots, named) if n and s >= 0}
-    return "\n".join(b.text for (b, _), n, s in zip(open_, named, slots) if n or s in chosen or not some)
+    slot, content = [-1], [False]  # by number and one: the nearest element of the template, and a name that says content
+    for e in page.elements:
+        up = e.parent.number + 1 if e.parent else 0
+        slot.append(e.number if given(e) else slot[up])
+        content.append(content[up] or bool(e.words & _CONTENT_WORDS) and e.tag != "body")
+    places_ = [b.inside.number + 1 if b.inside else 0 for b in open_]
+    some = any(content[p] for p in places_)
+    chosen = {slot[p] for p in places_ if content[p] and slot[p] >= 0}
+    return "\n".join(b.text for b, p in zip(open_, places_) if content[p] or slot[p] in chosen or not some)
 
 
 def _rows(pages: DataFrame, key: str, url: str, source: str) -> DataFrame:
