@@ -11,8 +11,13 @@ An occurrence vector is a fingerprint: the XOR over the distinct pages of a hash
 the tasks before the shuffle, so a host with a third of all pages is a row per token and task. Places of tokens are
 combined alike. Pages of such hosts are dealt by host and salt, and meet a copy of their classes and template there.
 
+Near copies of a page (print views, tracked links, counters) share all but little of their text. A class that fewer than
+half of a host's pages have is no template if its pages hold at least three times as much text of such classes as text
+that is theirs alone: those are copies, and their common text is the article.
+
 Slots of menus, headers, footers, sidebars, notices, adverts, forms and comments are told by the tag or a whole name of
-an element; one word of a name counts only outside of articles and for an element of the template. Among the other
+an element; one word of a name counts only outside of articles and for an element of the template, and what holds the
+article or most of the text is no frame for being a form or a widget. Among the other
 slots, the article's are those with an article or a main element, all of them; else a name that says content; else all
 that is left. Nothing else is dropped, linked blocks included.
 """
@@ -51,14 +56,18 @@ _PLACE_WORDS = frozenset("site page main top bottom left right primary secondary
 #: Inside an article these are names of its own parts as well.
 _OWN_WORDS = frozenset("header alert form notice notices search social notification login".split())
 #: Around an article, only these make it something else than the article.
-_COMMENT_WORDS = frozenset("comment comments respond disqus replies related recommended sidebar ad ads advert widget".split())
+_COMMENT_WORDS = frozenset("comment comments respond disqus replies related recommended sidebar ad ads advert".split())
+#: Names of an element that holds the article or more than half of a page's text say nothing.
+_HOLDER_WORDS = frozenset("form widget widgets".split())
+#: Whole names inside an article that may be its own; the host's template tells, and a title inside.
+_TWO_SENSES = frozenset(map(frozenset, (("cookies",), ("banner",), ("menu",))))
 _CONTENT_WORDS = frozenset("article post entry story content main text body".split())
 _MAIN_NAMES = frozenset(map(frozenset, (("main",), ("main", "content"), ("main", "text"), ("main", "article"))))
 
 
-def _says(e: Element, words: frozenset[str]) -> bool:
-    """A whole name of the element, not one word of it, says one of the words."""
-    return any(w & words and w <= words | _PLACE_WORDS for w in e.whole)
+def _says(e: Element, words: frozenset[str], but: frozenset[frozenset[str]] = frozenset()) -> bool:
+    """A whole name of the element, not one word of it, says one of the words; words of frames may stand beside it."""
+    return any(w & words and w <= words | _OWN_WORDS | _PLACE_WORDS for w in e.whole if w not in but)
 
 
 def _is_home(e: Element) -> bool:
@@ -68,32 +77,56 @@ def _is_home(e: Element) -> bool:
     return e.tag != "body" and not _MAIN_NAMES.isdisjoint(e.whole)
 
 
-def _is_frame(e: Element, inside: bool, given: Callable[[Element], bool]) -> bool:
-    """Its tag or a whole name marks a frame; outside of articles, also a word of the name of a template's element."""
-    if e.hidden or e.tag in _FRAME_TAGS:
+def _is_frame(e: Element, inside: bool, wide: bool, titled: bool, given: Callable[[Element], bool]) -> bool:
+    """Its tag or a whole name marks a frame; outside of articles, also a word of the name of a template's element.
+
+    `wide`: it holds an article or more than half of the page's text; `titled`: it holds a first heading.
+    """
+    if e.hidden or e.tag in _FRAME_TAGS and not (wide and e.tag == "form"):
         return True
     if e.tag in ("html", "body", "article", "main"):
         return e.tag == "article" and _says(e, _COMMENT_WORDS)
     if inside:
-        return _says(e, _FRAME_WORDS - _OWN_WORDS)
-    return e.tag == "header" or _says(e, _FRAME_WORDS) or bool(e.words & _FRAME_WORDS) and given(e)
+        own = frozenset() if given(e) and not titled else _TWO_SENSES
+        return _says(e, _FRAME_WORDS - _OWN_WORDS, own)
+    words = _FRAME_WORDS - _HOLDER_WORDS if wide else _FRAME_WORDS
+    return e.tag == "header" or _says(e, words) or bool(e.words & words) and given(e)
+
+
+def _holders(page: Page) -> tuple[list[bool], list[bool]]:
+    """By number of an element: whether it holds an article or more than half of the text, and a first heading."""
+    size = [0] * len(page.elements)
+    titled = [e.tag == "h1" for e in page.elements]
+    holds = [False] * len(page.elements)
+    for b in page.blocks:
+        if b.inside:
+            size[b.inside.number] += len(b.text)
+    for e in reversed(page.elements):
+        if e.parent:
+            up = e.parent.number
+            size[up] += size[e.number]
+            titled[up] = titled[up] or titled[e.number]
+            holds[up] = holds[up] or holds[e.number] or _is_home(e)
+    half = sum(len(b.text) for b in page.blocks) / 2
+    return [h or n > half for h, n in zip(holds, size)], titled
 
 
 def _states(page: Page, given: Callable[[Element], bool]) -> tuple[list[Element | None], list[bool]]:
     """By number of an element: the outermost article or main element around it, and whether it lies in a frame."""
     home: list[Element | None] = []
     frame: list[bool] = []
+    wide, titled = _holders(page)
     around: list[bool] = []  # the same, should an article follow inside: a wrapper's name says little there, its tag does
     for e in page.elements:
         up = e.parent.number if e.parent else -1
         of, framed, wrapped = (home[up], frame[up], around[up]) if e.parent else (None, False, False)
         if of:
-            framed = framed or _is_frame(e, True, given)
+            framed = framed or _is_frame(e, True, False, titled[e.number], given)
         elif _is_home(e):
             of, framed = e, wrapped
         else:
-            framed = framed or _is_frame(e, False, given)
-            wrapped = wrapped or e.hidden or e.tag in _FRAME_TAGS or e.tag not in ("html", "body") and _says(e, _COMMENT_WORDS)
+            framed = framed or _is_frame(e, False, wide[e.number], titled[e.number], given)
+            wrapped = wrapped or e.hidden or e.tag in _FRAME_TAGS and e.tag != "form" or e.tag not in ("html", "body") and _says(e, _COMMENT_WORDS)
         home.append(of)
         frame.append(framed)
         around.append(wrapped)
@@ -153,21 +186,24 @@ def _rows(pages: DataFrame, key: str, url: str, source: str) -> DataFrame:
 
 
 def _parsed(rows: DataFrame) -> DataFrame:
-    """(host, page, sequence): the tokens of each distinct page of a host in page order; copies are one page."""
-    schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("sequence", pa.list_(pa.int64()))])
+    """(host, page, sequence, sizes): the tokens of each distinct page of a host in page order and the characters of its
+    blocks, 0 for elements; copies are one page."""
+    schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("sequence", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()))])
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            numbers, found = [], []
+            numbers, found, sizes = [], [], []
             for source in batch.column(1):
                 text = source.as_py()
                 numbers.append(xxhash.xxh3_64_intdigest(text) >> 1)
-                found.append(sequence(read(text)))
+                page = read(text)
+                found.append(sequence(page))
+                sizes.append([0 if isinstance(x, int) else len(x.text) for x in page.order])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.string()), pa.array(numbers, pa.int64()), pa.array(found, schema.field(2).type)], schema=schema
+                [batch.column(0).cast(pa.string()), *(pa.array(c, f.type) for c, f in zip((numbers, found, sizes), list(schema)[1:]))], schema=schema
             )
 
-    return rows.select("host", "text").mapInArrow(parsed, "host string, page long, sequence array<long>").dropDuplicates(["host", "page"])
+    return rows.select("host", "text").mapInArrow(parsed, "host string, page long, sequence array<long>, sizes array<int>").dropDuplicates(["host", "page"])
 
 
 def _classes(seen: DataFrame) -> DataFrame:
@@ -236,14 +272,28 @@ def places(found: list[int], classes: dict[int, int], pages: dict[int, int]) ->
             before[c] += 1
 
 
+def _shares(found: list[int], sizes: list[int], classes: dict[int, int], minor: set[int]) -> tuple[int, int, set[int]]:
+    """Characters of a page that no class has, those that the `minor` classes have, and the minor classes on the page."""
+    own, copied, on = 0, 0, set()
+    for t, n in zip(found, sizes):
+        c = classes.get(t)
+        if c is None:
+            own += n
+        elif c in minor:
+            copied += n
+            on.add(c)
+    return own, copied, on
+
+
 def _dealt(rows: DataFrame, found: DataFrame, *by: str) -> DataFrame:
     """`rows` beside what was found for their host; rows of a large host are dealt out and meet copies of it."""
     copies = F.ceil(F.col("rows") / DEALT).cast("long")
     dealt = found.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).drop("rows")
-    # The number of pages of a host is on the template's side, so each page first learns its host's number of salts. Of
-    # hosts with more than DEALT pages there is one for DEALT pages at most: they are sent to all tasks.
+    # The number of pages of a host is on the template's side, so each page first learns its host's number of salts. The
+    # table of large hosts is small, one row for DEALT pages at most; Spark broadcasts it if its size allows, and splits
+    # the pages of a large host if not.
     many = found.filter(copies > 1).select("host", copies.alias("copies"))
-    salted = rows.join(F.broadcast(many), "host", "left").withColumn("salt", F.pmod(F.xxhash64(*by), F.coalesce("copies", F.lit(1))))
+    salted = rows.join(many, "host", "left").withColumn("salt", F.pmod(F.xxhash64(*by), F.coalesce("copies", F.lit(1))))
     return salted.drop("copies").join(dealt, ["host", "salt"])
 
 
@@ -251,38 +301,59 @@ def templates(rows: DataFrame) -> DataFrame:
     """(host, rows, template): the tokens of the host's valid equivalence classes.
 
     A class is valid if LEAST distinct pages have its tokens equally often, if it holds an element, and if its tokens
-    keep their order and nest: those whose place is not the same on all pages, see `places`, go.
+    keep their order and nest: those whose place is not the same on all pages, see `places`, go, and classes of near
+    copies.
     """
     total = rows.groupBy("host").agg(F.count(F.lit(1)).alias("rows"))
     seen = materialise(_parsed(rows), "sequences")
     classes = materialise(_classes(seen), "classes")
     sides = classes.groupBy("host").agg(F.collect_list(F.struct("token", "class", "pages")).alias("all"))
-    by_host = sides.select("host", *(F.col(f"all.{c}").alias(c) for c in ("token", "class", "pages")))
-    schema = pa.schema([(c, pa.string() if c == "host" else pa.int64()) for c in ("host", "token", "of", "low", "high")])
+    distinct = seen.groupBy("host").agg(F.count(F.lit(1)).alias("distinct"))
+    by_host = sides.join(distinct, "host").select("host", "distinct", *(F.col(f"all.{c}").alias(c) for c in ("token", "class", "pages")))
+    schema = pa.schema([(c, pa.string() if c == "host" else pa.int64()) for c in ("host", "token", "of", "low", "high", "copied")])
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, tuple[dict, dict]] = {}
+        minor: dict[str, set[int]] = {}
         for batch in batches:
             ends: dict[tuple, list[int]] = {}
+            shares: dict[tuple, list[int]] = {}
             for i, host in enumerate(batch.column(0).to_pylist()):
                 if host not in kept:
                     if len(kept) >= HOSTS:
                         kept.clear()
                     t, c, n = (batch.column(k)[i].as_py() for k in (2, 3, 4))
                     kept[host] = dict(zip(t, c)), dict(zip(c, n))
-                for token, of, at in places(batch.column(1)[i].as_py(), *kept[host]):
+                    pages = batch.column(5)[i].as_py()
+                    minor[host] = {c for c, n in kept[host][1].items() if 2 * n < pages}
+                found = batch.column(1)[i].as_py()
+                own, copied, on = _shares(found, batch.column(6)[i].as_py(), kept[host][0], minor[host])
+                for of in on:
+                    share = shares.setdefault((host, None, of), [0, 0])
+                    share[0] += own
+                    share[1] += copied
+                for token, of, at in places(found, *kept[host]):
                     end = ends.setdefault((host, token, of), [at, at])
                     if at < end[0]:
                         end[0] = at
                     elif at > end[1]:
                         end[1] = at
-            out = [[*key, *end] for key, end in ends.items()]
+            out = [[*key, *end, None] for key, end in ends.items()]
+            out += [[*key, own, None, copied] for key, (own, copied) in shares.items()]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)] if out else [pa.array([], f.type) for f in schema], schema=schema)
 
-    beside = _dealt(seen, materialise(total.join(by_host, "host"), "sides"), "page").select("host", "sequence", "token", "class", "pages")
-    ends = beside.mapInArrow(placed, "host string, token long, of long, low long, high long")
-    moved = ends.groupBy("host", "token", "of").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high")
-    valid = _with_element(classes.join(moved.select("host", "token").distinct(), ["host", "token"], "left_anti"), 2)
+    beside = _dealt(seen, materialise(total.join(by_host, "host"), "sides"), "page").select("host", "sequence", "token", "class", "pages", "distinct", "sizes")
+    ends = beside.mapInArrow(placed, "host string, token long, of long, low long, high long, copied long")
+    # Rows without a token hold the text of a class's pages: their own, and that of classes of fewer than half of the pages.
+    judged = materialise(
+        ends.groupBy("host", "token", "of").agg(
+            F.min("low").alias("low"), F.max("high").alias("high"), F.sum("low").alias("own"), F.sum("copied").alias("copied")
+        ).filter("low < high OR token IS NULL AND 3 * own <= copied AND copied > 0"),
+        "judged",
+    )
+    moved = judged.filter("token IS NOT NULL").select("host", "token").distinct()
+    copies = judged.filter("token IS NULL").select("host", F.col("of").alias("class"))
+    valid = _with_element(classes.join(moved, ["host", "token"], "left_anti").join(copies, ["host", "class"], "left_anti"), 2)
     template = valid.groupBy("host").agg(F.collect_list("token").alias("template"))
     return total.join(template, "host", "left").select(
         "host", "rows", F.coalesce("template", F.array().cast("array<long>")).alias("template")
