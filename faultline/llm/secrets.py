@@ -4,7 +4,8 @@ Plain patterns find assignments, access ids and hex runs. Beyond them, base64 an
 span is reported only if the bytes are what a secret consists of: a DER private key whose nested lengths fit exactly,
 an OpenSSH key whose length-prefixed fields do, or a signed token whose header names a signing algorithm.
 
-All expressions are linear in the length of the text.
+All expressions are linear in the length of the text. So is the search for keys in lines: a head's nested lengths are
+followed on the encoded lines, a few bytes at a time, and lines are joined and decoded only if they all fit.
 """
 
 from __future__ import annotations
@@ -64,18 +65,43 @@ def base_spans(text: str) -> Iterator[Span]:
 # --- structures -----------------------------------------------------------------------------------------------------
 
 
-def _items(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] | None:
-    """Tag, start and end of each DER element between `start` and `end`; None unless they fill it exactly."""
+class _Wrapped:
+    """The bytes of encoded lines of one width, decoded where they are looked at."""
+
+    def __init__(self, lines: list[tuple[int, str]], first: int, size: int, hexed: bool):
+        self.lines, self.first, self.size, self.hexed = lines, first, size, hexed
+        self.width = len(lines[first][1])
+
+    def __len__(self) -> int:
+        return self.size
+
+    def _chars(self, start: int, end: int) -> str:
+        low, high = start // self.width, (end - 1) // self.width
+        text = "".join(x for _, x in self.lines[self.first + low : self.first + high + 1])
+        return text[start - low * self.width : end - low * self.width]
+
+    def __getitem__(self, at: int | slice) -> int | bytes:
+        start, end, _ = at.indices(self.size) if isinstance(at, slice) else (at, at + 1, 1)
+        if self.hexed:
+            got = bytes.fromhex(self._chars(2 * start, 2 * end))
+        else:
+            got = (_decoded(self._chars(start // 3 * 4, -(-end // 3) * 4)) or b"")[start % 3 :][: end - start]
+        return got if isinstance(at, slice) else got[0]
+
+
+def _items(data: bytes | _Wrapped, start: int, end: int, most: int) -> list[tuple[int, int, int]] | None:
+    """Tag, start and end of the DER elements between `start` and `end`; None unless at most so many fill it exactly."""
     found = []
     while start < end:
-        if end - start < 2:
+        if end - start < 2 or len(found) == most:
             return None
-        tag, size, at = data[start], data[start + 1], start + 2
+        head = data[start : start + 6]
+        tag, size, at = head[0], head[1], start + 2
         if size >= 0x80:
             count = size & 0x7F
             if not 1 <= count <= 4 or at + count > end:
                 return None
-            size, at = int.from_bytes(data[at : at + count]), at + count
+            size, at = int.from_bytes(head[2 : 2 + count]), at + count
             if size < 0x80:
                 return None  # DER takes the short form there
         if at + size > end:
@@ -85,26 +111,30 @@ def _items(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] | No
     return found
 
 
-def is_der_key(data: bytes) -> bool:
-    """A private key: PKCS#1, DSA, SEC1, PKCS#8, or encrypted PKCS#8. Public keys and certificates are not secret."""
-    outer = _items(data, 0, len(data))
-    if not outer or len(outer) != 1 or outer[0][0] != 0x30:
+def is_der_key(data: bytes | _Wrapped) -> bool:
+    """A private key: PKCS#1, DSA, SEC1, PKCS#8, or encrypted PKCS#8. Public keys and certificates are not secret.
+
+    Reads heads of elements only, a bounded number of them whatever the length.
+    """
+    outer = _items(data, 0, len(data), 1)
+    if not outer or outer[0][0] != 0x30:
         return False
-    parts = _items(data, *outer[0][1:])
+    parts = _items(data, *outer[0][1:], 9)
     if not parts:
         return False
-    tags = [p[0] for p in parts]
-    body = [data[a:b] for _, a, b in parts]
+    tags, sizes = [p[0] for p in parts], [b - a for _, a, b in parts]
+    version = data[parts[0][1]] if sizes[0] == 1 else None
     if tags in ([0x02] * 9, [0x02] * 6):
-        return body[0] == b"\0" and all(len(x) >= 1 for x in body) and len(body[1]) >= 32
+        return version == 0 and min(sizes) >= 1 and sizes[1] >= 32
     if tags[:2] == [0x02, 0x04] and set(tags[2:]) <= {0xA0, 0xA1}:
-        return body[0] == b"\1" and len(body[1]) >= 16
+        return version == 1 and sizes[1] >= 16
     if tags[:3] == [0x02, 0x30, 0x04] and set(tags[3:]) <= {0xA0, 0xA1, 0x80, 0x81}:
-        algorithm, inner = _items(data, *parts[1][1:]), _items(data, *parts[2][1:])
-        return body[0] in (b"\0", b"\1") and bool(algorithm) and algorithm[0][0] == 0x06 and bool(inner) and len(inner) == 1
+        # An algorithm is an identifier and its parameters.
+        algorithm, inner = _items(data, *parts[1][1:], 2), _items(data, *parts[2][1:], 1)
+        return version in (0, 1) and bool(algorithm) and algorithm[0][0] == 0x06 and bool(inner)
     if tags == [0x30, 0x04]:
-        scheme = _items(data, *parts[0][1:])
-        return bool(scheme) and [t for t, _, _ in scheme] == [0x06, 0x30] and len(body[1]) >= 16 and len(body[1]) % 8 == 0
+        scheme = _items(data, *parts[0][1:], 2)
+        return bool(scheme) and [t for t, _, _ in scheme] == [0x06, 0x30] and sizes[1] >= 16 and sizes[1] % 8 == 0
     return False
 
 
@@ -194,6 +224,11 @@ def _wrapped(text: str) -> Iterator[Span]:
         other = [len(lines)] * len(lines)
         for i in range(len(lines) - 2, -1, -1):
             other[i] = other[i + 1] if len(lines[i][1]) == len(lines[i + 1][1]) else i + 1
+        # The first line from i on that is padded, and the first one that is not hex.
+        padded, plain = [len(lines)] * (len(lines) + 1), [len(lines)] * (len(lines) + 1)
+        for i in range(len(lines) - 1, -1, -1):
+            padded[i] = i if "=" in lines[i][1] else padded[i + 1]
+            plain[i] = plain[i + 1] if _HEX_ONLY.fullmatch(lines[i][1]) else i
         i = 0
         while i < len(lines) - 1:
             start, first = lines[i]
@@ -208,7 +243,8 @@ def _wrapped(text: str) -> Iterator[Span]:
                 size = _der_size(bytes.fromhex(first[:32]) if hexed else _decoded(first[:32]))
                 chars = 2 * size if hexed else -(-size * 4 // 3)
                 last = i + -(-chars // width) - 1
-                if i < last < len(lines) and other[i] >= last and len(lines[last][1].rstrip("=")) == chars - (last - i) * width:
+                fits = i < last < len(lines) and other[i] >= last and len(lines[last][1].rstrip("=")) == chars - (last - i) * width
+                if fits and (plain[i] > last if hexed else padded[i] >= last) and is_der_key(_Wrapped(lines, i, size, hexed)):
                     ends = [last + 1]
             for end in ends:
                 if end <= i + 1:

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import json
 import re
+import time
 import zlib
 
 import numpy as np
@@ -269,3 +270,39 @@ def test_windows_are_best_fit_and_bounded():
     assert windows.put(9, ("d",)) == []
     assert windows.put(8, ("e",)) == [(2, [("d", 0)])]  # none has room: the fullest goes
     assert [n for n, _ in windows.rest()] == [0, 3]
+
+
+def der(tag, *parts):
+    body = b"".join(parts)
+    size = len(body).to_bytes(4).lstrip(b"\0") or b"\0"
+    return bytes([tag]) + (size if len(body) < 0x80 else bytes([0x80 | len(size)]) + size) + body
+
+
+@pytest.mark.parametrize("hexed", [False, True])
+@pytest.mark.parametrize("claim", ["sequence", "algorithm"])
+def test_heads_that_claim_all_lines_take_linear_time(hexed, claim):
+    """Each line begins like a key that ends where the text does, and its elements do not fit."""
+    n, width = 32_768, 64
+    size = width // 2 if hexed else width // 4 * 3
+    lines = []
+    for i in range(n):
+        left = (n - i) * size
+        head = b"\x30\x83" + (left - 5).to_bytes(3) + (b"\x02\x01\x00\x30\x83" + max(left - 300, 128).to_bytes(3) + b"\x06\x01\x01" if claim == "algorithm" else b"\x02\x01\x00")
+        raw = head + b"\x05\x00" * size
+        lines.append(raw[:size].hex() if hexed else base64.b64encode(raw[:size]).decode())
+    start = time.process_time()
+    assert list(secrets._wrapped("\n".join(lines))) == []
+    assert time.process_time() - start < 20
+
+
+@pytest.mark.parametrize("hexed", [False, True])
+@pytest.mark.parametrize("extra", range(6))
+def test_wrapped_keys_are_found_at_any_length(hexed, extra):
+    number = der(0x02, b"\x01" * 40)
+    key = der(0x30, der(0x02, b"\0"), der(0x02, b"\x05" * (64 + extra)), *[number] * 7)
+    pkcs8 = der(0x30, der(0x02, b"\0"), der(0x30, der(0x06, b"*\x86H"), b"\x05\0"), der(0x04, key))
+    for data in (key, pkcs8):
+        encoded = data.hex() if hexed else base64.b64encode(data).decode()
+        text = "Here:\n" + "\n".join(encoded[i : i + 64] for i in range(0, len(encoded), 64)) + "\nend"
+        assert [(a, b) for kind, a, b in secrets.confirmed_spans(text) if kind == "key"][:1] == [(6, len(text) - 4)]
+        assert secrets.is_der_key(data) and not secrets.is_der_key(data + b"\0") and not secrets.is_der_key(data[:-1])
