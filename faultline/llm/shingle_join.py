@@ -2,10 +2,11 @@
 
 Two sketches are made of a set. Segments are XORs of 64-bit codes of the shingles that fall into them, and are joined
 for equality by the pigeonhole principle; a bit sketch of parities gives the Hamming bound before sets are verified.
+Whole sets are shuffled only where that bound leaves room.
 
-1. Every set of shingles becomes a parity sketch, cut into more segments than similar sets can differ in. Similar sets
-   share a segment, within a band of sizes. Equal sets have equal segments and are one node from here on.
-2. Segments that only one set has fall out by counting; the counts are combined before the shuffle.
+1. Every set of shingles is cut into more segments than similar sets can differ in. Similar sets share a segment, within
+   a band of sizes. Equal sets have equal segments and are one node from here on.
+2. Segments that only one set has fall out in the task that gets all rows of a segment; they cross the network once.
 3. Sets that share a segment are compared: by the Hamming distance of their sketches, which never exceeds the number of
    elements they differ in, then exactly. In a crowded segment the pairs are not written out: each set is compared with
    the segment's hub. Where that leaves sets apart, those of all segments of a hub are cut into blocks of bounded size,
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from faultline.llm.common import by_row, key_type, materialise, pick, release_shuffles, scratch, table, unused
 from faultline.llm.components import components
@@ -60,23 +61,24 @@ def signatures(docs: DataFrame, key: str, text: str, width: int, percent: int) -
 
 
 def shared_segments(signed: DataFrame) -> DataFrame:
-    """(segment, node, members): the segments that more than one set has, once per set, with their number of sets."""
+    """(segment, node, members): the segments that more than one set has, once per set, with their number of sets.
+
+    Segments cross the network once, at every size: the task that has all rows of a segment also drops it if one set
+    alone has it, and counts the others. A set has hundreds of segments, so that the rows of one segment are never more
+    than a small part of all rows; they are narrow, and Spark's window spills them.
+    """
     rows = signed.select("node", F.explode("segments").alias("segment"))
-    common = materialise(
-        rows.groupBy("segment").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("segment"),
-        "shared",
-    )
+    of = Window.partitionBy("segment")
+    common = rows.withColumns({"low": F.min("node").over(of), "high": F.max("node").over(of)}).filter("low < high")
+    members = common.select("segment", "node").distinct()
+    counted = materialise(members.withColumn("members", F.count(F.lit(1)).over(of)), "counted")
     release_shuffles(signed.sparkSession)
-    members = materialise(rows.join(common, "segment", "left_semi").distinct(), "members")
-    count = members.groupBy("segment").agg(F.count(F.lit(1)).alias("members"))
-    counted = materialise(members.join(count, "segment"), "counted")
-    for done in (common, members):
-        shared.drop_tables(done)
     return counted
 
 
 def node_elements(docs: DataFrame, signed: DataFrame, nodes: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(node, size, elements) of the given nodes, from one document each."""
+    """(node, size, elements) of the given nodes, from one document each. Not written: the join that wants the sets
+    shuffles them once."""
     chosen = signed.select("key", "node").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
     (same,) = unused(docs, "same")
     keys = materialise(chosen.select(F.col("key").alias(same)).distinct(), "keys")  # written first: Spark knows its size
@@ -90,7 +92,7 @@ def node_elements(docs: DataFrame, signed: DataFrame, nodes: DataFrame, key: str
     kind = rows.schema["key"].dataType.simpleString()
     found = rows.mapInArrow(by_row(elements, schema), f"key {kind}, node long, size long, elements array<long>")
     # Keys may repeat: sets of other rows with the same key go, and one row per node stays.
-    return materialise(found.drop("key").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "elements")
+    return found.drop("key").join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
 def _both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
@@ -283,18 +285,23 @@ def linked_nodes(docs: DataFrame, signed: DataFrame, key: str, text: str, width:
     groups = hub_groups(members.filter(F.col("members") > SMALL))
     tested = materialise(small_pairs(members).unionByName(hub_pairs(groups)).distinct(), "pairs")
     near = materialise(near_pairs(tested, sketches, percent), "near")
-    # Whole sets are needed of those that a sketch did not exclude, and of those that blocks may compare.
-    ends = near.select(F.explode(F.array("a", "b")).alias("node")).unionByName(groups.select("node"))
-    wanted = materialise(ends.distinct(), "wanted")
     release_shuffles(spark)
-    elements = node_elements(docs, signed, wanted, key, text, width)
-    roots = materialise(components(verify(near, elements, percent)), "roots")
+
+    def similar_pairs(pairs: DataFrame) -> DataFrame:
+        # Whole sets are read of the ends of these pairs alone, which a sketch did not exclude.
+        ends = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+        found = verify(pairs, node_elements(docs, signed, ends, key, text, width), percent)
+        written = materialise(found, "similar")
+        release_shuffles(spark)
+        return written
+
+    roots = materialise(components(similar_pairs(near)), "roots")
 
     forests = 1
     while not groups.isEmpty():
         found = materialise(block_pairs(open_blocks(groups, roots, sketches), percent, forests), "blocks")
-        fresh = found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-        new = materialise(verify(fresh, elements, percent), "similar")
+        fresh = materialise(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "fresh")
+        new = similar_pairs(fresh)
         tested = materialise(tested.unionByName(found.select("a", "b")).distinct(), "pairs")
         if not new.isEmpty():
             linked = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
