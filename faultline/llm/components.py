@@ -1,7 +1,8 @@
 """Connected components of a link table by alternating large and small stars.
 
-Every round is two aggregations and joins over the links; no vertex's neighbours are ever gathered in one place. Rounds
-are written to the shared folder, so lost executors cost one round at most.
+Every round is two aggregations, combined in the tasks, and joins over the links. The smallest neighbours are written
+before they are joined, so that adaptive execution can split the links of a vertex that has many: a join with an aggregate
+of the same stage is never split. Rounds are written to the shared folder, so lost executors cost one round at most.
 """
 
 from __future__ import annotations
@@ -14,13 +15,14 @@ from faultline.llm.common import materialise
 def _large(links: DataFrame) -> DataFrame:
     """Every vertex hands its larger neighbours to the smallest vertex around it."""
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
     return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
 
 
 def _small(links: DataFrame) -> DataFrame:
     """Every vertex hands itself and its smaller neighbours to the smallest of them. Links run from larger to smaller."""
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
+    links = materialise(links, "links")
+    least = materialise(links.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = links.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b")
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 

@@ -7,6 +7,7 @@ Whole sets are shuffled only where that bound leaves room.
 1. Every set of shingles is cut into more segments than similar sets can differ in. Similar sets share a segment, within
    a band of sizes. Equal sets have equal segments and are one node from here on.
 2. Segments that only one set has fall out in the task that gets all rows of a segment; they cross the network once.
+   Frequent segments, found by a sketch of bounded size, are dealt by segment and set instead and counted by partial sums.
 3. Sets that share a segment are compared: by the Hamming distance of their sketches, which never exceeds the number of
    elements they differ in, then exactly. In a crowded segment the pairs are not written out: each set is compared with
    the segment's hub. Where that leaves sets apart, those of all segments of a hub are cut into blocks of bounded size,
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from faultline.llm.common import by_row, key_type, materialise, pick, release_shuffles, scratch, table, unused
 from faultline.llm.components import components
+from faultline.llm.exact_dedup import frequent_heads
 from faultline.llm.shingles import Bands, hamming, segment_keys, set_id, shingle_set, similar, sketch
 from faultline.sources import shared
 
@@ -42,43 +44,61 @@ def _signed(values: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """(key, node, size, segments, sketch) of every row; a row without words has size 0."""
+    """(key, node, size, segments, sketch) of every row; a row without words has size 0.
+
+    Copies are combined before the shuffle: a set that a task has met before has no segments in its later rows.
+    """
     rows = pick(docs, key, text)
     kind = docs.schema[key].dataType.simpleString()
     bands = Bands(percent)
 
-    def signature(value: str) -> tuple:
-        found = shingle_set(value, width)
-        if not len(found):
-            return set_id(found), 0, [], []
-        return set_id(found), len(found), _signed(segment_keys(found, bands)), _signed(sketch(found, bands))
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()  # at most one number per row of the task
+
+        def signature(value: str) -> tuple:
+            found = shingle_set(value, width)
+            node = set_id(found)
+            if not len(found):
+                return node, 0, [], []
+            segments = [] if node in met else _signed(segment_keys(found, bands))
+            met.add(node)
+            return node, len(found), segments, _signed(sketch(found, bands))
+
+        yield from by_row(signature, schema)(batches)
 
     schema = pa.schema(
         [("key", key_type(rows)), ("node", pa.int64()), ("size", pa.int64()), ("segments", _LONGS), ("sketch", _LONGS)]
     )
     columns = f"key {kind}, node long, size long, segments array<long>, sketch array<long>"
-    return rows.mapInArrow(by_row(signature, schema), columns)
+    return rows.mapInArrow(signed, columns)
 
 
 def shared_segments(signed: DataFrame) -> DataFrame:
     """(segment, node, members): the segments that more than one set has, once per set, with their number of sets.
 
     Segments cross the network once, at every size: the task that has all rows of a segment also drops it if one set
-    alone has it, and counts the others. A set has hundreds of segments, so that the rows of one segment are never more
-    than a small part of all rows; they are narrow, and Spark's window spills them.
+    alone has it, and counts the others. Segments of more than 1/4,096 of all rows do not meet in a task: they are known
+    from a sketch, at most 4,096 of them whatever the size of the corpus, and their rows are dealt by segment and set.
     """
     rows = signed.select("node", F.explode("segments").alias("segment"))
+    heads = frequent_heads(rows.select(F.col("segment").alias("head")))
+    frequent = materialise(heads.select(F.col("head").alias("segment")), "frequent")
+    hot = materialise(rows.join(F.broadcast(frequent), "segment", "left_semi").select("segment", "node").distinct(), "hot")
+    sums = hot.groupBy("segment").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    release_shuffles(signed.sparkSession)
+
     of = Window.partitionBy("segment")
-    common = rows.withColumns({"low": F.min("node").over(of), "high": F.max("node").over(of)}).filter("low < high")
-    members = common.select("segment", "node").distinct()
-    counted = materialise(members.withColumn("members", F.count(F.lit(1)).over(of)), "counted")
+    rest = rows.join(F.broadcast(frequent), "segment", "left_anti")
+    common = rest.withColumns({"low": F.min("node").over(of), "high": F.max("node").over(of)}).filter("low < high")
+    members = common.select("segment", "node").distinct().withColumn("members", F.count(F.lit(1)).over(of))
+    counted = materialise(members.unionByName(hot.join(F.broadcast(sums), "segment")), "counted")
     release_shuffles(signed.sparkSession)
     return counted
 
 
 def node_elements(docs: DataFrame, signed: DataFrame, nodes: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(node, size, elements) of the given nodes, from one document each. Not written: the join that wants the sets
-    shuffles them once."""
+    """(node, size, elements) of the given nodes, from one document each. Written first: a hub's set meets many partners,
+    and Spark splits the rows of a hot key only where both sides of a join come straight from a shuffle."""
     chosen = signed.select("key", "node").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
     (same,) = unused(docs, "same")
     keys = materialise(chosen.select(F.col("key").alias(same)).distinct(), "keys")  # written first: Spark knows its size
@@ -92,7 +112,7 @@ def node_elements(docs: DataFrame, signed: DataFrame, nodes: DataFrame, key: str
     kind = rows.schema["key"].dataType.simpleString()
     found = rows.mapInArrow(by_row(elements, schema), f"key {kind}, node long, size long, elements array<long>")
     # Keys may repeat: sets of other rows with the same key go, and one row per node stays.
-    return found.drop("key").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    return materialise(found.drop("key").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "elements")
 
 
 def _both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
@@ -236,7 +256,7 @@ def hub_groups(crowd: DataFrame) -> DataFrame:
     """
     score = crowd.groupBy("node").agg(F.sum("members").alias("score"))
     hubs = crowd.join(score, "node").groupBy("segment").agg(F.max(F.struct("score", "node")).alias("hub"))
-    named = hubs.select("segment", F.col("hub.node").alias("hub"))
+    named = materialise(hubs.select("segment", F.col("hub.node").alias("hub")), "named")  # so that hot segments can be split
     return materialise(crowd.join(named, "segment").select("hub", "node").distinct(), "hubs")
 
 

@@ -182,6 +182,7 @@ def test_no_link_is_lost(spark, width, percent):
 def test_crowded_segments(spark, monkeypatch):
     monkeypatch.setattr(shingle_join, "SMALL", 2)
     monkeypatch.setattr(shingle_join, "BLOCK", 8)
+    monkeypatch.setattr(exact_dedup, "CANDIDATES", 5)  # few segments count as frequent: both ways are taken
     texts = families(7, 120, [90], 4)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in shingle_join.similarity_components(docs_of(spark, texts)).collect()}
     assert got == plain_components(texts, 3, 90)
