@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from faultline.llm.common import by_row, key_type, materialise, pick, release_shuffles, scratch, table, unused
 from faultline.llm.components import components
 from faultline.llm.exact_dedup import frequent_heads
-from faultline.llm.shingles import Bands, hamming, segment_keys, set_id, shingle_set, similar, sketch
+from faultline.llm.shingles import Bands, brief, hamming, segment_keys, set_id, shingle_set, similar, sketch
 from faultline.sources import shared
 
 #: Sets in a segment up to which its pairs are written out, and sets of a block beyond.
@@ -44,7 +44,7 @@ def _signed(values: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """(key, node, size, segments, sketch) of every row; a row without words has size 0.
+    """(key, node, size, segments, sketch, brief) of every row; a row without words has size 0.
 
     Copies are combined before the shuffle: a set that a task has met before has no segments in its later rows.
     """
@@ -59,17 +59,19 @@ def signatures(docs: DataFrame, key: str, text: str, width: int, percent: int) -
             found = shingle_set(value, width)
             node = set_id(found)
             if not len(found):
-                return node, 0, [], []
+                return node, 0, [], [], []
             segments = [] if node in met else _signed(segment_keys(found, bands))
             met.add(node)
-            return node, len(found), segments, _signed(sketch(found, bands))
+            whole = sketch(found, bands)
+            return node, len(found), segments, _signed(whole), _signed(brief(whole))
 
         yield from by_row(signature, schema)(batches)
 
     schema = pa.schema(
-        [("key", key_type(rows)), ("node", pa.int64()), ("size", pa.int64()), ("segments", _LONGS), ("sketch", _LONGS)]
+        [("key", key_type(rows)), ("node", pa.int64()), ("size", pa.int64())]
+        + [(name, _LONGS) for name in ("segments", "sketch", "brief")]
     )
-    columns = f"key {kind}, node long, size long, segments array<long>, sketch array<long>"
+    columns = f"key {kind}, node long, size long, segments array<long>, sketch array<long>, brief array<long>"
     return rows.mapInArrow(signed, columns)
 
 
@@ -271,7 +273,7 @@ def open_blocks(groups: DataFrame, roots: DataFrame, sketches: DataFrame) -> Dat
 
     Sets of the largest component need no comparison with each other. They are chunks of their own, which meet only the
     chunks of the other sets: their rows go to as many blocks as there are chunks of other sets, the others' rows to as
-    many as there are chunks at all.
+    many as there are chunks at all. Rows carry the folded sketch, whose distance is a bound as well.
     """
     placed = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     counted = placed.groupBy("hub", "root").agg(F.count(F.lit(1)).alias("n"))
@@ -289,7 +291,8 @@ def open_blocks(groups: DataFrame, roots: DataFrame, sketches: DataFrame) -> Dat
     dealt = placed.join(apart, "hub").select(
         "hub", "node", "root", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("other")
     )
-    return dealt.join(sketches, "node").withColumns(
+    folded = sketches.select("node", "size", F.col("brief").alias("sketch"))
+    return dealt.join(folded, "node").withColumns(
         {"block_a": F.least("chunk", "other"), "block_b": F.greatest("chunk", "other")}
     )
 
@@ -300,7 +303,7 @@ def linked_nodes(docs: DataFrame, signed: DataFrame, key: str, text: str, width:
     members = shared_segments(signed)
     nodes = materialise(members.select("node").distinct(), "nodes")
     release_shuffles(spark)
-    known = signed.select("node", "size", "sketch").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    known = signed.select("node", "size", "sketch", "brief").join(nodes, "node", "left_semi").dropDuplicates(["node"])
     sketches = materialise(known, "sketches")
     groups = hub_groups(members.filter(F.col("members") > SMALL))
     tested = materialise(small_pairs(members).unionByName(hub_pairs(groups)).distinct(), "pairs")
@@ -320,8 +323,8 @@ def linked_nodes(docs: DataFrame, signed: DataFrame, key: str, text: str, width:
     forests = 1
     while not groups.isEmpty():
         found = materialise(block_pairs(open_blocks(groups, roots, sketches), percent, forests), "blocks")
-        fresh = materialise(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "fresh")
-        new = similar_pairs(fresh)
+        fresh = found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+        new = similar_pairs(materialise(near_pairs(fresh, sketches, percent), "fresh"))
         tested = materialise(tested.unionByName(found.select("a", "b")).distinct(), "pairs")
         if not new.isEmpty():
             linked = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
