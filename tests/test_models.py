@@ -107,6 +107,24 @@ def test_skipped_distances_change_no_center(spark, spread):
     assert computed <= possible / 2
 
 
+def test_long_vectors_are_settled_by_products_and_kept_as_bytes(spark):
+    """Vectors of WIDE numbers and more, without clear groups: the centers are those of plain passes, and what the passes
+    read is bytes, not lists."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(0, 1, (700, kmeans.WIDE + 3))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>").repartition(3, "id")
+    points = kmeans.points_of(kmeans.with_row_hash(frame, "id", "embedding"))
+    packed = kmeans._packed(points, x.shape[1])
+    assert dict(packed.dtypes)["embedding"] == "binary"
+    models = [(1, 0), (4, 0), (60, 0), (90, 1)]
+    starts = kmeans.fit_many(points, models, max_iter=0)
+    for fit, start in zip(kmeans.fit_many(points, models, max_iter=9, tol=0.0), starts):
+        assert np.allclose(fit.centers, plain_lloyd(x, start.centers, fit.iterations), atol=1e-9)
+        assert fit.inertia == pytest.approx(((x[:, None] - fit.centers[None]) ** 2).sum(-1).min(1).sum())
+    for (n, sums, cost), (m, again, same) in zip(*(kmeans._pass(p, starts, x.shape[1]) for p in (points, packed))):
+        assert np.array_equal(n, m) and np.allclose(sums, again) and cost == pytest.approx(same)
+
+
 def test_trees_of_tasks_add_in_order(spark, monkeypatch):
     def run(batches):
         total = sum(b.column(0).to_numpy().sum() for b in batches)
