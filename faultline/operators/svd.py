@@ -143,10 +143,9 @@ def second_moments(weighted: DataFrame, model: SvdModel, column: str = "tfidf")
         components = shared.value
         total = np.zeros((components.shape[1],) * 2)
         for batch in batches:
-            offsets, ids, weights = arrays.sparse(batch.column(column))
-            scores = np.zeros((len(offsets) - 1, components.shape[1]))
-            np.add.at(scores, np.repeat(np.arange(len(scores)), np.diff(offsets)), components[ids] * weights[:, None])
-            total += scores.T @ scores
+            for rows in _dense_blocks(batch.column(0), len(components)):
+                scores = rows @ components
+                total += scores.T @ scores
         yield pa.RecordBatch.from_arrays([arrays.list_column(total.reshape(1, -1))], names=["total"])
 
     partial = weighted.select(column).mapInArrow(run, "total array<double>")
@@ -161,9 +160,9 @@ def embed(weighted: DataFrame, model: SvdModel, keep: Sequence[str], column: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         components = shared.value
-        for batch in batches:
-            matrix = project(*arrays.sparse(batch.column(column)), components)
-            yield arrays.with_column(batch, keep, embedding=arrays.list_column(matrix))
+        for part in arrays.parts(batches):
+            matrix = project(*arrays.sparse(part.column(column)), components)
+            yield arrays.with_column(part, keep, embedding=arrays.list_column(matrix))
 
     schema = StructType(
         [weighted.schema[c] for c in keep] + [StructField("embedding", ArrayType(DoubleType(), False))]

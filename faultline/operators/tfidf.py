@@ -161,12 +161,12 @@ def weights(df: DataFrame, text: str, model: TfidfModel, keep: Sequence[str]) ->
     idf_of = np.array(model.idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = batch.column("_tf")
+        for part in arrays.parts(batches):
+            counts = part.column("_tf")
             ids, values = _lists(*weigh(counts, idf_of))
             kind, size, _, _ = counts.flatten()
             vectors = pa.StructArray.from_arrays([kind, size, ids, values], names=["type", "size", "indices", "values"])
-            yield arrays.with_column(batch, keep, tfidf=vectors)
+            yield arrays.with_column(part, keep, tfidf=vectors)
 
     counted = with_counts(df.select(*keep, F.col(text).alias("_text")), "_text", model).drop("_text")
     schema = StructType([df.schema[c] for c in keep] + [StructField("tfidf", VectorUDT())])
@@ -179,9 +179,9 @@ def long_weights(df: DataFrame, text: str, model: TfidfModel, keep: Sequence[str
     idf_of = np.array(model.idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, values = _lists(*weigh(batch.column("_tf"), idf_of))
-            yield arrays.with_column(batch, keep, term_ids=ids, weights=values)
+        for part in arrays.parts(batches):
+            ids, values = _lists(*weigh(part.column("_tf"), idf_of))
+            yield arrays.with_column(part, keep, term_ids=ids, weights=values)
 
     counted = with_counts(df.select(*keep, F.col(text).alias("_text")), "_text", model).drop("_text")
     schema = StructType(

@@ -83,9 +83,9 @@ def predict(df: DataFrame, text: str, models: Models) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf_of, components, centers = shared.value
-        for batch in batches:
-            rows = svd.project(*tfidf.weigh(batch.column("_tf"), idf_of), components)
-            yield arrays.with_column(batch, keep, cluster_raw=pa.array(kmeans.nearest(rows, centers), pa.int32()))
+        for part in arrays.parts(batches):
+            rows = svd.project(*tfidf.weigh(part.column("_tf"), idf_of), components)
+            yield arrays.with_column(part, keep, cluster_raw=pa.array(kmeans.nearest(rows, centers), pa.int32()))
 
     counted = tfidf.with_counts(df, text, models.tfidf)
     schema = StructType(list(df.schema.fields) + [StructField("cluster_raw", IntegerType())])
