@@ -17,6 +17,9 @@ from faultline.sources.shared import materialise
 
 LINES = 3
 
+#: Files of an intermediate table.
+FILES_PER_CORE = 4
+
 
 def _let(value: Column, fn) -> Column:
     return F.transform(F.array(value), fn)[0]
@@ -56,16 +59,21 @@ def windows(rows: DataFrame) -> DataFrame:
     return found.select("self", "key", "w.*").withColumn("mark", F.xxhash64("digest"))
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """A table of a few files per core: these tables are small, and every file costs the file system some calls."""
+    return materialise(df.coalesce(FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism), name)
+
+
 def covered_lines(rows: DataFrame) -> DataFrame:
     """(self, covered): the line numbers that later occurrences of repeated windows cover, merged per document."""
     found = windows(rows)
     # A number per window and a count: combined in the tasks, so a passage of a third of all documents is one row each.
-    marks = materialise(found.groupBy("mark").count().filter("count > 1").select("mark"), "marks")
-    members = materialise(found.join(marks, "mark", "left_semi").drop("mark").distinct(), "members")
+    marks = _written(found.groupBy("mark").count().filter("count > 1").select("mark"), "marks")
+    members = _written(found.join(marks, "mark", "left_semi").drop("mark").distinct(), "members")
     place = F.struct(F.col("key").isNull().alias("none"), F.col("key"), F.col("self"), F.col("first"))
     repeated = members.groupBy("digest").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     # Written first: the rows of a passage of a third of all documents can be split only if the other side is a table.
-    firsts = materialise(repeated.select("digest", "place"), "firsts")
+    firsts = _written(repeated.select("digest", "place"), "firsts")
     later = members.join(firsts, "digest").filter(place != F.col("place"))
     # Between the window's lines there may be blank ones; they go with it.
     return later.groupBy("self").agg(F.collect_set(F.struct("first", "last")).alias("spans"))

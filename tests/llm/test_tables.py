@@ -137,6 +137,25 @@ def test_one_copy_of_every_line_is_left(spark):
 # --- near copies ----------------------------------------------------------------------------------------------------
 
 
+def test_line_dedup_writes_few_files(spark, monkeypatch):
+    """However many partitions a shuffle has: its small tables are a few files per core, with the same rows."""
+    lines = [f"line {i}" for i in range(400)]
+    docs = docs_of(spark, ["\n".join(lines[i : i + 40]) for i in range(0, 360, 20)])
+    want = sorted(map(tuple, line_dedup.remove_repeated(docs).collect()))
+    written, write = [], line_dedup.materialise
+    monkeypatch.setattr(line_dedup, "materialise", lambda df, name: written.append(write(df, name)) or written[-1])
+    odd = {"spark.sql.shuffle.partitions": "120", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in odd}
+    try:
+        for k, v in odd.items():
+            spark.conf.set(k, v)
+        assert sorted(map(tuple, line_dedup.remove_repeated(docs).collect())) == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert written and all(len(w.inputFiles()) <= 4 * spark.sparkContext.defaultParallelism for w in written)
+
+
 def plain_components(texts, width, percent):
     sets = {}
     for i, t in enumerate(texts):
