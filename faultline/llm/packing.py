@@ -43,8 +43,8 @@ _SIMPLE, _SIMPLE_TEXT = re.compile(f"[{_SIGNS}]+"), re.compile(f"[ \t-\r{_SIGNS}
 _LETTERS = r"a-z\u00df-\u00f6\u00f8-\u017e"
 _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^ \t-\r0-9{_LETTERS}]+")
 
-#: Words that a worker remembers per generation.
-WORDS = 400_000
+#: Words, and as many parts of texts, that a worker remembers per generation. There are two workers or more beside a JVM.
+WORDS = 100_000
 
 
 class Words:
@@ -64,7 +64,7 @@ class Words:
         self.model = self.library.model
         self.signs = {byte: ord(sign) for sign, byte in byte_symbols().items()}
         self.words = Recent(self.word, WORDS).__getitem__
-        self.parts = Recent(self.part).__getitem__
+        self.parts = Recent(self.part, WORDS).__getitem__
 
     def word(self, text: str) -> bytes:
         signs = text if text.isascii() else text.encode().decode("latin-1").translate(self.signs)

@@ -239,6 +239,16 @@ def check_packing(rows, texts, length, library):
     return sequences
 
 
+def test_workers_remember_a_bounded_number_of_words():
+    """Two generations of 100,000 words and parts each, since several workers share the memory of an executor."""
+    library = packing.Words(public_tokenizers.path(packing.VOCABULARY))
+    for recent in (library.words.__self__, library.parts.__self__):
+        recent.fn = lambda text: b""
+        for i in range(350_000):
+            recent[str(i)]
+        assert len(recent) + len(recent.before) <= 200_000
+
+
 def test_packing(odd, spark):
     library = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
     texts = [(k, [*library.encode(t, add_special_tokens=False).ids, 2]) for k, t in text_by_id(odd)]
