@@ -1,4 +1,4 @@
-"""Word shingles of a text as sorted 64-bit hashes, their parity sketches, and the size bands of the similarity join."""
+"""Word shingles of a text as sorted 64-bit hashes, the rare ones among them, and parity sketches of sets."""
 
 from __future__ import annotations
 
@@ -16,6 +16,8 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Characters whose words are split at a time.
 SLICE = 1 << 18
+#: Buckets in which shingles are counted, a power of two.
+BUCKETS = 1 << 18
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -119,6 +121,24 @@ def segment_keys(found: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
+def buckets(found: np.ndarray) -> np.ndarray:
+    return (found & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def rare_marks(found: np.ndarray, percent: int, often: np.ndarray) -> np.ndarray:
+    """The rarest shingles of a set, by `often`, the counts of the buckets: similar sets have one of them in common.
+
+    Of a set of n shingles a partner has at least n * percent / 100, rounded up. All sets order their shingles alike, by
+    count and hash. In both sets at least that number less one of the common shingles follow the first common one, so it
+    is among the others plus one that come first, whatever the counts are. None are needed where only equal sets qualify.
+    """
+    size = len(found)
+    if 100 * size < percent * (size + 1):
+        return found[:0]
+    count = size + size * -percent // 100 + 1
+    return found[np.lexsort((found, often[buckets(found)]))[:count]]
+
+
 def sketch(found: np.ndarray, bands: Bands) -> np.ndarray:
     """Parity sketch: each shingle flips one of 2^k bits; about 16 bits per element that a partner may differ in."""
     bits = max(256, 1 << (16 * bands.largest_difference(len(found), len(found))).bit_length())

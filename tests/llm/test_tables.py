@@ -222,6 +222,34 @@ def test_sketches_bound_the_difference():
             assert set(shingles.segment_keys(a, bands)) & set(shingles.segment_keys(b, bands))
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_similar_sets_share_a_rare_mark(percent):
+    import numpy as np
+
+    rnd = np.random.default_rng(1)
+    for often in (np.zeros(shingles.BUCKETS, np.int64), rnd.integers(0, 9, shingles.BUCKETS)):
+        for _ in range(400):
+            a = np.unique(rnd.integers(0, 2**64, int(rnd.integers(1, 200)), dtype=np.uint64))
+            lost, new = (int(rnd.integers(0, 1 + len(a) // 5)) for _ in "ab")
+            b = np.unique(np.append(rnd.permutation(a)[lost:], rnd.integers(0, 2**64, new, dtype=np.uint64)))
+            if len(np.setxor1d(a, b)) and shingles.similar(a, b, percent):
+                assert set(shingles.rare_marks(a, percent, often)) & set(shingles.rare_marks(b, percent, often))
+
+
+def test_a_common_passage_crowds_no_blocks(spark, monkeypatch):
+    """Texts that share a passage, and little else, are not dealt out over blocks, which is quadratic in their number."""
+    rnd = random.Random(3)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [f"{passage} " + " ".join(f"w{rnd.randrange(10**6)}" for _ in range(60)) for _ in range(300)]
+    texts += [t.replace(" p30 ", " q ") for t in texts[:5]]
+    dealt = []
+    monkeypatch.setattr(shingle_join, "BLOCK", 8)
+    monkeypatch.setattr(shingle_join, "open_blocks", lambda *args, plain=shingle_join.open_blocks: dealt.append(plain(*args)) or dealt[-1])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in shingle_join.similarity_components(docs_of(spark, texts), width=5, percent=80).collect()}
+    assert got == plain_components(texts, 5, 80)
+    assert sum(d.count() for d in dealt) <= len(texts)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (7, 7), (200, 201), (200, 201)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
