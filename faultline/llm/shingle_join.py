@@ -8,7 +8,8 @@ sets are verified. Whole sets are shuffled only where that bound leaves room.
    counts are. Shingles of passages that many texts have come last and are rarely marks. Equal sets are one node.
 2. Marks that only one set has fall out in the task that gets all rows of a mark; they cross the network once.
    Frequent marks, found by a sketch of bounded size, are dealt by mark and set instead and counted by partial sums.
-3. Sets that share a mark are compared: by the Hamming distance of their sketches, which never exceeds the number of
+3. Sets that share a mark are compared, unless what follows the mark in either is too little (a positional filter, which
+   also sees the sizes): by the Hamming distance of their sketches, which never exceeds the number of
    elements they differ in, then exactly. Of a crowded mark the pairs are not written out: each set is compared with
    the mark's hub. Where that leaves sets apart, those of all marks of a hub are cut into blocks of bounded size,
    and a task gives only a forest of its nearest pairs between components, nearest first; what the verified forest leaves
@@ -99,23 +100,25 @@ def signatures(docs: DataFrame, key: str, text: str, width: int, percent: int) -
 
 
 def shared_marks(signed: DataFrame) -> DataFrame:
-    """(mark, node, members): the marks that more than one set has, once per set, with their number of sets.
+    """(mark, node, size, rest, members): the marks that more than one set has, once per set, with their number of sets.
+    `rest` is the number of shingles of the set from the mark on, in the common order.
 
     Marks cross the network once, at every size: the task that has all rows of a mark also drops it if one set
     alone has it, and counts the others. Marks of more than 1/4,096 of all rows do not meet in a task: they are known
     from a sketch, at most 4,096 of them whatever the size of the corpus, and their rows are dealt by mark and set.
     """
-    rows = signed.select("node", F.explode("marks").alias("mark"))
+    placed = signed.select("node", "size", F.posexplode("marks").alias("at", "mark"))
+    rows = placed.select("mark", "node", F.col("size").cast("int"), (F.col("size") - F.col("at")).cast("int").alias("rest"))
     heads = frequent_heads(rows.select(F.col("mark").alias("head")))
     frequent = materialise(heads.select(F.col("head").alias("mark")), "frequent")
-    hot = materialise(rows.join(F.broadcast(frequent), "mark", "left_semi").select("mark", "node").distinct(), "hot")
+    hot = materialise(rows.join(F.broadcast(frequent), "mark", "left_semi").distinct(), "hot")
     sums = hot.groupBy("mark").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     release_shuffles(signed.sparkSession)
 
     of = Window.partitionBy("mark")
-    rest = rows.join(F.broadcast(frequent), "mark", "left_anti")
-    common = rest.withColumns({"low": F.min("node").over(of), "high": F.max("node").over(of)}).filter("low < high")
-    members = common.select("mark", "node").distinct().withColumn("members", F.count(F.lit(1)).over(of))
+    others = rows.join(F.broadcast(frequent), "mark", "left_anti")
+    common = others.withColumns({"low": F.min("node").over(of), "high": F.max("node").over(of)}).filter("low < high")
+    members = common.drop("low", "high").distinct().withColumn("members", F.count(F.lit(1)).over(of))
     counted = materialise(members.unionByName(hot.join(F.broadcast(sums), "mark")), "counted")
     release_shuffles(signed.sparkSession)
     return counted
@@ -187,13 +190,23 @@ def verify(pairs: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
     return _both(pairs, elements, "elements").mapInArrow(_kept_pairs(lambda a, b: similar(a, b, percent)), "a long, b long")
 
 
-def small_pairs(members: DataFrame) -> DataFrame:
-    """(a, b): the pairs of marks with at most SMALL sets, each once."""
-    few = members.filter(F.col("members") <= SMALL).select("mark", "node")
-    listed = few.groupBy("mark").agg(F.sort_array(F.collect_set("node")).alias("nodes"))
-    at = listed.select("nodes", F.posexplode("nodes").alias("i", "a"))
-    later = F.slice("nodes", F.col("i") + 2, SMALL)
-    return at.select("a", F.explode(later).alias("b")).distinct()
+def small_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs of marks with at most SMALL sets, each once, that may be similar and have this mark first.
+
+    All shingles that two sets share come from the first shared one on, so there are no more of them than either set has
+    from there. A pair that this leaves too few has another first mark, whose row gives it, or is not similar. Sets of
+    sizes that do not fit are left too few by every mark.
+    """
+    few = members.filter(F.col("members") <= SMALL).select("mark", F.struct("node", "size", "rest").alias("one"))
+    listed = few.groupBy("mark").agg(F.sort_array(F.collect_list("one")).alias("sets"))
+    at = listed.select("sets", F.posexplode("sets").alias("i", "one"))
+
+    def may_be_similar(other):
+        most = F.least(F.col("one.rest"), other["rest"]).cast("long")
+        return most * (100 + percent) >= (F.col("one.size").cast("long") + other["size"]) * percent
+
+    later = F.filter(F.slice("sets", F.col("i") + 2, SMALL), may_be_similar)
+    return at.select(F.col("one.node").alias("a"), F.explode(F.transform(later, lambda x: x["node"])).alias("b")).distinct()
 
 
 def _forests(near: np.ndarray, left: np.ndarray, right: np.ndarray, group: np.ndarray, count: int) -> tuple[np.ndarray, bool]:
@@ -326,12 +339,13 @@ def linked_nodes(docs: DataFrame, signed: DataFrame, key: str, text: str, width:
     """(node, root) of the nodes that have a link to another node."""
     spark = docs.sparkSession
     members = shared_marks(signed)
-    nodes = materialise(members.select("node").distinct(), "nodes")
+    groups = hub_groups(members.filter(F.col("members") > SMALL))
+    tested = materialise(small_pairs(members, percent).unionByName(hub_pairs(groups)).distinct(), "pairs")
     release_shuffles(spark)
+    # Only sets with a partner to be tested need a sketch; every set of a group has its hub as one.
+    nodes = materialise(tested.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
     known = signed.select("node", "size", "sketch", "brief").join(nodes, "node", "left_semi").dropDuplicates(["node"])
     sketches = materialise(known, "sketches")
-    groups = hub_groups(members.filter(F.col("members") > SMALL))
-    tested = materialise(small_pairs(members).unionByName(hub_pairs(groups)).distinct(), "pairs")
     near = materialise(near_pairs(tested, sketches, percent), "near")
     release_shuffles(spark)
 

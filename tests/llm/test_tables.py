@@ -207,6 +207,18 @@ def test_crowded_segments(spark, monkeypatch):
     assert got == plain_components(texts, 3, 90)
 
 
+def test_chance_marks_pair_only_sets_that_fit(spark, monkeypatch):
+    """Few words: the rarest shingles of a set are shared by chance. Pairs that the mark's place excludes are not tested."""
+    rnd, tested = random.Random(5), []
+    texts = [" ".join(f"w{rnd.randrange(14)}" for _ in range(rnd.choice([30, 60, 120, 240]))) for _ in range(150)]
+    texts += [" ".join([*t.split(), "x"]) for t in texts[:20]]
+    monkeypatch.setattr(shingle_join, "SMALL", len(texts))
+    monkeypatch.setattr(shingle_join, "near_pairs", lambda pairs, *rest, plain=shingle_join.near_pairs: tested.append(pairs) or plain(pairs, *rest))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in shingle_join.similarity_components(docs_of(spark, texts)).collect()}
+    assert got == plain_components(texts, 3, 90)
+    assert sum(pairs.count() for pairs in tested) <= 500  # 1,563 by the marks alone
+
+
 def test_sketches_bound_the_difference():
     import numpy as np
 
