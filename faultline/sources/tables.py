@@ -58,7 +58,7 @@ def write_table(
     The rows are written aside, as a table of another name, and `check` may raise on what was written. Then the names are
     switched in the catalog, and the old rows deleted. If writing or checking fails the old table is untouched and what was
     written is deleted, so a table can be overwritten from its own rows. With `path` every version has a folder of its own
-    below it; a version of equal schema takes the place of the last one in a single catalog call.
+    below it, with its files in one named like the table; a version of equal schema takes the place of the last one in a single catalog call.
     """
     spark = df.sparkSession
     if fmt in TRANSACTIONAL:
@@ -69,9 +69,10 @@ def write_table(
         return
     version = uuid.uuid4().hex
     aside, old, folder = f"{name}_new_{version}", f"{name}_old_{version}", f"{path}/{version}" if path else None
+    files = f"{folder}/{path.rstrip('/').rsplit('/', 1)[-1]}" if folder else None
     writer = df.write.format(fmt)
     try:
-        (writer.option("path", folder) if folder else writer).saveAsTable(aside)
+        (writer.option("path", files) if folder else writer).saveAsTable(aside)
         if check:
             check(spark.table(aside))
     except BaseException:
@@ -79,10 +80,10 @@ def write_table(
         raise
     before = _location(spark, name) if spark.catalog.tableExists(name) else None
     if before and folder and _external(spark, name) and spark.table(name).schema == spark.table(aside).schema:
-        spark.sql(f"ALTER TABLE {name} SET LOCATION '{folder}'")
+        spark.sql(f"ALTER TABLE {name} SET LOCATION '{files}'")
         spark.catalog.refreshTable(name)
         _drop(spark, aside, None)
-        _delete(spark, before)
+        _delete(spark, _version(before, path) or before)
         return
     if before:
         spark.sql(f"ALTER TABLE {name} RENAME TO {old}")
@@ -94,7 +95,13 @@ def write_table(
         _drop(spark, aside, folder)
         raise
     if before:
-        _drop(spark, old, before if path and before.startswith(f"{_plain(path)}/") else None)
+        _drop(spark, old, _version(before, path) if path else None)
+
+
+def _version(location: str, path: str) -> str | None:
+    """The folder of a version that lies below `path`."""
+    top = f"{_plain(path)}/"
+    return top + location[len(top) :].split("/", 1)[0] if location.startswith(top) else None
 
 
 def _described(spark: SparkSession, name: str) -> dict[str, str]:
