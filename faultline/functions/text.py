@@ -10,7 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, functions as F
 
 # Fixed value: a token is a run of two or more letters, digits or underscores of any script.
-TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
+WORD_CHARACTER = r"[\p{L}\p{N}_]"
+TOKEN_PATTERN = WORD_CHARACTER + "{2,}"
 
 
 def tokens(text: Column) -> Column:

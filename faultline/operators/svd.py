@@ -29,6 +29,9 @@ OVERSAMPLE, ITERATIONS = 16, 6
 #: Numbers of a dense block of rows.
 DENSE = 1 << 21
 
+#: What the passes read of many rows: numbers of terms, terms, weights.
+_PACKED = ["lengths", "ids", "weights"]
+
 
 @dataclass(frozen=True)
 class SvdModel:
@@ -42,9 +45,8 @@ class SvdModel:
         return self.components.shape[1]
 
 
-def _dense_blocks(column: pa.Array, terms: int) -> Iterator[np.ndarray]:
+def _dense_blocks(offsets: np.ndarray, ids: np.ndarray, weights: np.ndarray, terms: int) -> Iterator[np.ndarray]:
     """The rows as dense blocks of bounded size."""
-    offsets, ids, weights = arrays.sparse(column)
     for part in arrays.chunks(len(offsets) - 1, max(16, DENSE // terms)):
         lo, hi = offsets[part.start], offsets[part.stop]
         block = np.zeros((part.stop - part.start, terms))
@@ -52,19 +54,37 @@ def _dense_blocks(column: pa.Array, terms: int) -> Iterator[np.ndarray]:
         yield block
 
 
-def _turned(weighted: DataFrame, column: str, block: np.ndarray) -> np.ndarray:
+def _packed(weighted: DataFrame, column: str) -> DataFrame:
+    """The rows as bytes, many in one, which every pass copies from the cache as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in arrays.parts(batches):
+            offsets, ids, weights = arrays.sparse(part.column(0))
+            numbers = (np.diff(offsets).astype(np.int32), ids.astype(np.int32), weights.astype(np.float64))
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in numbers], names=_PACKED)
+
+    return weighted.select(column).mapInArrow(run, ", ".join(f"{name} binary" for name in _PACKED))
+
+
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    kinds = (np.int32, np.int32, np.float64)
+    lengths, ids, weights = (arrays.unpacked(batch.column(c), 1, np.dtype(k))[:, 0] for c, k in zip(_PACKED, kinds))
+    return np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]), ids, weights
+
+
+def _turned(packed: DataFrame, block: np.ndarray) -> np.ndarray:
     """A'(A V)."""
     terms, width = block.shape
-    shared = weighted.sparkSession.sparkContext.broadcast(block)
+    shared = packed.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, total = shared.value, np.zeros((terms, width))
         for batch in batches:
-            for rows in _dense_blocks(batch.column(0), terms):
+            for rows in _dense_blocks(*_unpacked(batch), terms):
                 total += rows.T @ (rows @ v)
         yield batch_of(slices_of(total))
 
-    found = joined(tree_reduced(weighted.select(column), run))
+    found = joined(tree_reduced(packed, run))
     shared.destroy()
     return found.reshape(terms, width)
 
@@ -73,19 +93,19 @@ def _stacked_factor(parts: list[np.ndarray], width: int) -> np.ndarray:
     return np.linalg.qr(np.vstack([p.reshape(-1, width) for p in parts]), mode="r")
 
 
-def _row_factor(weighted: DataFrame, column: str, block: np.ndarray) -> np.ndarray:
+def _row_factor(packed: DataFrame, block: np.ndarray) -> np.ndarray:
     """R of the QR factorisation of A V, whose rows stay where they are."""
     terms, width = block.shape
-    shared = weighted.sparkSession.sparkContext.broadcast(block)
+    shared = packed.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, factor = shared.value, np.zeros((0, width))
         for batch in batches:
-            for rows in _dense_blocks(batch.column(0), terms):
+            for rows in _dense_blocks(*_unpacked(batch), terms):
                 factor = _stacked_factor([factor, rows @ v], width)
         yield batch_of({0: factor})
 
-    found = tree_reduced(weighted.select(column), run, lambda parts: _stacked_factor(parts, width))
+    found = tree_reduced(packed, run, lambda parts: _stacked_factor(parts, width))
     shared.destroy()
     return found[0].reshape(-1, width)
 
@@ -94,8 +114,8 @@ def fit(
     weighted: DataFrame, terms: int, dims: int = 64, column: str = "tfidf", iterations: int = ITERATIONS,
     oversample: int = OVERSAMPLE, seed: int = 42,
 ) -> SvdModel:
-    """The leading `dims` right singular vectors. `weighted` is read once per iteration and twice more, so it should be
-    materialised. The number of terms is not limited: tasks and driver hold terms x (dims + oversample) numbers.
+    """The leading `dims` right singular vectors. `weighted` is read twice, so it should be materialised; the passes read it
+    as bytes, from a cache. The number of terms is not limited: tasks and driver hold terms x (dims + oversample) numbers.
 
     The vectors span the subspace that the iterations found: singular values are exact for it, products of different
     reduced columns vanish. A flat end of the spectrum is found in part only, as with any randomised SVD.
@@ -104,9 +124,13 @@ def fit(
     width = min(dims + oversample, terms)
     weighted = fewer_tasks(weighted)
     block = np.linalg.qr(np.random.default_rng(seed).standard_normal((terms, width)))[0]
-    for _ in range(iterations if width < terms else 0):  # as wide as the matrix: nothing to turn
-        block = np.linalg.qr(_turned(weighted, column, block))[0]
-    _, sigma, turn = np.linalg.svd(_row_factor(weighted, column, block))
+    packed = _packed(weighted, column).persist()
+    try:
+        for _ in range(iterations if width < terms else 0):  # as wide as the matrix: nothing to turn
+            block = np.linalg.qr(_turned(packed, block))[0]
+        _, sigma, turn = np.linalg.svd(_row_factor(packed, block))
+    finally:
+        packed.unpersist()
     components = (block @ turn.T)[:, :dims]
     sigma = np.concatenate([sigma, np.zeros(width - len(sigma))])[:dims]
     # The sign of a singular vector is arbitrary: make its largest entry positive.
@@ -143,7 +167,7 @@ def second_moments(weighted: DataFrame, model: SvdModel, column: str = "tfidf")
         components = shared.value
         total = np.zeros((components.shape[1],) * 2)
         for batch in batches:
-            for rows in _dense_blocks(batch.column(0), len(components)):
+            for rows in _dense_blocks(*arrays.sparse(batch.column(0)), len(components)):
                 scores = rows @ components
                 total += scores.T @ scores
         yield pa.RecordBatch.from_arrays([arrays.list_column(total.reshape(1, -1))], names=["total"])

@@ -1,7 +1,7 @@
 """TF-IDF with 1- and 2-grams.
 
 Fitting shuffles only partially aggregated term counts. Applying a fitted vocabulary shuffles nothing: terms are
-looked up by the built-in count vectoriser, and the weights are computed in the same task.
+looked up and weighed in the same task. Texts are cut into words, numbered and counted in Arrow batches, many at once.
 """
 
 from __future__ import annotations
@@ -12,12 +12,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import CountVectorizerModel
+import pyarrow.compute as pc
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from faultline.functions import arrays
+from faultline.functions import arrays, words as cuts
 from faultline.functions.stopwords import ENGLISH_STOP_WORDS
 from faultline.functions.text import bigrams, drop_stop_words, tokens, unigrams_and_bigrams
 
@@ -25,6 +25,9 @@ from faultline.functions.text import bigrams, drop_stop_words, tokens, unigrams_
 # reduced dimension 512 more.
 MAX_VOCABULARY_BYTES, TERM_BYTES = 64 << 20, 640
 
+#: Texts, and bytes of text, whose words are counted at once, and different pairs that a task counts before it hands them on.
+COUNTED, HELD_PAIRS = (2048, 4 << 20), 1 << 21
+
 
 @dataclass(frozen=True)
 class TfidfModel:
@@ -59,11 +62,56 @@ def term_totals(lists: DataFrame, column: str) -> DataFrame:
     )
 
 
-def only_known(words: str, known: Sequence[str]) -> Column:
-    """The words with all unknown ones set to null, so that neighbours stay neighbours."""
-    # As text, because thousands of literal objects are slow to build; tokens hold no character to escape.
-    listed = ", ".join(f"'{w}'" for w in known) or "NULL"
-    return F.expr(f"transform({words}, w -> CASE WHEN w IN ({listed}) THEN w END)")
+def word_totals(texts: DataFrame, text: str, stop_words: Sequence[str]) -> DataFrame:
+    """`term_totals` of single words. A task counts the words of some MB of text before it hands them on."""
+    edges, stops = cuts.alphabet(texts.sparkSession), pa.array(sorted(stop_words), pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word = cuts.members(edges)
+        for part in cuts.text_parts(batches, "_lower", *COUNTED):
+            found, of = cuts.cut(part.column("_lower"), word)
+            coded = found.dictionary_encode()
+            listed = coded.dictionary
+            keys, df, cf = cuts.in_texts(cuts.rows_of(of), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64))
+            totals = pa.RecordBatch.from_arrays([listed.take(pa.array(keys)), pa.array(df), pa.array(cf)], names=["term", "df", "cf"])
+            yield totals.filter(pc.invert(pc.is_in(totals.column("term"), value_set=stops)))
+
+    counted = texts.select(cuts.lowered(F.col(text)).alias("_lower")).mapInArrow(run, "term string, df long, cf long")
+    return counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+
+def pair_totals(texts: DataFrame, text: str, stop_words: Sequence[str], usable: Sequence[str]) -> DataFrame:
+    """`term_totals` of pairs of usable words, as numbers: the place of the first word times their number and one, and the
+    place of the second."""
+    numbering = cuts.Numbering(usable, stop_words, cuts.alphabet(texts.sparkSession))
+    base = len(usable) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        for part in cuts.text_parts(batches, "_lower", *COUNTED):
+            ids, of = numbering(part.column("_lower"))
+            at = np.flatnonzero(cuts.neighbours(of) & (ids[:-1] < numbering.unknown) & (ids[1:] < numbering.unknown))
+            held.append(cuts.in_texts(cuts.rows_of(of)[at], ids[at] * base + ids[at + 1]))
+            if sum(len(x[0]) for x in held) > HELD_PAIRS:
+                merged = _merged(held)
+                held = [merged]
+                if len(merged[0]) > HELD_PAIRS // 2:
+                    yield _totals(merged)
+                    held = []
+        if held:
+            yield _totals(_merged(held))
+
+    counted = texts.select(cuts.lowered(F.col(text)).alias("_lower")).mapInArrow(run, "code long, df long, cf long")
+    return counted.groupBy("code").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+
+def _merged(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    keys, df, cf = (np.concatenate(x) for x in zip(*held))
+    return cuts.added(keys, [df, cf])
+
+
+def _totals(found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["code", "df", "cf"])
 
 
 def idf(df: Column, documents: Column) -> Column:
@@ -87,19 +135,23 @@ def vocabulary(
         raise ValueError(f"a vocabulary of {max_features} terms is more than {MAX_VOCABULARY_BYTES >> 20} MB of model")
     spark = texts.sparkSession
     documents = texts.agg(F.count(F.lit(1))).scalar()
-    words = with_words(texts.select(text), text, stop_words).select("words")
     order = [F.desc("cf"), F.asc("term")]
 
-    singles = term_totals(words, "words").filter(F.col("df") >= min_df)
+    singles = word_totals(texts, text, stop_words).filter(F.col("df") >= min_df)
     frequent = singles.orderBy(*order).limit(2 * max_features).collect()
     floor = frequent[max_features - 1].cf if len(frequent) >= max_features else 0
     if len(frequent) == 2 * max_features and frequent[-1].cf >= floor:
-        pairs = words.select(bigrams(F.col("words")).alias("pairs"))  # too many ties: every pair may count
+        # Too many ties: every pair may count.
+        words = with_words(texts.select(text), text, stop_words)
+        doubles = term_totals(words.select(bigrams(F.col("words")).alias("pairs")), "pairs").filter(F.col("df") >= min_df)
     else:
-        usable = [r.term for r in frequent if r.cf >= floor]
-        known = words.select(only_known("words", usable).alias("words"))
-        pairs = known.select(F.array_compact(bigrams(F.col("words"))).alias("pairs"))
-    doubles = term_totals(pairs, "pairs").filter(F.col("df") >= min_df)
+        # In the order of the words the numbers of pairs are in the order of the terms: a blank is less than what is in words.
+        usable = sorted(r.term for r in frequent if r.cf >= floor)
+        numbered = pair_totals(texts, text, stop_words, usable).filter(F.col("df") >= min_df)
+        best = numbered.orderBy(F.desc("cf"), "code").limit(max_features).collect()
+        base = len(usable) + 1
+        named = [(f"{usable[r.code // base]} {usable[r.code % base]}", r.df, r.cf) for r in best]
+        doubles = spark.createDataFrame(named, singles.schema)
 
     best_singles = spark.createDataFrame(frequent[:max_features], singles.schema)
     return (
@@ -129,12 +181,48 @@ def fit(
     )
 
 
-def with_counts(df: DataFrame, text: str, model: TfidfModel) -> DataFrame:
-    """Add `_tf`, the sparse counts of the known terms. The names cannot meet those of the caller's columns."""
-    words = df.withColumn("_words", drop_stop_words(tokens(F.col(text)), model.stop_words))
-    ready = words.withColumn("_terms", unigrams_and_bigrams(F.col("_words"))).drop("_words")
-    vectoriser = CountVectorizerModel.from_vocabulary(list(model.terms), inputCol="_terms", outputCol="_tf")
-    return vectoriser.transform(ready).drop("_terms")
+class Counter:
+    """Counts of a model's terms in texts of lower case, as sparse vectors."""
+
+    def __init__(self, spark: SparkSession, model: TfidfModel) -> None:
+        pieces = [(t.split(" "), i) for i, t in enumerate(model.terms)]
+        place: dict[str, int] = {}
+        for words, _ in pieces:
+            for word in words:
+                place.setdefault(word, len(place))
+        self.numbering = cuts.Numbering(list(place), model.stop_words, cuts.alphabet(spark))
+        self.terms, self.base = len(model.terms), len(place) + 1
+        self.single = np.full(self.base, -1, np.int64)
+        pairs = []
+        for words, i in pieces:
+            if len(words) == 1:
+                self.single[place[words[0]]] = i
+            elif len(words) == 2:
+                pairs.append((place[words[0]] * self.base + place[words[1]], i))
+        pairs.sort()
+        self.codes, self.pairs = (np.array([p[i] for p in pairs], np.int64) for i in (0, 1))
+        self.opens, self.closes = np.zeros(self.base, bool), np.zeros(self.base, bool)
+        self.opens[self.codes // self.base], self.closes[self.codes % self.base] = True, True
+
+    def __call__(self, texts: pa.Array) -> pa.StructArray:
+        ids, of = self.numbering(texts)
+        rows = cuts.rows_of(of)
+        term = self.single[ids]
+        known = term >= 0
+        keys = [rows[known] * self.terms + term[known]]
+        if len(self.codes):
+            at = np.flatnonzero(cuts.neighbours(of) & self.opens[ids[:-1]] & self.closes[ids[1:]])
+            code = ids[at] * self.base + ids[at + 1]
+            near = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+            hit = self.codes[near] == code
+            keys.append(rows[at[hit]] * self.terms + self.pairs[near[hit]])
+        found, times = np.unique(np.concatenate(keys), return_counts=True)
+        offsets = np.searchsorted(found, np.arange(len(texts) + 1) * self.terms)
+        indices, values = _lists(offsets, found % self.terms, times.astype(np.float64))
+        kind, size = np.zeros(len(texts), np.int8), np.full(len(texts), self.terms, np.int32)
+        return pa.StructArray.from_arrays(
+            [pa.array(kind), pa.array(size), indices, values], names=["type", "size", "indices", "values"]
+        )
 
 
 def weigh(counts: pa.StructArray, idf_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,42 +236,41 @@ def weigh(counts: pa.StructArray, idf_of: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _lists(offsets: np.ndarray, ids: np.ndarray, weights: np.ndarray) -> tuple[pa.ListArray, pa.ListArray]:
-    cuts = pa.array(offsets, pa.int32())
+    ends = pa.array(offsets, pa.int32())
     return (
-        pa.ListArray.from_arrays(cuts, pa.array(ids, pa.int32())),
-        pa.ListArray.from_arrays(cuts, pa.array(weights, pa.float64())),
+        pa.ListArray.from_arrays(ends, pa.array(ids, pa.int32())),
+        pa.ListArray.from_arrays(ends, pa.array(weights, pa.float64())),
     )
 
 
 def weights(df: DataFrame, text: str, model: TfidfModel, keep: Sequence[str]) -> DataFrame:
     """`keep` and `tfidf`, a sparse vector. A text without a known term gets the zero vector."""
     keep = list(keep)
-    idf_of = np.array(model.idf)
+    idf_of, counter = np.array(model.idf), Counter(df.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in arrays.parts(batches):
-            counts = part.column("_tf")
+        for part in cuts.text_parts(batches, "_lower"):
+            counts = counter(part.column("_lower"))
             ids, values = _lists(*weigh(counts, idf_of))
             kind, size, _, _ = counts.flatten()
             vectors = pa.StructArray.from_arrays([kind, size, ids, values], names=["type", "size", "indices", "values"])
             yield arrays.with_column(part, keep, tfidf=vectors)
 
-    counted = with_counts(df.select(*keep, F.col(text).alias("_text")), "_text", model).drop("_text")
     schema = StructType([df.schema[c] for c in keep] + [StructField("tfidf", VectorUDT())])
-    return counted.mapInArrow(run, schema)
+    return df.select(*keep, cuts.lowered(F.col(text)).alias("_lower")).mapInArrow(run, schema)
 
 
 def long_weights(df: DataFrame, text: str, model: TfidfModel, keep: Sequence[str]) -> DataFrame:
     """One row per document and known term."""
     keep = list(keep)
-    idf_of = np.array(model.idf)
+    idf_of, counter = np.array(model.idf), Counter(df.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in arrays.parts(batches):
-            ids, values = _lists(*weigh(part.column("_tf"), idf_of))
+        for part in cuts.text_parts(batches, "_lower"):
+            ids, values = _lists(*weigh(counter(part.column("_lower")), idf_of))
             yield arrays.with_column(part, keep, term_ids=ids, weights=values)
 
-    counted = with_counts(df.select(*keep, F.col(text).alias("_text")), "_text", model).drop("_text")
+    counted = df.select(*keep, cuts.lowered(F.col(text)).alias("_lower"))
     schema = StructType(
         [df.schema[c] for c in keep]
         + [

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from faultline.config import Config
-from faultline.functions import arrays
+from faultline.functions import arrays, words
 from faultline.functions.scalars import lookup
 from faultline.operators import clusters, embed, features, kmeans, quality, svd, sweep, tfidf, validate
 from faultline.schemas import DEFECT_FEATURES
@@ -75,21 +75,21 @@ def embed_texts(texts: DataFrame, key: str, text: str, cfg: Config = Config()) -
 
 
 def predict(df: DataFrame, text: str, models: Models) -> DataFrame:
-    """Add `cluster_raw` to whole records: text to counts in the JVM, counts to cluster in one Arrow step."""
+    """Add `cluster_raw` to whole records: text to cluster in one Arrow step."""
     keep = df.columns
+    counter = tfidf.Counter(df.sparkSession, models.tfidf)
     shared = df.sparkSession.sparkContext.broadcast(
-        (np.array(models.tfidf.idf), models.svd.components, models.centers)
+        (counter, np.array(models.tfidf.idf), models.svd.components, models.centers)
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf_of, components, centers = shared.value
-        for part in arrays.parts(batches):
-            rows = svd.project(*tfidf.weigh(part.column("_tf"), idf_of), components)
+        counter, idf_of, components, centers = shared.value
+        for part in words.text_parts(batches, "_lower"):
+            rows = svd.project(*tfidf.weigh(counter(part.column("_lower")), idf_of), components)
             yield arrays.with_column(part, keep, cluster_raw=pa.array(kmeans.nearest(rows, centers), pa.int32()))
 
-    counted = tfidf.with_counts(df, text, models.tfidf)
     schema = StructType(list(df.schema.fields) + [StructField("cluster_raw", IntegerType())])
-    return counted.select(*keep, "_tf").mapInArrow(run, schema)
+    return df.select(*keep, words.lowered(F.col(text)).alias("_lower")).mapInArrow(run, schema)
 
 
 def _remap(labelled: DataFrame, min_size: int) -> dict[int, int]:
